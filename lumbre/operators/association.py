@@ -2,20 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lumbre.functions.numeric import ratio
 
-_HALF_LOG_2PI = 0.5 * math.log(2.0 * math.pi)
-# Error of Stirling's formula for ln n!, from its definition, for the small n where the series is not exact.
-_STIRLING_ERROR = [0.0] + [
-    math.lgamma(n + 1.0) - ((n + 0.5) * math.log(n) - n + _HALF_LOG_2PI) for n in range(1, 17)
-]
-
 
 def melt(df: DataFrame, ids: list[str], columns: list[str], name: str = "feature", value: str = "value", as_type: str = "double") -> DataFrame:
     """Wide to long with one common value type."""
@@ -64,24 +56,24 @@ def with_rates(tables: DataFrame) -> DataFrame:
     )
 
 
-def _stirling_error(n: Column) -> Column:
-    table = F.array(*[F.lit(e) for e in _STIRLING_ERROR])
-    inv = 1.0 / n
-    sq = inv * inv
-    series = inv * (1.0 / 12 - sq * (1.0 / 360 - sq * (1.0 / 1260 - sq * (1.0 / 1680))))
-    return F.when(n <= 16, F.element_at(table, (n + 1).cast("int"))).otherwise(series)
+def _log_factorial_step(start: str, end: str) -> str:
+    """SQL text of ``ln(end!) - ln(start!)`` without cancellation for large arguments.
 
+    Both arguments are moved up by ten, where Stirling's series is exact to double precision, and
+    the ten factors are divided out again.
+    """
 
-def _log_factorial_step(start: Column, end: Column) -> Column:
-    """``ln(end!) - ln(start!)`` without cancellation for large arguments."""
+    def series(n: str) -> str:
+        sq = f"(1d / ({n} * {n}))"
+        return f"((1d/12 - {sq} * (1d/360 - {sq} * (1d/1260 - {sq} * (1d/1680 - {sq} / 1188d)))) / {n})"
 
-    def plain(n: Column) -> Column:
-        return F.when(n == 0, F.lit(0.0)).otherwise((n + 0.5) * F.log(F.greatest(n, F.lit(1.0))) - n + F.lit(_HALF_LOG_2PI) + _stirling_error(F.greatest(n, F.lit(1.0))))
+    def ten_factors(n: str) -> str:
+        q = f"({n} * ({n} + 11))"
+        return f"(({q} + 10) * ({q} + 18) * ({q} + 24) * ({q} + 28) * ({q} + 30))"
 
-    safe = F.greatest(start, F.lit(1.0))
-    move = end - start
-    stable = move * F.log(safe) + (end + 0.5) * F.log1p(F.greatest(move / safe, F.lit(-0.9999999999))) - move + _stirling_error(F.greatest(end, F.lit(1.0))) - _stirling_error(safe)
-    return F.when((start == 0) | (end == 0), plain(end) - plain(start)).otherwise(stable)
+    low, high, move = f"({start} + 10d)", f"({end} + 10d)", f"({end} - {start})"
+    raised = f"{move} * ln({low}) + ({high} + 0.5d) * log1p({move} / {low}) - {move} + {series(high)} - {series(low)}"
+    return f"({raised} - ln({ten_factors(end)} / {ten_factors(start)}))"
 
 
 def fisher_exact(tables: DataFrame, keys: list[str], chunk: int = 10_000) -> DataFrame:
@@ -100,21 +92,20 @@ def fisher_exact(tables: DataFrame, keys: list[str], chunk: int = 10_000) -> Dat
         F.floor((r1 + 1) * (c1 + 1) / (n + 2)).cast("double").alias("__m"),
         F.sqrt(r1 * r2 * c1 * (n - c1) / (F.greatest(n, F.lit(1.0)) * F.greatest(n, F.lit(1.0)) * F.greatest(n - 1, F.lit(1.0)))).alias("__sd"),
     ).withColumn("__mode", F.least(F.greatest(F.col("__m"), F.col("__min")), F.col("__max")))
-    def weight(k: Column) -> Column:
-        m = F.col("__mode")
-        rest = F.col("__r2") - F.col("__c1")
-        log_w = (
-            _log_factorial_step(k, m)
-            + _log_factorial_step(F.col("__r1") - k, F.col("__r1") - m)
-            + _log_factorial_step(F.col("__c1") - k, F.col("__c1") - m)
-            + _log_factorial_step(rest + k, rest + m)
-        )
-        return F.exp(log_w)
+    def weight(k: str) -> Column:
+        m = "__mode"
+        steps = [
+            _log_factorial_step(k, m),
+            _log_factorial_step(f"(__r1 - {k})", f"(__r1 - {m})"),
+            _log_factorial_step(f"(__c1 - {k})", f"(__c1 - {m})"),
+            _log_factorial_step(f"(__r2 - __c1 + {k})", f"(__r2 - __c1 + {m})"),
+        ]
+        return F.expr(f"exp({' + '.join(steps)})")
 
     # Tables farther out than the observed one plus nine deviations change no digit of the sums.
     own = F.least(F.abs(F.col("a") - F.col("__mode")), F.col("__sd") * 31)
     reach = F.ceil(own + F.col("__sd") * 9 + 200).cast("double")
-    base = base.withColumn("__wobs", weight(F.col("a").cast("double")))
+    base = base.withColumn("__wobs", weight("cast(a as double)"))
     base = base.withColumn("__lo", F.greatest(F.col("__min"), F.col("__mode") - reach).cast("bigint")).withColumn(
         "__hi", F.least(F.col("__max"), F.col("__mode") + reach).cast("bigint")
     )
@@ -124,7 +115,7 @@ def fisher_exact(tables: DataFrame, keys: list[str], chunk: int = 10_000) -> Dat
     width = int(tables.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = starts.repartition(width, *keys, "__start")
     ks = spread.withColumn("__k", F.explode(F.sequence(F.col("__start"), F.least(F.col("__start") + chunk - 1, F.col("__hi")))))
-    weighed = ks.withColumn("__w", weight(F.col("__k").cast("double")))
+    weighed = ks.withColumn("__w", weight("cast(__k as double)"))
     limit = F.col("__wobs") * (1 + 1e-7)
     sums = weighed.groupBy(*keys).agg(
         F.sum("__w").alias("__all"),
