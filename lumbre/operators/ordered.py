@@ -125,6 +125,21 @@ def row_rank(df: DataFrame, keys: list[str], order: list[tuple[str, bool]], out:
     return ranked.select(*[F.col(c) for c in df.columns], F.col("cum_rank").alias(out))
 
 
+def previous_value(df: DataFrame, keys: list[str], order: str, out: str = "previous", buckets: int = 64) -> DataFrame:
+    """Add the next smaller value of ``order`` within the key (null for the first); values must be distinct per key."""
+    cuts = quantile_bounds(df, order, buckets)
+    data = df.withColumn("__bucket", _bucket_of(F.col(order).cast("double"), cuts))
+    local = F.lag(order).over(W.partitionBy(*keys, "__bucket").orderBy(order))
+    tops = data.groupBy(*keys, "__bucket").agg(F.max(order).alias("__top"))
+    # One row per key and bucket: the largest value of the bucket before.
+    edges = tops.select(*keys, "__bucket", F.lag("__top").over(W.partitionBy(*keys).orderBy("__bucket")).alias("__edge"))
+    return (
+        data.withColumn("__local", local)
+        .join(edges, [*keys, "__bucket"])
+        .select(*df.columns, F.coalesce("__local", "__edge").alias(out))
+    )
+
+
 def exact_quantiles(
     df: DataFrame,
     keys: list[str],
