@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from lumbre.functions.numeric import sigmoid
 from lumbre.operators.association import melt
 from lumbre.operators.metrics import score_metrics
-from lumbre.operators.preparation_models import fill_and_scale
+from lumbre.operators.preparation_models import Preparation, fit_preparation, nullable_columns
 from lumbre.operators.pu import adjust_scores, label_frequency, pu_bags, training_subset
 from lumbre.operators.splits import stratified_folds
 from lumbre.operators.thresholds import grid_threshold_curve, observed_threshold
@@ -63,19 +63,23 @@ def build_estimator(candidate: Candidate, n_features: int, seed: int):
     return _FAMILIES[candidate.family](**params)
 
 
-def fit_score(train: DataFrame, test: DataFrame, features: list[str], target: str, ids: list[str], candidate: Candidate, seed: int = 0, min_variance: float = 0.0) -> DataFrame:
-    """Fit on train, score test: (ids, score). One class only in train gives that class as constant score."""
-    stats = train.agg(F.avg(F.col(target).cast("double")).alias("p"), F.count(F.lit(1)).alias("n")).first()
-    if candidate.family == "dummy" or stats["p"] in (0.0, 1.0):
-        return test.select(*ids, F.lit(float(stats["p"])).alias("score"))
-    scaled, kept = fill_and_scale(test, train, features, "standard", min_variance)
-    scaled_train, _ = fill_and_scale(train, train, features, "standard", min_variance)
-    assembler = VectorAssembler(inputCols=kept, outputCol="__x")
-    weight = F.when(F.col(target) == 1, 0.5 / stats["p"]).otherwise(0.5 / (1 - stats["p"]))
-    model = build_estimator(candidate, len(kept), seed).fit(
-        assembler.transform(scaled_train).select("__x", F.col(target).cast("double").alias("__y"), weight.alias("__w"))
-    )
-    scored = model.transform(assembler.transform(scaled))
+def fit_score(
+    train: DataFrame, test: DataFrame, features: list[str], target: str, ids: list[str], candidate: Candidate, seed: int = 0, min_variance: float = 0.0,
+    nullable: list[str] | None = None, prepared: Preparation | None = None,
+) -> DataFrame:
+    """Fit on train, score test: (ids, score). One class only in train gives that class as constant score.
+
+    ``prepared`` reuses a preparation that was fitted on the same train rows.
+    """
+    share = train.agg(F.avg(F.col(target).cast("double")).alias("p")).first()["p"]
+    if candidate.family == "dummy" or share in (0.0, 1.0):
+        return test.select(*ids, F.lit(float(share)).alias("score"))
+    prep = prepared or fit_preparation(train, features, features if nullable is None else nullable, "standard", min_variance)
+    assembler = VectorAssembler(inputCols=prep.kept, outputCol="__x")
+    weight = F.when(F.col(target) == 1, 0.5 / share).otherwise(0.5 / (1 - share))
+    rows = assembler.transform(prep.apply(train)).select("__x", F.col(target).cast("double").alias("__y"), weight.alias("__w"))
+    model = build_estimator(candidate, len(prep.kept), seed).fit(rows)
+    scored = model.transform(assembler.transform(prep.apply(test)))
     if "probability" in scored.columns:
         score = vector_to_array("probability")[1]
     else:
@@ -83,23 +87,24 @@ def fit_score(train: DataFrame, test: DataFrame, features: list[str], target: st
     return scored.select(*ids, score.alias("score"))
 
 
-def fit_score_formulation(train: DataFrame, test: DataFrame, features: list[str], target: str, none_label: str, ids: list[str], candidate: Candidate, formulation: str, seed: int = 0, bags: int = 15) -> DataFrame:
+def fit_score_formulation(train: DataFrame, test: DataFrame, features: list[str], target: str, none_label: str, ids: list[str], candidate: Candidate, formulation: str, seed: int = 0, bags: int = 15, nullable: list[str] | None = None) -> DataFrame:
     """Supervised, naive and bagging formulations; Elkan-Noto scores are adjusted later, from out-of-fold scores."""
     if formulation != "pu_bagging":
-        return fit_score(training_subset(train, target, none_label, formulation), test, features, target, ids, candidate, seed)
+        return fit_score(training_subset(train, target, none_label, formulation), test, features, target, ids, candidate, seed, nullable=nullable)
     bagged = durable(pu_bags(train, [], ids, target, bags, 1.0, seed))
     parts = [
-        fit_score(bagged.filter(F.col("bag") == b), test, features, target, ids, candidate, seed + b).withColumn("bag", F.lit(b)) for b in range(1, bags + 1)
+        fit_score(bagged.filter(F.col("bag") == b), test, features, target, ids, candidate, seed + b, nullable=nullable).withColumn("bag", F.lit(b)) for b in range(1, bags + 1)
     ]
     return reduce(DataFrame.unionByName, parts).groupBy(*ids).agg(F.avg("score").alias("score"))
 
 
 def cross_validated_scores(df: DataFrame, folds: list[int], features: list[str], target: str, ids: list[str], candidate: Candidate, seed: int = 0, fold: str = "fold", none_label: str = "none", formulation: str = "pu_naive", bags: int = 15) -> DataFrame:
     """Out-of-fold table of one candidate: each fold is scored by a model fitted on the other folds."""
+    nullable = nullable_columns(df, features)
     parts = []
     for f in folds:
         train, test = df.filter((F.col(fold) != f) & F.col(fold).isin(*folds)), df.filter(F.col(fold) == f)
-        scored = fit_score_formulation(train, test, features, target, none_label, ids, candidate, formulation, seed + f, bags)
+        scored = fit_score_formulation(train, test, features, target, none_label, ids, candidate, formulation, seed + f, bags, nullable)
         parts.append(scored.withColumn(fold, F.lit(f)))
     scores = reduce(DataFrame.unionByName, parts)
     return df.select(*ids, F.col(target).alias("y_true")).join(scores, ids).select(F.col(fold), *ids, F.lit(target).alias("label"), "y_true", "score")
@@ -110,16 +115,21 @@ def multi_label_scores(df: DataFrame, folds: list[int], features: list[str], tar
 
     In a chain, train rows use the true earlier labels and test rows the predicted ones.
     """
-    if strategy == "independent":
-        return reduce(DataFrame.unionByName, [cross_validated_scores(df, folds, features, t, ids, candidate, seed) for t in targets])
+    nullable = nullable_columns(df, features)
     parts = []
     for f in folds:
         train, test = df.filter(F.col("fold") != f), df.filter(F.col("fold") == f)
+        if strategy == "independent":
+            prepared = fit_preparation(train, features, nullable)
+            for t in targets:
+                scored = fit_score(train, test, features, t, ids, candidate, seed + f, prepared=prepared)
+                parts.append(test.select(*ids, F.col(t).alias("y_true")).join(scored, ids).select(F.lit(f).alias("fold"), *ids, F.lit(t).alias("label"), "y_true", "score"))
+            continue
         earlier: list[str] = []
         for t in targets:
             inputs = [*features, *[f"__chain_{e}" for e in earlier]]
             chained = train.withColumns({f"__chain_{e}": F.col(e).cast("double") for e in earlier}) if earlier else train
-            scored = durable(fit_score(chained, test, inputs, t, ids, candidate, seed + f))
+            scored = durable(fit_score(chained, test, inputs, t, ids, candidate, seed + f, nullable=nullable))
             parts.append(df.select(*ids, F.col(t).alias("y_true")).join(scored, ids).select(F.lit(f).alias("fold"), *ids, F.lit(t).alias("label"), "y_true", "score"))
             test = test.join(scored.select(*ids, (F.col("score") >= 0.5).cast("double").alias(f"__chain_{t}")), ids)
             earlier.append(t)
@@ -152,11 +162,12 @@ def nested_selection(df: DataFrame, folds: list[int], features: list[str], targe
 def nested_cross_validation(df: DataFrame, folds: list[int], features: list[str], target: str, ids: list[str], candidates: list[Candidate], formulation: str = "pu_naive", seed: int = 0, bags: int = 15) -> DataFrame:
     """Outer out-of-fold table: per outer fold the best inner candidate is refitted and its threshold applied."""
     best = nested_selection(df, folds, features, target, ids, candidates, formulation, seed, bags).filter("rank = 1").collect()
+    nullable = nullable_columns(df, features)
     parts = []
     for row in best:
         outer, chosen = row["outer_fold"], candidates[row["candidate"]]
         train, test = df.filter(F.col("fold") != outer), df.filter(F.col("fold") == outer)
-        raw = fit_score_formulation(train, test, features, target, "none", ids, chosen, formulation, seed + outer, bags)
+        raw = fit_score_formulation(train, test, features, target, "none", ids, chosen, formulation, seed + outer, bags, nullable)
         score = adjust_scores(F.col("score"), F.lit(row["c"])) if formulation == "pu_elkan_noto" else F.col("score")
         parts.append(
             test.select(*ids, F.col(target).alias("y_true")).join(raw, ids).select(
@@ -169,11 +180,12 @@ def nested_cross_validation(df: DataFrame, folds: list[int], features: list[str]
 
 def specialised_and_general(df: DataFrame, folds: list[int], features: list[str], target: str, ids: list[str], member: str, candidate: Candidate, seed: int = 0) -> DataFrame:
     """A model fitted on subgroup train rows next to one fitted on all train rows, scored on the same subgroup test rows."""
+    nullable = nullable_columns(df, features)
     parts = []
     for f in folds:
         train, test = df.filter(F.col("fold") != f), df.filter((F.col("fold") == f) & (F.col(member) == 1))
         for arm, rows in (("general", train), ("specialised", train.filter(F.col(member) == 1))):
-            scored = fit_score(rows, test, features, target, ids, candidate, seed + f)
+            scored = fit_score(rows, test, features, target, ids, candidate, seed + f, nullable=nullable)
             parts.append(test.select(*ids, F.col(target).alias("y_true")).join(scored, ids).select(
                 F.lit(arm).alias("arm"), F.lit(f).alias("fold"), *ids, F.lit(target).alias("label"), "y_true", "score"))
     return reduce(DataFrame.unionByName, parts)
@@ -197,8 +209,8 @@ def inner_threshold(train: DataFrame, features: list[str], target: str, ids: lis
 def prior_scores(labelled: DataFrame, ids: list[str]) -> DataFrame:
     """Dummy model: every row of a fold gets the prevalence of the other folds. Input: fold, ids, label, y_true."""
     per = labelled.groupBy("label", "fold").agg(F.sum(F.col("y_true").cast("bigint")).alias("p"), F.count(F.lit(1)).alias("n"))
-    all_ = per.groupBy("label").agg(F.sum("p").alias("P"), F.sum("n").alias("N"))
-    priors = per.join(all_, "label").select("label", "fold", ((F.col("P") - F.col("p")) / (F.col("N") - F.col("n"))).alias("score"))
+    all_ = per.groupBy("label").agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
+    priors = per.join(all_, "label").select("label", "fold", ((F.col("all_p") - F.col("p")) / (F.col("all_n") - F.col("n"))).alias("score"))
     return labelled.join(priors, ["label", "fold"]).select("fold", *ids, "label", "y_true", "score")
 
 
@@ -214,12 +226,12 @@ def gaussian_nb_scores(df: DataFrame, ids: list[str], features: list[str], label
     entries = F.array(*[F.struct(F.lit(lab).alias("label"), F.col(lab).cast("int").alias("y")) for lab in labels])
     by_label = shifted.select("feature", "fold", "v", F.explode(entries).alias("e")).select("feature", "fold", "v", "e.label", "e.y")
     part = by_label.groupBy("feature", "label", "y", "fold").agg(F.count("v").alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
-    total = part.groupBy("feature", "label", "y").agg(F.sum("n").alias("N"), F.sum("s").alias("S"), F.sum("q").alias("Q"))
+    total = part.groupBy("feature", "label", "y").agg(F.sum("n").alias("all_n"), F.sum("s").alias("all_s"), F.sum("q").alias("all_q"))
     # Every fold gets a row, also where it has no rows of a class.
     grid = total.join(part.select("fold").distinct(), how="cross")  # folds x classes x features: settings
     rest = grid.join(part, ["feature", "label", "y", "fold"], "left").select(
-        "feature", "label", "y", "fold", (F.col("N") - F.coalesce("n", F.lit(0))).alias("n"), (F.col("S") - F.coalesce("s", F.lit(0.0))).alias("s"),
-        (F.col("Q") - F.coalesce("q", F.lit(0.0))).alias("q"),
+        "feature", "label", "y", "fold", (F.col("all_n") - F.coalesce("n", F.lit(0))).alias("n"), (F.col("all_s") - F.coalesce("s", F.lit(0.0))).alias("s"),
+        (F.col("all_q") - F.coalesce("q", F.lit(0.0))).alias("q"),
     )
     pooled = rest.groupBy("feature", "label", "fold").agg(F.sum("n").alias("an"), F.sum("s").alias("as"), F.sum("q").alias("aq"))
     spread = pooled.withColumn("av", F.col("aq") / F.col("an") - F.pow(F.col("as") / F.col("an"), 2)).groupBy("label", "fold").agg(F.max("av").alias("widest"))

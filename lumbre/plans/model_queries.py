@@ -203,8 +203,9 @@ def subgroup_model_comparison(spark, sf_dir):
 @query("pca_explained_variance")
 def pca_explained_variance(spark, sf_dir):
     rows = embedding_columns(spark, sf_dir)
-    scaled, kept = R.fill_and_scale(rows, rows, _FEATURES)
-    _, _, count, explained = R.fit_pca(scaled.select(*kept), kept, 0.90)
+    prepared = R.fit_preparation(rows, _FEATURES, R.nullable_columns(rows, _FEATURES))
+    scaled = prepared.apply(rows)
+    _, _, count, explained = R.fit_pca(scaled.select(*prepared.kept), prepared.kept, 0.90)
     return scaled.agg(F.count(F.lit(1)).alias("n_rows")).select(
         "n_rows", F.posexplode(F.array(*[F.lit(v) for v in explained])).alias("component", "explained"), F.lit(count).alias("n_kept")
     )
