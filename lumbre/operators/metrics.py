@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumbre.functions.numeric import clip, confusion_metrics, ratio
-from lumbre.operators.ordered import running_totals
+from lumbre.operators.ordered import bounds_if_large, running_totals
+from lumbre.session import durable
 
 
 def confusion(oof: DataFrame, keys: list[str]) -> DataFrame:
@@ -35,26 +36,36 @@ def with_confusion_metrics(counts: DataFrame, empty: float | None = 0.0, names:
     )
 
 
+def _brier() -> F.Column:
+    return F.avg(F.pow(clip(F.col("score"), 0, 1) - F.col("y_true"), 2)).alias("brier_score")
+
+
 def brier(oof: DataFrame, keys: list[str]) -> DataFrame:
     """Brier score on scores clipped to [0, 1]."""
-    return oof.groupBy(*keys).agg(F.avg(F.pow(clip(F.col("score"), 0, 1) - F.col("y_true"), 2)).alias("brier_score"))
+    return oof.groupBy(*keys).agg(_brier())
 
 
 def score_table(oof: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per key and distinct score with positive and negative counts (map-side combined)."""
+    """One row per key and distinct score with positive and negative counts (map-side combined).
+
+    Rows whose score is missing or not finite are counted under a null score. The table is written
+    once, since ranking it needs several looks and its input may be expensive.
+    """
     usable = F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") != float("inf"))
-    return oof.filter(usable).groupBy(*keys, "score").agg(
-        F.sum(F.col("y_true").cast("bigint")).alias("pos"),
-        F.sum((1 - F.col("y_true")).cast("bigint")).alias("neg"),
+    counts = oof.groupBy(*keys, F.when(usable, F.col("score")).alias("score")).agg(
+        F.sum(F.col("y_true").cast("bigint")).alias("pos"), F.sum((1 - F.col("y_true")).cast("bigint")).alias("neg")
     )
+    return durable(counts)
 
 
-def score_metrics(oof: DataFrame, keys: list[str], bounds: list[float] | None = None) -> DataFrame:
+def score_metrics(oof: DataFrame, keys: list[str]) -> DataFrame:
     """ROC AUC (ties averaged) and average precision (steps over distinct scores) per key.
 
     Null with one class only, or when any score of the key is missing or not finite.
     """
-    cum = running_totals(score_table(oof, keys), keys, "score", ["pos", "neg"], bounds)
+    table = score_table(oof, keys)
+    ranked = table.filter("score is not null")
+    cum = running_totals(ranked, keys, "score", ["pos", "neg"], bounds_if_large(ranked, "score"))
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
     all_pos, all_neg = F.col("total_pos").cast("double"), F.col("total_neg").cast("double")
     at_least_pos = all_pos - F.col("cum_pos") + pos
@@ -65,9 +76,7 @@ def score_metrics(oof: DataFrame, keys: list[str], bounds: list[float] | None =
         F.max("total_pos").alias("n_positive"),
         F.max("total_neg").alias("n_negative"),
     )
-    unusable = oof.groupBy(*keys).agg(
-        F.count_if(F.col("score").isNull() | F.isnan("score") | (F.abs("score") == float("inf"))).alias("__bad")
-    )
+    unusable = table.groupBy(*keys).agg(F.count_if(F.col("score").isNull()).alias("__bad"))
     both = (F.col("__bad") == 0) & (F.col("n_positive") > 0) & (F.col("n_negative") > 0)
     p, n = F.col("n_positive").cast("double"), F.col("n_negative").cast("double")
     return unusable.join(sums, keys, "left").select(
@@ -81,9 +90,12 @@ def score_metrics(oof: DataFrame, keys: list[str], bounds: list[float] | None =
 
 def label_report(oof: DataFrame, keys: list[str], empty: float | None = None) -> DataFrame:
     """Per-label report: confusion metrics, AUC, AP and Brier score, one row per key."""
-    counts = with_confusion_metrics(confusion(oof, keys), empty)
+    y, p = F.col("y_true") == 1, F.col("pred") == 1
+    counts = oof.groupBy(*keys).agg(
+        F.count_if(y & p).alias("tp"), F.count_if(~y & p).alias("fp"), F.count_if(y & ~p).alias("fn"), F.count_if(~y & ~p).alias("tn"), _brier()
+    )
     scores = score_metrics(oof, keys).select(*keys, "roc_auc", "average_precision")
-    return counts.join(scores, keys, "left").join(brier(oof, keys), keys, "left")
+    return with_confusion_metrics(counts, empty).join(scores, keys, "left")
 
 
 def averaged_metrics(oof: DataFrame, keys: list[str]) -> DataFrame:
@@ -159,7 +171,7 @@ def ranking_metrics(oof: DataFrame, keys: list[str], id_col: str = "id") -> Data
     rows = sets.select(*keys, s.alias("s"), pos.alias("pos"), neg.alias("neg"))
     one_sided = (F.size("pos") == 0) | (F.size("neg") == 0)
 
-    def share_ranked(true_only: DataFrame | None = None):
+    def share_ranked():
         def one(x):
             above_true = F.size(F.filter("pos", lambda z: z["score"] >= x["score"]))
             above_all = F.size(F.filter("s", lambda z: z["score"] >= x["score"]))

@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumbre.functions.numeric import sigmoid
-from lumbre.operators.association import melt
 from lumbre.operators.metrics import score_metrics
 from lumbre.operators.preparation_models import Preparation, fit_preparation, nullable_columns
 from lumbre.operators.pu import adjust_scores, label_frequency, pu_bags, training_subset
@@ -217,37 +216,42 @@ def prior_scores(labelled: DataFrame, ids: list[str]) -> DataFrame:
 def gaussian_nb_scores(df: DataFrame, ids: list[str], features: list[str], labels: list[str], smoothing: float = 1e-9) -> DataFrame:
     """Gaussian naive Bayes, cross-validated over ``fold`` for all labels at once.
 
-    Class moments of "all other folds" are total moments minus those of the fold, so the data is read
-    once for the fit whatever the number of folds. Input features must not be missing.
+    Class moments of "all other folds" are total moments minus those of the fold, so the rows are read
+    once for the fit whatever the number of folds, and scored where they are: only the moments, one
+    array per (label, fold), are joined to them. Input features must not be missing.
     """
-    long = melt(df.select(*ids, "fold", *labels, *features), [*ids, "fold", *labels], features)
-    centre = long.groupBy("feature").agg(F.avg("value").alias("__m"))
-    shifted = long.join(centre, "feature").withColumn("v", F.col("value") - F.col("__m"))
+    centres = df.agg(*[F.avg(F.col(f).cast("double")).alias(f) for f in features]).first()
+    values = F.array(*[F.col(f).cast("double") - centres[f] for f in features])
     entries = F.array(*[F.struct(F.lit(lab).alias("label"), F.col(lab).cast("int").alias("y")) for lab in labels])
-    by_label = shifted.select("feature", "fold", "v", F.explode(entries).alias("e")).select("feature", "fold", "v", "e.label", "e.y")
-    part = by_label.groupBy("feature", "label", "y", "fold").agg(F.count("v").alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
-    total = part.groupBy("feature", "label", "y").agg(F.sum("n").alias("all_n"), F.sum("s").alias("all_s"), F.sum("q").alias("all_q"))
-    # Every fold gets a row, also where it has no rows of a class.
-    grid = total.join(part.select("fold").distinct(), how="cross")  # folds x classes x features: settings
-    rest = grid.join(part, ["feature", "label", "y", "fold"], "left").select(
-        "feature", "label", "y", "fold", (F.col("all_n") - F.coalesce("n", F.lit(0))).alias("n"), (F.col("all_s") - F.coalesce("s", F.lit(0.0))).alias("s"),
+    rows = df.select(*ids, "fold", values.alias("x"), F.explode(entries).alias("e")).select(*ids, "fold", "x", "e.label", F.col("e.y").alias("y_true"))
+    part = rows.select("fold", "label", F.col("y_true").alias("y"), F.posexplode("x").alias("i", "v")).groupBy("i", "label", "y", "fold").agg(
+        F.count("v").alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q")
+    )
+    part = durable(part)
+    total = part.groupBy("i", "label", "y").agg(F.sum("n").alias("all_n"), F.sum("s").alias("all_s"), F.sum("q").alias("all_q"))
+    # Every (fold, label) gets a row for both classes, also where the fold itself has none of a class.
+    cells = part.select("i", "label", "fold").distinct()
+    rest = total.join(cells, ["i", "label"]).join(part, ["i", "label", "y", "fold"], "left").select(
+        "i", "label", "y", "fold", (F.col("all_n") - F.coalesce("n", F.lit(0))).alias("n"), (F.col("all_s") - F.coalesce("s", F.lit(0.0))).alias("s"),
         (F.col("all_q") - F.coalesce("q", F.lit(0.0))).alias("q"),
     )
-    pooled = rest.groupBy("feature", "label", "fold").agg(F.sum("n").alias("an"), F.sum("s").alias("as"), F.sum("q").alias("aq"))
+    pooled = rest.groupBy("i", "label", "fold").agg(F.sum("n").alias("an"), F.sum("s").alias("as"), F.sum("q").alias("aq"))
     spread = pooled.withColumn("av", F.col("aq") / F.col("an") - F.pow(F.col("as") / F.col("an"), 2)).groupBy("label", "fold").agg(F.max("av").alias("widest"))
+    mean = F.col("s") / F.col("n")
     moments = rest.join(spread, ["label", "fold"]).select(
-        "feature", "label", "y", "fold", "n", (F.col("s") / F.col("n")).alias("mu"),
-        (F.col("q") / F.col("n") - F.pow(F.col("s") / F.col("n"), 2) + smoothing * F.col("widest")).alias("var"),
+        "i", "label", "y", "fold", "n", mean.alias("mu"), (F.col("q") / F.col("n") - mean * mean + smoothing * F.col("widest")).alias("var")
     )
-    wide = moments.groupBy("feature", "label", "fold").agg(
-        *[F.max(F.when(F.col("y") == y, F.col(c))).alias(f"{c}{y}") for y in (0, 1) for c in ("mu", "var", "n")]
+    wide = moments.groupBy("i", "label", "fold").agg(*[F.max(F.when(F.col("y") == y, F.col(c))).alias(f"{c}{y}") for y in (0, 1) for c in ("mu", "var", "n")])
+    # One row per (label, fold), with one entry per feature.
+    packed = wide.groupBy("label", "fold").agg(
+        F.array_sort(F.collect_list(F.struct("i", "mu0", "var0", "mu1", "var1"))).alias("m"), F.max("n1").alias("n1"), F.max("n0").alias("n0")
     )
 
-    def log_density(y: int):
-        return -0.5 * F.log(2 * F.pi() * F.col(f"var{y}")) - F.pow(F.col("v") - F.col(f"mu{y}"), 2) / (2 * F.col(f"var{y}"))
+    def gain(x, m):
+        one = -0.5 * F.log(2 * F.pi() * m["var1"]) - F.pow(x - m["mu1"], 2) / (2 * m["var1"])
+        zero = -0.5 * F.log(2 * F.pi() * m["var0"]) - F.pow(x - m["mu0"], 2) / (2 * m["var0"])
+        return one - zero
 
-    rows = shifted.select(*ids, "fold", "feature", "v", F.explode(entries).alias("e")).select(*ids, "fold", "feature", "v", F.col("e.label").alias("label"), F.col("e.y").alias("y_true"))
-    ratio = rows.join(wide, ["feature", "label", "fold"]).groupBy(*ids, "fold", "label", "y_true").agg(
-        F.sum(log_density(1) - log_density(0)).alias("d"), F.max("n1").alias("n1"), F.max("n0").alias("n0")
-    )
-    return ratio.select("fold", *ids, "label", "y_true", (1 / (1 + F.exp(-(F.col("d") + F.log(F.col("n1") / F.col("n0")))))).alias("score"))
+    joined = rows.join(F.broadcast(packed), ["label", "fold"])
+    log_odds = F.aggregate(F.zip_with("x", "m", gain), F.lit(0.0), lambda a, b: a + b) + F.log(F.col("n1") / F.col("n0"))
+    return joined.select("fold", *ids, "label", "y_true", (1 / (1 + F.exp(-log_odds))).alias("score"))

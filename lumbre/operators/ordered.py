@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lumbre.functions.keys import hash_order
+from lumbre.session import has_at_most
 
 _EMPTY = "__all"
 
@@ -77,10 +78,22 @@ def running_totals(
     """
     cuts = quantile_bounds(df, order, buckets) if bounds is None else bounds
     data, ks = _keyed(df, keys)
+    if not cuts:
+        # The caller has checked that the whole table is small: one window per key is enough.
+        run = W.partitionBy(*ks).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+        whole = W.partitionBy(*ks)
+        return data.select(
+            *df.columns, *[F.sum(v).over(run).alias(f"cum_{v}") for v in values], *[F.sum(v).over(whole).alias(f"total_{v}") for v in values]
+        )
     data = data.withColumn("__bucket", _bucket_of(F.col(order).cast("double"), cuts))
     return _add_bucket_offsets(data, ks, "__bucket", [F.col(order)], {v: F.col(v) for v in values})
 
 
+def bounds_if_large(df: DataFrame, order: str, small: int = 500_000, buckets: int = 64) -> list[float]:
+    """Cut points for a table of more than ``small`` rows, none for a smaller one."""
+    return [] if has_at_most(df, small) else quantile_bounds(df, order, buckets)
+
+
 def hash_rank(df: DataFrame, keys: list[str], ids: list[str], seed, out: str = "rank", size: str | None = None) -> DataFrame:
     """Rank 1..n of every row within its key, in the fixed pseudo-random order of the seed.
 

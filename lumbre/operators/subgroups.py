@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lumbre.operators.association import fisher_exact, melt
 from lumbre.operators.ordered import best_row, exact_quantiles, top_rows
-from lumbre.session import ContractError, broadcast_if_small, durable
+from lumbre.session import BROADCAST_ROW_LIMIT, ContractError, broadcast_if_small, durable
 
 # Quantiles that give the cut points of numeric features.
 CUT_QUANTILES = [0.25, 0.5, 0.75]
@@ -91,10 +91,11 @@ def make_patterns(frame: DataFrame, search: list[str], features: list[str], targ
     return folded.withColumns({"__h1": F.xxhash64("pattern"), "__h2": F.xxhash64(F.lit("second"), "pattern")})
 
 
-def _match(a: DataFrame, b: DataFrame, keys: list[str], hint: bool = True) -> DataFrame:
-    """Equi-join on the keys, or a join with a table of settings size when there are none."""
-    side = broadcast_if_small(b) if hint else b
-    return a.join(side, keys) if keys else a.join(side, how="cross")
+def _match(a: DataFrame, b: DataFrame, keys: list[str], rows: int | None = None) -> DataFrame:
+    """Equi-join on the keys; ``b`` is broadcast when its known or counted size is small."""
+    if rows is None:
+        return a.join(broadcast_if_small(b), keys)
+    return a.join(F.broadcast(b) if rows <= BROADCAST_ROW_LIMIT else b, keys)
 
 
 def beam_search(
@@ -118,9 +119,11 @@ def beam_search(
     spark = patterns.sparkSession
     targets = sorted({a.target for a in arms})
     train = patterns.filter("part = 'train'")
-    totals = train.groupBy(*search).agg(F.sum("n").alias("n_rows"), *[F.sum(t).alias(f"__all_{t}") for t in targets])
+    totals = durable(train.groupBy(*search).agg(F.sum("n").alias("n_rows"), *[F.sum(t).alias(f"__all_{t}") for t in targets]))
+    n_search = totals.count()
     arm_table = spark.createDataFrame([(a.name, a.target, float(a.min_coverage)) for a in arms], "arm string, target string, min_coverage double")
-    parents = _match(totals.select(*search), arm_table, []).select(
+    # Every search key starts each of its arms with the empty rule.
+    parents = totals.select(*search, F.explode(F.array(*[F.lit(a.name) for a in arms])).alias("arm")).select(
         *search, "arm", F.array().cast("array<int>").alias("rule"), F.lit(0).alias("last"), F.array().cast("array<int>").alias("used"),
         F.lit("").alias("rule_key"), F.lit("").alias("structure_key"), F.lit("").alias("structure_value_key"), F.lit(1).alias("rank"),
     )
@@ -130,18 +133,17 @@ def beam_search(
     selector_info = broadcast_if_small(selector_info)
     sums = [F.sum("n").alias("n_covered"), *[F.sum(t).alias(t) for t in targets], F.bit_xor("__h1").alias("__c1"), F.bit_xor("__h2").alias("__c2")]
     levels: list[DataFrame] = []
+    n_parents = n_search * len(arms)
     for depth in range(1, max_depth + 1):
         # Counts are shared by all arms that have the parent in their beam.
         unique_parents = parents.select(*search, "rule", "last", "used").dropDuplicates([*search, "rule"])
-        met = _match(train, unique_parents, search).filter(F.forall("rule", lambda r: F.array_contains("pattern", r)))
+        met = _match(train, unique_parents, search, n_parents).filter(F.forall("rule", lambda r: F.array_contains("pattern", r)))
         later = F.filter("pattern", lambda i: (i > F.col("last")) & ~F.array_contains("used", i))
         counts = met.select(*search, "rule", F.explode(later).alias("sel"), "n", *targets, "__h1", "__h2").groupBy(*search, "rule", "sel").agg(*sums)
-        long = counts.join(
-            broadcast_if_small(parents.select(*search, "rule", "arm", "used", "rule_key", "structure_key", "structure_value_key", F.col("rank").alias("__parent_rank"))),
-            [*search, "rule"],
-        )
+        beams = parents.select(*search, "rule", "arm", "used", "rule_key", "structure_key", "structure_value_key", F.col("rank").alias("__parent_rank"))
+        long = _match(counts, beams, [*search, "rule"], n_parents)
         named = long.join(selector_info, [*selector_keys, "sel"])
-        full = _match(named, totals, search).join(F.broadcast(arm_table), "arm")
+        full = _match(named, totals, search, n_search).join(F.broadcast(arm_table), "arm")
         pick = F.coalesce(*[F.when(F.col("target") == t, F.col(t)) for t in targets])
         pick_all = F.coalesce(*[F.when(F.col("target") == t, F.col(f"__all_{t}")) for t in targets])
         least = F.greatest(F.lit(1), F.ceil(F.col("min_coverage") * F.col("n_rows")))
@@ -166,7 +168,8 @@ def beam_search(
         level = durable(ranked.select(*columns).withColumn("rule_length", F.lit(depth)))
         levels.append(level.filter(F.col("rank") <= top_candidates))
         parents = level.filter(F.col("rank") <= beam_width)
-        if level.isEmpty():
+        n_parents = level.count()
+        if not n_parents:
             break
     union = levels[0]
     for level in levels[1:]:

@@ -128,7 +128,7 @@ nb AS (SELECT id, fold, label, y_true, 1 / (1 + exp(-(d + ln(n1 / CAST(n0 AS DOU
 
 
 def _nb(spark, sf_dir):
-    return L.gaussian_nb_scores(_folded(spark, sf_dir), ["id"], _NB_FEATURES, LABELS)
+    return L.gaussian_nb_scores(durable(_folded(spark, sf_dir)), ["id"], _NB_FEATURES, LABELS)
 
 
 @query("gaussian_nb_oof", f"WITH {_NB_SQL} SELECT id, fold, label, y_true, round(score, 6) AS score FROM nb")

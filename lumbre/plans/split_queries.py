@@ -322,3 +322,42 @@ def random_oversampling(spark, sf_dir):
 )
 def balanced_subset(spark, sf_dir):
     return U.balanced_subset(cohort(spark, sf_dir).select("id", "returned"), ["id"], "returned", 400, 15)
+
+
+# ---- synthetic minority rows over the embeddings --------------------------------------------------------
+
+_KNN_SQL = """e AS (SELECT CAST(label % 2 AS VARCHAR) AS part, vec_id, CASE WHEN label < 4 THEN 1 ELSE 0 END AS y, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+nn AS (SELECT a.part, a.vec_id, b.vec_id AS neighbour, list_distance(a.v, b.v) AS distance,
+  row_number() OVER (PARTITION BY a.part, a.vec_id ORDER BY list_distance(a.v, b.v), b.vec_id) AS position FROM e a JOIN e b ON a.part = b.part AND a.y = 1 AND b.y = 1 AND a.vec_id <> b.vec_id
+  QUALIFY row_number() OVER (PARTITION BY a.part, a.vec_id ORDER BY list_distance(a.v, b.v), b.vec_id) <= 5)"""
+
+
+def _vectors(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(
+        (F.col("label") % 2).cast("string").alias("part"), "vec_id", (F.col("label") < 4).cast("int").alias("y"), F.transform("embedding", lambda x: x.cast("double")).alias("v")
+    )
+
+
+@query("minority_neighbours", f"WITH {_KNN_SQL} SELECT part, vec_id, neighbour, round(distance, 9) AS distance, CAST(position AS INT) AS position FROM nn")
+def minority_neighbours(spark, sf_dir):
+    from lumbre.operators.neighbours import exact_neighbours
+
+    out = exact_neighbours(_vectors(spark, sf_dir).filter("y = 1"), "part", "vec_id", "v", 5)
+    return out.withColumn("distance", rounded(F.col("distance")))
+
+
+@query(
+    "synthetic_minority_rows",
+    f"""WITH {_KNN_SQL}, c AS (SELECT part, sum(y) AS p, sum(1 - y) AS n FROM e GROUP BY part),
+r AS (SELECT e.part, vec_id, v, p, n, row_number() OVER (PARTITION BY e.part ORDER BY {sql_md5("'6'", 'vec_id')}, vec_id) AS rank FROM e JOIN c ON e.part = c.part WHERE y = 1),
+m AS (SELECT part, vec_id AS base, v, unnest(range(rank, CAST(n - p + 1 AS BIGINT), CAST(p AS BIGINT))) AS number FROM r),
+s AS (SELECT m.*, least(5, (SELECT max(p) FROM c WHERE c.part = m.part) - 1) AS kk,
+  CAST('0x' || substr(md5('6|neighbour|' || m.part || '|' || number), 1, 8) AS UBIGINT) / 4294967296.0 AS u, CAST('0x' || substr(md5('6|gap|' || m.part || '|' || number), 1, 8) AS UBIGINT) / 4294967296.0 AS gap FROM m),
+j AS (SELECT s.part, s.number, s.base, nn.neighbour, gap, s.v AS bv, e.v AS nv FROM s JOIN nn ON nn.part = s.part AND nn.vec_id = s.base AND nn.position = floor(u * kk) + 1 JOIN e ON e.vec_id = nn.neighbour)
+SELECT part, number, base, neighbour, round(gap, 9) AS gap, round(bv[1] + gap * (nv[1] - bv[1]), 9) AS first, round(bv[64] + gap * (nv[64] - bv[64]), 9) AS last FROM j""",
+)
+def synthetic_minority_rows(spark, sf_dir):
+    from lumbre.operators.neighbours import smote
+
+    out = smote(_vectors(spark, sf_dir), "part", "vec_id", "v", "y", 5, 6)
+    return out.select("part", "number", "base", "neighbour", rounded(F.col("gap")).alias("gap"), rounded(F.col("v")[0]).alias("first"), rounded(F.col("v")[63]).alias("last"))

@@ -113,3 +113,30 @@ def test_stream_collects_each_artifact_once(spark, tmp_path):
     rows = writers.latest_rows(spark, table, ["run", "fold"]).orderBy("fold").collect()
     assert [(r["fold"], r["f1"]) for r in rows] == [(1, 0.1), (2, 0.2)]
     assert spark.read.parquet(table).count() == 2
+
+
+def test_neighbours_with_many_cells_and_a_crowded_one(spark, monkeypatch):
+    from lumbre.operators import neighbours as NB
+
+    # Small blocks force several pivots, several blocks per cell, and a third of the points in one spot.
+    monkeypatch.setattr(NB, "BLOCK", 40)
+    rng = np.random.default_rng(5)
+    pts = np.concatenate([rng.normal(size=(200, 3)), np.tile([[2.0, 2.0, 2.0]], (100, 1)) + rng.normal(size=(100, 3)) * 1e-3])
+    df = spark.createDataFrame([("g", i, [float(x) for x in p]) for i, p in enumerate(pts)], "g string, id long, v array<double>")
+    got = {}
+    for r in NB.exact_neighbours(df, "g", "id", "v", 4).collect():
+        got.setdefault(r["id"], {})[r["position"]] = r["neighbour"]
+    d = np.sqrt(((pts[:, None] - pts[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    want = np.argsort(d, axis=1, kind="stable")[:, :4]
+    assert len(got) == 300 and all([got[i][p] for p in (1, 2, 3, 4)] == list(want[i]) for i in range(300))
+
+
+def test_synthetic_rows_balance_and_lie_between(spark):
+    from lumbre.operators.neighbours import smote
+
+    rows = [("g", i, [float(i), float(i * i)], int(i < 4)) for i in range(15)]
+    out = smote(spark.createDataFrame(rows, "g string, id long, v array<double>, y int"), "g", "id", "v", "y", 5, 1).collect()
+    assert len(out) == 7 and all(r["base"] < 4 and r["neighbour"] < 4 and r["base"] != r["neighbour"] for r in out)
+    for r in out:
+        assert r["v"][0] == pytest.approx(r["base"] + r["gap"] * (r["neighbour"] - r["base"]))
