@@ -22,22 +22,24 @@ def _keyed(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
 
 
 def _add_bucket_offsets(df: DataFrame, keys: list[str], bucket: str, order: list[Column], values: dict[str, Column]) -> DataFrame:
-    """Inclusive running totals of ``values`` plus ``total_*`` per key, given an order-following bucket."""
-    local = W.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    rows = df.select("*", *[F.sum(v).over(local).alias(f"__run_{n}") for n, v in values.items()])
-    sums = df.groupBy(*keys, bucket).agg(*[F.sum(v).alias(f"__sum_{n}") for n, v in values.items()])
-    before = W.partitionBy(*keys).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
-    whole = W.partitionBy(*keys)
+    """Inclusive running totals of ``values`` plus ``total_*`` per key, given an order-following bucket.
+
+    Key and bucket form one struct: structs with null fields still compare as equal, and window, sums
+    and join all partition by it, so the rows are shuffled once.
+    """
+    placed = df.withColumn("__g", F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col(bucket).alias("bucket")))
+    local = W.partitionBy("__g").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    rows = placed.select("*", *[F.sum(v).over(local).alias(f"__run_{n}") for n, v in values.items()])
+    sums = placed.groupBy("__g").agg(*[F.sum(v).alias(f"__sum_{n}") for n, v in values.items()])
+    parts = [F.col(f"__g.k{i}") for i in range(len(keys))]
+    before = W.partitionBy(*parts).orderBy("__g.bucket").rowsBetween(W.unboundedPreceding, -1)
+    whole = W.partitionBy(*parts)
     offsets = sums.select(
-        *[F.col(k).alias(f"__k_{k}") for k in keys],
-        F.col(bucket).alias("__k_bucket"),
+        F.col("__g").alias("__k"),
         *[F.coalesce(F.sum(f"__sum_{n}").over(before), F.lit(0)).alias(f"__off_{n}") for n in values],
         *[F.sum(f"__sum_{n}").over(whole).alias(f"total_{n}") for n in values],
     )
-    match = F.col(bucket).eqNullSafe(F.col("__k_bucket"))
-    for k in keys:
-        match = match & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-    joined = rows.join(offsets, match, "inner")
+    joined = rows.join(offsets, F.col("__g") == F.col("__k"))
     return joined.select(
         *[F.col(c) for c in df.columns if c not in (bucket, _EMPTY)],
         *[(F.col(f"__run_{n}") + F.col(f"__off_{n}")).alias(f"cum_{n}") for n in values],

@@ -56,7 +56,7 @@ def stratified_folds(df: DataFrame, ids: list[str], stratum: list[str], k: int,
     keys = ([repeat] if repeat else []) + stratum
     seed_col = joined(seed, F.col(repeat)) if repeat else seed
     ranked = hash_rank(df, keys, ids, seed_col, "__rank")
-    sizes = ranked.groupBy(*keys).count()
+    sizes = df.groupBy(*keys).count()
     # One row per stratum: the window runs over the label sets of one repeat.
     before = W.partitionBy(*([repeat] if repeat else [F.lit(0)])).orderBy(*stratum).rowsBetween(W.unboundedPreceding, -1)
     starts = sizes.select(*keys, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
@@ -131,10 +131,12 @@ def group_split(df: DataFrame, group: str, share: float, seed, out: str = "split
 def align_splits(splits: DataFrame, cohort_ids: DataFrame, id_col: str = "id") -> DataFrame:
     """Stored folds for the current cohort; a fold without train rows gets the complement of its test."""
     kept = splits.join(cohort_ids, id_col, "left_semi")
-    empty = kept.groupBy("fold").agg(F.count_if(F.col("split") == "train").alias("n")).filter("n = 0").select("fold")
+    # Fold numbers are settings: a short list.
+    empty = [r["fold"] for r in kept.groupBy("fold").agg(F.count_if(F.col("split") == "train").alias("n")).filter("n = 0").collect()]
     tests = kept.filter("split = 'test'")
-    # ``empty`` has at most one row per fold.
-    all_pairs = cohort_ids.select(id_col).join(F.broadcast(empty), how="cross")
+    if not empty:
+        return kept.select("fold", "split", id_col)
+    all_pairs = cohort_ids.select(id_col, F.explode(F.array(*[F.lit(f) for f in empty])).alias("fold"))
     train = all_pairs.join(tests, ["fold", id_col], "left_anti").withColumn("split", F.lit("train"))
     return kept.select("fold", "split", id_col).unionByName(train.select("fold", "split", id_col))
 

@@ -13,7 +13,7 @@ from lumbre.plans.registry import query
 from lumbre.plans.result_queries import FOLD_SQL, fold_metrics
 from lumbre.plans.split_queries import _folds, folds_sql
 from lumbre.plans.base import COHORT_SQL
-from lumbre.session import _ensure_checkpoint_dir
+from lumbre.session import ensure_checkpoint_dir
 from lumbre.sources import readers as R
 from lumbre.sources import writers as W
 from lumbre.operators.splits import split_table
@@ -21,7 +21,7 @@ from lumbre.operators.splits import split_table
 
 def _shared_path(spark, name: str) -> str:
     """A fresh folder next to the session's checkpoints, which every executor can reach."""
-    _ensure_checkpoint_dir(spark)
+    ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 

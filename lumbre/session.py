@@ -30,7 +30,7 @@ def local_session(cores: str = "8", app: str = "lumbre") -> SparkSession:
     )
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.getCheckpointDir():
         return
@@ -49,7 +49,7 @@ def durable(df: DataFrame) -> DataFrame:
     Used where two branches of a plan must see one and the same table even when executors are
     lost in between, and to cut lineage between the levels of a bounded loop.
     """
-    _ensure_checkpoint_dir(df.sparkSession)
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
