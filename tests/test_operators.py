@@ -358,3 +358,16 @@ def test_series_geometry_by_hand(spark):
     df = spark.createDataFrame([("s", v) for v in (0.0, 1.0, 1.0, 3.0, 4.0)], "k string, p double")
     r = E.series_geometry(df, ["k"], "p").first()
     assert (r["n_positions"], r["n_duplicates"], r["median_gap"], r["coverage"]) == (4, 1, 1.0, 5.0)
+
+
+def test_bucketed_running_totals_equal_plain_ones(spark):
+    # One key holds most rows; another is null.
+    df = spark.range(4000).select(
+        F.when(F.col("id") % 10 == 0, F.lit(None).cast("string")).when(F.col("id") % 10 == 1, "b").otherwise("a").alias("k"),
+        (F.pmod(F.col("id") * 7919, F.lit(4001)) / 7.0).alias("score"), (F.col("id") % 3).alias("pos"),
+    )
+    bucketed = O.running_totals(df, ["k"], "score", ["pos"], O.quantile_bounds(df, "score", 32))
+    plain = O.running_totals(df, ["k"], "score", ["pos"], [])
+    key = lambda r: (str(r["k"]), r["score"])
+    a, b = sorted(bucketed.collect(), key=key), sorted(plain.collect(), key=key)
+    assert [(r["k"], r["score"], r["cum_pos"], r["total_pos"]) for r in a] == [(r["k"], r["score"], r["cum_pos"], r["total_pos"]) for r in b]
