@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumbre.llm import bloom_dedup, minhash, quality_rules
+from lumbre.llm import bloom_dedup, lattice_lm, minhash, quality_rules
 from lumbre.llm.common import read_table
 
 QUERIES: dict = {}
@@ -48,3 +48,10 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _query(op9_minhash_near_dedup)
+
+
+def op1_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.lattice_scores(read_table(spark, sf_dir, "documents"))
+
+
+_query(op1_lattice_lm)
