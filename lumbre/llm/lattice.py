@@ -39,8 +39,8 @@ class Pieces:
         for i, piece in enumerate(self.text):
             if model.is_byte(i):
                 self.byte_ids[int(piece[1:-1], 16)] = i
-            # Runs of the word mark carry a score that forbids them.
-            elif not (model.is_control(i) or model.is_unknown(i) or self.scores[i] < -1e8):
+            # Runs of the word mark carry a score that forbids them; the mark alone is needed before words without a marked piece.
+            elif not (model.is_control(i) or model.is_unknown(i)) and (self.scores[i] > -1e8 or piece == MARK):
                 self.normal[piece] = i
         self.longest = max(map(len, self.normal))
         self.keys = np.zeros(self.size + 1, np.uint64)
@@ -80,7 +80,7 @@ class Pieces:
         """Probabilities from the vocabulary's scores.  They are minus ranks, so weights fall with the rank; pieces that may not be used have none."""
         weight = np.zeros(self.size)
         usable = list(self.normal.values())
-        weight[usable] = 1 / (2.0 - self.scores[usable])
+        weight[usable] = 1 / np.minimum(2.0 - self.scores[usable], self.size)
         weight[self.byte_ids] = 1 / self.size
         return weight / weight.sum()
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumbre.llm import bloom_dedup, lattice_lm, minhash, quality_rules
-from lumbre.llm.common import read_table
+from lumbre.llm import bloom_dedup, lattice_lm, minhash, nbest, quality_rules
+from lumbre.llm.common import read_table, text_of
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -55,3 +55,18 @@ def op1_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _query(op1_lattice_lm)
+
+
+def op8_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = nbest.encode_n_best(read_table(spark, sf_dir, "documents").select("doc_id", text_of("text").alias("text")), n=4)
+    return nbest.decode(encoded).select(
+        "doc_id",
+        F.size("piece_ids").cast("long").alias("n_pieces"),
+        F.sha2(F.array_join("piece_ids", " "), 256).alias("piece_ids_sha256"),
+        F.transform("n_best", lambda w: w["score"]).alias("scores"),
+        F.col("n_best").alias("n_best"),
+        (F.col("decoded") == F.col("text")).alias("round_trip"),
+    )
+
+
+_query(op8_sentencepiece_nbest)
