@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumbre.llm import bloom_dedup, lattice_lm, minhash, nbest, quality_rules
+from lumbre.llm import bloom_dedup, cotraining, lattice_lm, minhash, nbest, quality_rules
 from lumbre.llm.common import read_table, text_of
 
 QUERIES: dict = {}
@@ -70,3 +70,11 @@ def op8_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _query(op8_sentencepiece_nbest)
+
+
+def op7_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = cotraining.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "text_score", "field_score", F.col("quality_score").alias("score"), F.col("quality_kept").alias("kept"))
+
+
+_query(op7_cotraining_quality)
