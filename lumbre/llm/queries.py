@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumbre.llm import bloom_dedup, cotraining, lattice_lm, minhash, nbest, quality_rules
+from lumbre.llm import bloom_dedup, cotraining, curriculum, lattice_lm, minhash, nbest, quality_rules
 from lumbre.llm.common import read_table, text_of
 
 QUERIES: dict = {}
@@ -78,3 +78,12 @@ def op7_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _query(op7_cotraining_quality)
+
+
+def op5_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = curriculum.schedule_documents(read_table(spark, sf_dir, "documents"))
+    first = F.get("positions", F.lit(0))
+    return plan.orderBy(first.asc_nulls_last(), "doc_id").select("doc_id", "size", "source_size", "target", "taken")
+
+
+_query(op5_curriculum_mix, curriculum.SQL)
