@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumbre.llm import bloom_dedup, cotraining, curriculum, lattice_lm, minhash, nbest, quality_rules
+from lumbre.llm import bloom_dedup, cotraining, curriculum, lattice_lm, minhash, nbest, notices, prefix_targets, quality_rules
 from lumbre.llm.common import read_table, text_of
 
 QUERIES: dict = {}
@@ -87,3 +87,21 @@ def op5_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _query(op5_curriculum_mix, curriculum.SQL)
+
+
+def op3_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notices.scan_notices(read_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+_query(op3_license_notices)
+
+
+def op4_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], turns.schema)
+    formatted = prefix_targets.format_conversations(turns.unionByName(extra))
+    return prefix_targets.digests(formatted).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
+_query(op4_prefix_targets, prefix_targets.SQL)
