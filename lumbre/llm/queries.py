@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumbre.llm import bloom_dedup, cotraining, curriculum, lattice_lm, minhash, nbest, notices, prefix_targets, quality_rules
+from lumbre.llm import bloom_dedup, cotraining, curriculum, lattice_lm, main_text, minhash, nbest, notices, prefix_targets, quality_rules
 from lumbre.llm.common import read_table, text_of
 
 QUERIES: dict = {}
@@ -105,3 +105,10 @@ def op4_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _query(op4_prefix_targets, prefix_targets.SQL)
+
+
+def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract_main_text(read_table(spark, sf_dir, "pages"))
+
+
+_query(op6_html_main_text)
