@@ -1,6 +1,6 @@
 """Main text of web pages as the contiguous region with the greatest score.
 
-A page is a sequence of tags and words.  Words score positive, tags negative, words inside menus and the like negative too; one linear
+A page is a sequence of tags and words.  Words score positive, tags negative, all inside menus and the like slightly negative; one linear
 scan finds the contiguous region with the greatest sum.  What lies in the region but in a menu, advert, form or comment is left out.
 
 The weights come from labelled pages: pages that mark their content with exactly one ``article`` (or ``main``) element, of which a bounded sample by
@@ -30,8 +30,8 @@ MAX_LABELLED = 2_000
 DEFAULT_COST = 2.0
 LEAST_COST = 0.05
 SCALES = (1.0, 2.0, 4.0, 8.0, 16.0)
-#: A word inside a menu, advert, form or comment.
-ASIDE_WORD = -1.0
+#: A tag or word inside a menu, advert, form or comment.  It is left out of the text in any case, so it hardly parts what stands around it.
+ASIDE_COST = 0.01
 SPACE = re.compile("[ \t\n\x0b\x0c\r]+")
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|title|select)\b.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>|<(?P<close>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attrs>[^>]*)>|(?P<text>[^<]+|<)",
@@ -75,7 +75,9 @@ def tokens(page: str) -> list[tuple[str, str, bool, bool]]:
         if not m["tag"]:
             continue
         tag = m["tag"].lower()
+        attrs = m["attrs"]
         if m["close"]:
+            was = asides > 0
             if any(t == tag for t, _ in open_tags):
                 while open_tags:
                     name, aside = open_tags.pop()
@@ -83,19 +85,20 @@ def tokens(page: str) -> list[tuple[str, str, bool, bool]]:
                     labelled -= name in LABEL_TAGS
                     if name == tag:
                         break
-            out.append((tag, "", asides > 0, labelled > 0))
+            out.append((tag, "", was, labelled > 0))
             continue
-        out.append((tag, "", asides > 0, labelled > 0))
-        if tag not in VOID_TAGS and not m["attrs"].endswith("/"):
-            if tag == "body":  # a head that was never closed ends here
-                asides = labelled = 0
-                open_tags.clear()
+        if tag == "body":  # a head that was never closed ends here
+            asides = labelled = 0
+            open_tags.clear()
+        aside = False
+        if tag not in VOID_TAGS and not attrs.endswith("/"):
             if tag == "p" and open_tags and open_tags[-1][0] == "p":
-                open_tags.pop()
-            aside = _is_aside(tag, m["attrs"])
+                asides -= open_tags.pop()[1]
+            aside = _is_aside(tag, attrs)
             open_tags.append((tag, aside))
             asides += aside
             labelled += tag in LABEL_TAGS
+        out.append((tag, "", asides > 0, labelled > 0 and tag not in LABEL_TAGS))
     return out
 
 
@@ -104,10 +107,12 @@ def best_region(page: list, costs: dict[str, float], other: float) -> tuple[int,
     best = run = 0.0
     begin, found = 0, (0, 0)
     for k, (tag, text, aside, _) in enumerate(page):
-        if tag:
+        if aside:
+            run -= ASIDE_COST * (1 if tag else len(text.split()))
+        elif tag:
             run -= costs.get(tag, other)
         else:
-            run += len(text.split()) * (ASIDE_WORD if aside else 1.0)
+            run += len(text.split())
         if run <= 0:
             run, begin = 0.0, k + 1
         elif run > best or (run == best and begin == found[0]):
