@@ -8,6 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def reaches(score: Column, threshold: Column) -> Column:
+    """``score >= threshold``; a score that is missing or not a number never reaches one."""
+    return F.coalesce(~F.isnan(score.cast("double")) & (score >= threshold), F.lit(False))
+
+
 def ratio(num: Column, den: Column, empty: float | None = None) -> Column:
     """``num / den``; an empty denominator gives ``empty`` (null, or a number such as 0.0)."""
     return F.when(den == 0, F.lit(empty).cast("double")).otherwise(num / F.nullif(den, F.lit(0)))

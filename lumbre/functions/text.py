@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Latin letters with marks and their base letters.
-ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ"
-UNACCENTED = "aaaaaaeeeeiiiiooooouuuuncyy"
 
+
+def _base_letter(letter: str) -> str:
+    """What is left of a letter when its marks are taken off."""
+    return "".join(c for c in unicodedata.normalize("NFKD", letter) if not unicodedata.combining(c))
+
+
+# Letters below U+2000 that are one base letter with marks, by Unicode's own decompositions.
+_MARKED = {chr(c): base for c in range(0xC0, 0x2000) if chr(c).isalpha() and len(base := _base_letter(chr(c))) == 1 and base != chr(c)}
+ACCENTED, UNACCENTED = "".join(_MARKED), "".join(_MARKED.values())
+#: Marks that stand by themselves.
+MARKS = r"\p{M}+"
 # Cell contents that mean "missing".
 MISSING_MARKERS = ("", "x", "nan", "none")
 
 
 def strip_accents(text: Column) -> Column:
-    """Lower-case the text and replace marked Latin letters by their base letter."""
-    return F.translate(F.lower(text), ACCENTED, UNACCENTED)
+    """Lower-case the text, replace marked letters by their base letter and remove marks of their own."""
+    return F.regexp_replace(F.translate(F.lower(text), ACCENTED, UNACCENTED), MARKS, "")
 
 
 def normalise_text(text: Column) -> Column:

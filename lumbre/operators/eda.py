@@ -147,25 +147,29 @@ def count_pivot(df: DataFrame, row: str, column: str, levels: list) -> DataFrame
     return wide.select(row, *[f"n_{v}" for v in levels], *[(100.0 * F.col(f"n_{v}") / F.col("__n")).alias(f"percent_{v}") for v in levels])
 
 
-def bin_label(value: Column, edges: list[float]) -> Column:
-    """Left-closed bins ``[a, b)``; values outside the edges are null."""
+def bin_names(edges: list[float]) -> list[str]:
+    """Names ``[a, b)`` of left-closed bins; an edge has all its digits where six would change it."""
+    digits = [f"{e:g}" if float(f"{e:g}") == e else repr(float(e)) for e in edges]
+    return [f"[{a}, {b})" for a, b in zip(digits, digits[1:])]
+
+
+def bin_index(value: Column, edges: list[float]) -> Column:
+    """Number of the left-closed bin ``[a, b)``, from 0; null outside the edges."""
     out = None
-    for a, b in zip(edges, edges[1:]):
+    for i, (a, b) in enumerate(zip(edges, edges[1:])):
         here = (value >= a) & (value < b)
-        name = F.lit(f"[{a:g}, {b:g})")
-        out = F.when(here, name) if out is None else out.when(here, name)
+        out = F.when(here, i) if out is None else out.when(here, i)
     return out
 
 
 def rates_per_bin(df: DataFrame, value: str, edges: list[float], labels: list[str]) -> DataFrame:
     """Label rates per bin with bin sizes; empty bins stay with n = 0."""
     spark = df.sparkSession
-    names = [f"[{a:g}, {b:g})" for a, b in zip(edges, edges[1:])]
-    bins = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "bin_index int, bin string")
-    stats = df.withColumn("bin", bin_label(F.col(value), edges)).filter("bin is not null").groupBy("bin").agg(
+    bins = spark.createDataFrame(list(enumerate(bin_names(edges))), "bin_index int, bin string")
+    stats = df.withColumn("bin_index", bin_index(F.col(value), edges)).filter("bin_index is not null").groupBy("bin_index").agg(
         F.count(F.lit(1)).alias("n"), *[F.avg(F.col(c).cast("double")).alias(c) for c in labels]
     )
-    wide = bins.join(stats, "bin", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    wide = bins.join(stats, "bin_index", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return wide.unpivot(["bin_index", "bin", "n"], labels, "label", "rate")
 
 

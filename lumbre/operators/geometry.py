@@ -48,11 +48,14 @@ def far_from(points: DataFrame, others: DataFrame, keys: list[str], coords: list
 def nearest_distance(points: DataFrame, others: DataFrame, keys: list[str], ids: list[str], coords: list[str], first_radius: float, out: str = "distance") -> DataFrame:
     """Exact distance from each point to the nearest other point of its key; null when the key has none.
 
+    Points without a finite coordinate on every axis match nothing, on either side.
+
     Neighbouring grid cells are searched first; points whose nearest match lies beyond the cell edge
     go on with twice the edge. The loop ends after about log2(extent / first radius) rounds.
     """
-    targets = others.select(*keys, *coords).distinct()
-    open_points = points.select(*keys, *ids, *coords).join(targets.select(*keys).distinct(), keys, "left_semi")
+    placed = reduce(lambda a, b: a & b, [F.coalesce(~F.isnan(c) & (F.abs(c) != float("inf")), F.lit(False)) for c in coords])
+    targets = others.filter(placed).select(*keys, *coords).distinct()
+    open_points = points.filter(placed).select(*keys, *ids, *coords).join(targets.select(*keys).distinct(), keys, "left_semi")
     done: list[DataFrame] = []
     radius = float(first_radius)
     cells = [f"__c{i}" for i in range(len(coords))]

@@ -122,9 +122,8 @@ def row_rank(df: DataFrame, keys: list[str], order: list[tuple[str, bool]], out:
     value = F.col(lead).cast("double")
     # Odd numbers are single hot values, even numbers the ranges between cut points.
     first = F.lit(2) * _bucket_of(value, cuts) + F.when(value.isin(*hot) if hot else F.lit(False), 1).otherwise(0)
-    if hot:
-        # A hot value is itself a cut point: rows below it in the same range keep the even number.
-        first = F.when(value.isNull(), F.lit(-1)).otherwise(first)
+    # Nulls come last either way: after the highest bucket, or before the lowest, whose order is turned round below.
+    first = F.when(value.isNull(), F.lit(2 * len(cuts) + 2 if lead_up else -1)).otherwise(first)
     second = F.lit(0)
     numeric = dict(df.dtypes)
     if hot and len(order) > 1 and numeric[order[1][0]] in ("int", "bigint", "double", "float", "smallint"):

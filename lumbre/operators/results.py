@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumbre.functions.numeric import approx_equal
+from lumbre.functions.numeric import approx_equal, reaches
 from lumbre.operators.ordered import best_row, top_rows
 from lumbre.session import ContractError
 
@@ -69,11 +69,12 @@ def metric_mismatches(stored: DataFrame, recomputed: DataFrame, keys: list[str])
 
 def prediction_check(oof: DataFrame, keys: list[str], threshold: Column) -> DataFrame:
     """Stored predictions against ``score >= threshold``: mismatches within and beyond the tie tolerance."""
-    mismatch = F.col("pred") != (F.col("score") >= threshold).cast("int")
-    tie = F.abs(F.col("score") - threshold) <= TIE_TOLERANCE
+    mismatch = F.col("pred") != reaches(F.col("score"), threshold).cast("int")
+    distance = F.when(~F.isnan("score"), F.abs(F.col("score") - threshold))
+    tie = F.coalesce(distance <= TIE_TOLERANCE, F.lit(False))
     return oof.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(mismatch & tie).alias("n_ties"), F.count_if(mismatch & ~tie).alias("n_invalid"),
-        F.max(F.when(mismatch & ~tie, F.abs(F.col("score") - threshold))).alias("max_difference"),
+        F.max(F.when(mismatch & ~tie, distance)).alias("max_difference"),
     )
 
 

@@ -36,14 +36,17 @@ def canonical_cells(spark, sf_dir):
 
 @query(
     "multi_hot_labels",
-    f"""WITH {CELL_SQL} SELECT lang, {", ".join(f"CAST(sum(CASE WHEN list_contains(labels, '{v}') THEN 1 ELSE 0 END) AS BIGINT) AS has_{v}" for v in ("de", "en", "es", "fr"))},
-  CAST(sum(CASE WHEN len(labels) = 0 THEN 1 ELSE 0 END) AS BIGINT) AS no_label FROM parsed GROUP BY lang""",
+    f"""WITH {CELL_SQL}, v AS (SELECT DISTINCT unnest(labels) AS label FROM parsed)
+SELECT lang, 'has_' || label AS label, CAST(sum(CASE WHEN list_contains(labels, label) THEN 1 ELSE 0 END) AS BIGINT) AS n FROM parsed, v GROUP BY ALL
+UNION ALL SELECT lang, 'no_label', CAST(sum(CASE WHEN len(labels) = 0 THEN 1 ELSE 0 END) AS BIGINT) FROM parsed GROUP BY lang""",
 )
 def multi_hot_labels(spark, sf_dir):
     rows = cells(spark, sf_dir)
-    vocabulary = [v for v in P.label_vocabulary(rows, "cell") if len(v) == 2]
+    vocabulary = P.label_vocabulary(rows, "cell")
     hot = P.multi_hot(rows, "cell", vocabulary, "no_label", "has_")
-    return hot.groupBy("lang").agg(*[F.sum(F.col(c).cast("bigint")).alias(c) for c in [*("has_" + v for v in vocabulary), "no_label"]])
+    names = [*("has_" + v for v in vocabulary), "no_label"]
+    sums = hot.groupBy("lang").agg(*[F.sum(F.col(c).cast("bigint")).alias(c) for c in names])
+    return sums.unpivot(["lang"], names, "label", "n")
 
 
 @query(
@@ -58,7 +61,7 @@ def three_state_labels(spark, sf_dir):
     return both.groupBy("labelset").agg(F.count(F.lit(1)).alias("n"))
 
 
-_ACCENT_SQL = "translate(lower(text), 'áàâäãåéèêëíìîïóòôöõúùûüñçýÿ', 'aaaaaaeeeeiiiiooooouuuuncyy')"
+_ACCENT_SQL = f"regexp_replace(translate(lower(text), '{X.ACCENTED}', '{X.UNACCENTED}'), '\\p{{M}}+', '', 'g')"
 
 
 @query(

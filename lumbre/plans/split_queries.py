@@ -354,10 +354,11 @@ m AS (SELECT part, vec_id AS base, v, unnest(range(rank, CAST(n - p + 1 AS BIGIN
 s AS (SELECT m.*, least(5, (SELECT max(p) FROM c WHERE c.part = m.part) - 1) AS kk,
   CAST('0x' || substr(md5('6|neighbour|' || m.part || '|' || number), 1, 8) AS UBIGINT) / 4294967296.0 AS u, CAST('0x' || substr(md5('6|gap|' || m.part || '|' || number), 1, 8) AS UBIGINT) / 4294967296.0 AS gap FROM m),
 j AS (SELECT s.part, s.number, s.base, nn.neighbour, gap, s.v AS bv, e.v AS nv FROM s JOIN nn ON nn.part = s.part AND nn.vec_id = s.base AND nn.position = floor(u * kk) + 1 JOIN e ON e.vec_id = nn.neighbour)
-SELECT part, number, base, neighbour, round(gap, 9) AS gap, round(bv[1] + gap * (nv[1] - bv[1]), 9) AS first, round(bv[64] + gap * (nv[64] - bv[64]), 9) AS last FROM j""",
+SELECT part, number, base, neighbour, round(gap, 9) AS gap, CAST(i - 1 AS INT) AS axis, round(bv[i] + gap * (nv[i] - bv[i]), 9) AS value FROM j, unnest(range(1, len(bv) + 1)) x(i)""",
 )
 def synthetic_minority_rows(spark, sf_dir):
     from lumbre.operators.neighbours import smote
 
     out = smote(_vectors(spark, sf_dir), "part", "vec_id", "v", "y", 5, 6)
-    return out.select("part", "number", "base", "neighbour", rounded(F.col("gap")).alias("gap"), rounded(F.col("v")[0]).alias("first"), rounded(F.col("v")[63]).alias("last"))
+    rows = out.select("part", "number", "base", "neighbour", rounded(F.col("gap")).alias("gap"), F.posexplode("v").alias("axis", "value"))
+    return rows.withColumn("value", rounded(F.col("value")))

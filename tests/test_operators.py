@@ -371,3 +371,72 @@ def test_bucketed_running_totals_equal_plain_ones(spark):
     key = lambda r: (str(r["k"]), r["score"])
     a, b = sorted(bucketed.collect(), key=key), sorted(plain.collect(), key=key)
     assert [(r["k"], r["score"], r["cum_pos"], r["total_pos"]) for r in a] == [(r["k"], r["score"], r["cum_pos"], r["total_pos"]) for r in b]
+
+
+# ---- values that are not finite, digits, nulls in order --------------------------------------------------
+
+
+NAN, INF = float("nan"), float("inf")
+
+
+def planted_oof(spark):
+    rows = [("a", 1, NAN), ("a", 0, 0.2), ("a", 1, 0.8), ("a", 0, 0.1), ("b", 1, NAN), ("b", 0, None), ("c", 1, INF), ("c", 0, 0.3), ("c", 1, 0.9)]
+    return spark.createDataFrame([(run, k, "x", y, s) for k, (run, y, s) in enumerate(rows)], "run string, id int, label string, y_true int, score double")
+
+
+def test_scores_that_are_not_numbers_reach_no_threshold(spark):
+    rows = planted_oof(spark)
+    chosen = {r.run: r for r in T.observed_threshold(rows, ["run"]).collect()}
+    assert chosen["a"].threshold == 0.8 and chosen["a"].gmean == pytest.approx(0.5**0.5)
+    assert chosen["b"].threshold == 0.5 and chosen["b"].gmean == 0
+    assert chosen["c"].threshold == 0.9 and chosen["c"].gmean == 1
+    grid = {(r.run, r.threshold): r for r in T.grid_threshold_curve(rows, ["run"]).collect()}
+    assert (grid["a", 0.5].tp, grid["a", 0.5].fn, grid["b", 0.5].tp, grid["b", 0.5].fn, grid["c", 0.5].tp) == (1, 1, 0, 1, 2)
+    pred = T.apply_thresholds(rows, spark.createDataFrame([("a", 0.5), ("b", 0.5), ("c", 0.5)], "run string, threshold double"), ["run"])
+    assert {r.id: r.pred for r in pred.collect()} == {0: 0, 1: 0, 2: 1, 3: 0, 4: 0, 5: 0, 6: 1, 7: 0, 8: 1}
+    stored = R.prediction_check(rows.withColumn("pred", F.lit(0)), ["run"], F.lit(0.5)).collect()
+    assert {r.run: r.n_invalid for r in stored} == {"a": 1, "b": 0, "c": 2}
+
+
+def test_infinite_values_leave_other_pairs_alone(spark, monkeypatch):
+    from lumbre.operators import correlation as C
+
+    rows = [(float(k), float(k * k), -float(k), float(k % 3)) for k in range(20)] + [(INF, 1.0, 2.0, 0.0), (3.0, NAN, -3.0, 1.0), (None, 5.0, 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    whole = {(r.i, r.j): (r.n, r.r) for r in C.correlation_pairs(df, ["a", "b", "c", "d"]).collect()}
+    assert len(whole) == 6 and whole[0, 2] == (21, pytest.approx(-1.0))
+    monkeypatch.setattr(C, "TILE", 3)
+    tiled = {(r.i, r.j): (r.n, pytest.approx(r.r)) for r in C.correlation_pairs(df, ["a", "b", "c", "d"]).collect()}
+    assert tiled == whole
+
+
+def test_bins_whose_edges_agree_in_six_digits(spark):
+    from lumbre.operators import eda as E
+
+    df = spark.createDataFrame([(1234561.0, 1), (1234563.0, 0)], "v double, y int")
+    rows = sorted(E.rates_per_bin(df, "v", [1234560, 1234562, 1234564], ["y"]).collect())
+    assert [(r.n, r.rate) for r in rows] == [(1, 1.0), (1, 0.0)] and rows[0].bin == "[1.23456e+06, 1234562.0)"
+
+
+@pytest.mark.parametrize("up", [True, False])
+def test_nulls_rank_last(spark, up):
+    from lumbre.operators.ordered import row_rank
+
+    df = spark.createDataFrame([(k, None if k % 5 == 0 else float(k % 7)) for k in range(200)], "id int, v double")
+    ranked = row_rank(df, [], [("v", up), ("id", True)]).collect()
+    want = sorted(ranked, key=lambda r: (r.v is None, (r.v if up else -r.v) if r.v is not None else 0, r.id))
+    assert [r["rank"] for r in want] == list(range(1, 201))
+
+
+def test_distance_of_points_without_a_coordinate(spark):
+    points = spark.createDataFrame([(1, "k", 0.0, 0.0), (2, "k", None, 0.0), (3, "k", NAN, 1.0), (4, "m", 1.0, 1.0)], "id int, key string, x double, y double")
+    others = spark.createDataFrame([("k", 3.0, 4.0), ("k", None, 0.0), ("m", NAN, 1.0)], "key string, x double, y double")
+    got = {r.id: r.distance for r in V.nearest_distance(points, others, ["key"], ["id"], ["x", "y"], 1.0).collect()}
+    assert got == {1: 5.0, 2: None, 3: None, 4: None}
+
+
+def test_accents_of_any_letter(spark):
+    from lumbre.functions.text import normalise_text
+
+    df = spark.createDataFrame([("Čeština  şehir ŐRÜLT été Ñandú Ågö",)], "t string")
+    assert df.select(normalise_text(F.col("t"))).first()[0] == "cestina sehir orult ete nandu ago"
