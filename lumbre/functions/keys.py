@@ -37,6 +37,17 @@ def sorted_json(columns: list[str]) -> Column:
     return F.to_json(F.struct(*[F.col(c) for c in sorted(columns)]), {"ignoreNullFields": "false"})
 
 
+def with_defaults(params: Column, defaults: dict[str, str], overwrite: dict[str, str] | None = None) -> Column:
+    """Map of settings with defaults for missing fields and fixed values for others; null settings are empty."""
+    def literal(values: dict[str, str]) -> Column:
+        return F.create_map(*[F.lit(x) for pair in values.items() for x in pair]) if values else F.from_json(F.lit("{}"), "map<string,string>")
+
+    fixed = overwrite or {}
+    given = F.map_filter(F.coalesce(params, F.from_json(F.lit("{}"), "map<string,string>")), lambda k, v: v.isNotNull() & ~k.isin(*fixed))
+    missing = F.map_filter(literal({k: v for k, v in defaults.items() if k not in fixed}), lambda k, _: ~F.coalesce(F.map_contains_key(given, k), F.lit(False)))
+    return F.map_concat(given, missing, literal(fixed))
+
+
 def canonical_params(json_text: Column) -> Column:
     """JSON object text with its keys in sorted order, so that equal settings compare equal."""
     entries = F.array_sort(F.map_entries(F.from_json(json_text, "map<string,string>")))

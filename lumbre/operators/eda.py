@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,10 +11,22 @@ from lumbre.functions.numeric import ratio, row_sum
 from lumbre.functions.text import missing_to_null, split_labels
 from lumbre.operators.association import melt
 from lumbre.operators.ordered import exact_quantiles, previous_value
+from lumbre.session import ContractError
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join in which a null key equals a null key; the columns of ``left``, then the others of ``right``."""
+    named = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys])
+    return left.join(named, match).drop(*[f"__r_{k}" for k in keys])
 
 
-def cohort_integrity(df: DataFrame, id_col: str) -> DataFrame:
-    """Rows, distinct ids, duplicate rows and nulls of the id, in one row."""
+def cohort_integrity(df: DataFrame, id_col: str, expected: int | None = None) -> DataFrame:
+    """Rows, distinct ids, duplicate rows and nulls of the id, in one row; another number of ids than expected is an error."""
+    if expected is not None:
+        found = df.select(F.countDistinct(id_col)).first()[0]
+        if found != expected:
+            raise ContractError(f"{found} ids instead of {expected}")
     return df.agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.countDistinct(id_col).alias("n_ids"),
@@ -56,7 +70,7 @@ def moments(df: DataFrame, keys: list[str], value: str) -> DataFrame:
         F.max(value).alias("max"), F.skewness(value).alias("skewness"), (F.kurtosis(value) + 3).alias("kurtosis"),
     )
     q = exact_quantiles(df, keys, value, [0.25, 0.5, 0.75]).select(*keys, "quantiles")
-    joined = stats.join(q, keys) if keys else stats.join(F.broadcast(q), how="cross")  # one row on each side
+    joined = join_null_safe(stats, q, keys) if keys else stats.join(F.broadcast(q), how="cross")  # one row on each side
     return joined.select(
         *keys, "n", "mean", "sd", "min", *[F.col("quantiles")[i].alias(f"q{25 * (i + 1)}") for i in range(3)], "max",
         (F.col("quantiles")[2] - F.col("quantiles")[0]).alias("iqr"), "skewness", "kurtosis",
@@ -70,7 +84,7 @@ def iqr_outliers(df: DataFrame, keys: list[str], value: str, factor: float = 1.5
         (F.col("quantiles")[0] - factor * (F.col("quantiles")[1] - F.col("quantiles")[0])).alias("lower"),
         (F.col("quantiles")[1] + factor * (F.col("quantiles")[1] - F.col("quantiles")[0])).alias("upper"),
     )
-    joined = df.join(q, keys) if keys else df.join(F.broadcast(q), how="cross")  # one row of bounds
+    joined = join_null_safe(df, q, keys) if keys else df.join(F.broadcast(q), how="cross")  # one row of bounds
     return joined.filter((F.col(value) < F.col("lower")) | (F.col(value) > F.col("upper")))
 
 
@@ -147,6 +161,39 @@ def count_pivot(df: DataFrame, row: str, column: str, levels: list) -> DataFrame
     return wide.select(row, *[f"n_{v}" for v in levels], *[(100.0 * F.col(f"n_{v}") / F.col("__n")).alias(f"percent_{v}") for v in levels])
 
 
+def outlier_share(df: DataFrame, keys: list[str], value: str, factor: float = 1.5) -> DataFrame:
+    """Rows, rows outside the IQR bounds and their share, per key."""
+    outside = iqr_outliers(df, keys, value, factor).groupBy(*keys).agg(F.count(F.lit(1)).alias("__out"))
+    sizes = df.groupBy(*keys).agg(F.count(value).alias("n"))
+    named = outside.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys])
+    both = sizes.join(named, match, "left").withColumn("n_outliers", F.coalesce("__out", F.lit(0)))
+    return both.select(*keys, "n", "n_outliers", (F.col("n_outliers") / F.nullif(F.col("n"), F.lit(0))).alias("share"))
+
+
+def dataset_profile(df: DataFrame, columns: list[str], cheap: bool = False) -> DataFrame:
+    """Per column: rows, nulls, distinct values and, for numbers, their range. The cheap form reads no value twice: it leaves the distinct values to a sketch."""
+    distinct = (lambda c: F.approx_count_distinct(c)) if cheap else (lambda c: F.countDistinct(c))
+    numeric = {c for c, t in df.dtypes if t in ("int", "bigint", "double", "float", "smallint", "tinyint")}
+    none = F.lit(None).cast("double")
+    facts = [
+        F.struct(
+            F.lit(c).alias("column"), F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col(c).isNull()).alias("n_null"), distinct(c).alias("n_unique"),
+            (F.min(F.col(c).cast("double")) if c in numeric else none).alias("least"), (F.max(F.col(c).cast("double")) if c in numeric else none).alias("greatest"),
+        )
+        for c in columns
+    ]
+    return df.agg(F.array(*facts).alias("facts")).select(F.inline("facts"))
+
+
+def class_mix(grid: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """How the settings of a grid share out over the classes of one column, per key: count and share."""
+    counts = grid.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    totals = grid.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_all"))
+    joined = join_null_safe(counts, totals, keys) if keys else counts.join(F.broadcast(totals), how="cross")  # one row of totals
+    return joined.select(*keys, value, "n", (F.col("n") / F.col("n_all")).alias("share"))
+
+
 def bin_names(edges: list[float]) -> list[str]:
     """Names ``[a, b)`` of left-closed bins; an edge has all its digits where six would change it."""
     digits = [f"{e:g}" if float(f"{e:g}") == e else repr(float(e)) for e in edges]
@@ -178,7 +225,7 @@ def grouped_summary(df: DataFrame, columns: list[str], keys: list[str]) -> DataF
     long = melt(df, keys, columns)
     means = long.groupBy(*keys, "feature").agg(F.count("value").alias("n"), F.avg("value").alias("mean"))
     q = exact_quantiles(long, [*keys, "feature"], "value", [0.25, 0.5, 0.75]).select(*keys, "feature", "quantiles")
-    return means.join(q, [*keys, "feature"]).select(
+    return join_null_safe(means, q, [*keys, "feature"]).select(
         *keys, "feature", "n", "mean", *[F.col("quantiles")[i].alias(f"q{25 * (i + 1)}") for i in range(3)]
     )
 

@@ -160,9 +160,10 @@ def neighbour_rows(centres: DataFrame, keys: list[str], centre: str, size: str,
 
 
 def representative_slices(slices: DataFrame, keys: list[str], position: str, area: str, score: str, n: int) -> DataFrame:
-    """The n slices of largest mask area, numbered in spatial order; by score where no slice has area."""
-    has_area = slices.groupBy(*keys).agg(F.max(area).alias("__top"))
-    measure = F.when(F.col("__top") > 0, F.col(area)).otherwise(F.col(score))
+    """The n slices of largest mask area, numbered in spatial order; by score where no slice has area, nearest the middle where none has a score."""
+    has_area = slices.groupBy(*keys).agg(F.max(area).alias("__top"), F.max(score).alias("__best"), ((F.min(position) + F.max(position)) / 2).alias("__middle"))
+    by_place = -F.abs(F.col(position) - F.col("__middle"))
+    measure = F.when(F.col("__top") > 0, F.col(area)).when(F.col("__best").isNotNull(), F.col(score)).otherwise(by_place)
     ranked = top_rows(slices.join(has_area, keys), keys, [measure.desc_nulls_last(), F.col(position)], n, "__place")
     # n rows per key from here on.
     return top_rows(ranked.drop("__top", "__place"), keys, [F.col(position)], n, "slice_order")

@@ -56,6 +56,9 @@ def cascading_join(
     complete = " AND ".join(f"`{t}` IS NOT NULL" for t in targets)
     for name, joined in plans:
         if not joined.filter(complete).isEmpty():
+            if name == "normalised":
+                # Labels that become one id would multiply the rows of the table.
+                assert_empty(duplicate_keys(norm, ["__l"]), "labels with one normalised id")
             out = joined.drop("__l")
             report = out.agg(
                 F.lit(name).alias("strategy"), F.count(F.lit(1)).alias("n_rows"), F.countDistinct(key).alias("n_ids"),
@@ -96,6 +99,14 @@ def key_differences(tables: dict[str, DataFrame], key: str) -> DataFrame:
     )
 
 
+def aligned(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """One-to-one join of tables that must have the same ids, each once; anything else is an error."""
+    for table in (left, right):
+        assert_empty(table.groupBy(key).count().filter((F.col("count") > 1) | F.col(key).isNull()), "ids that repeat or are missing")
+    assert_empty(key_differences({"left": left, "right": right}, key), "tables with different ids")
+    return left.join(right, key)
+
+
 def missing_with_reason(ids: DataFrame, other: DataFrame, key: str, reason: str) -> DataFrame:
     return ids.select(key).distinct().join(other.select(key), key, "left_anti").withColumn("reason", F.lit(reason))
 

@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lumbre.functions.keys import hash_order
-from lumbre.session import has_at_most
+from lumbre.session import broadcast_if_small, durable
 
 _EMPTY = "__all"
+#: Rows of a bucket, about, and the most cut points that one expression holds.
+BUCKET_ROWS, MOST_BUCKETS = 500_000, 1_024
 
 
 def _keyed(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
@@ -92,8 +94,12 @@ def running_totals(
 
 
 def bounds_if_large(df: DataFrame, order: str, small: int = 500_000, buckets: int = 64) -> list[float]:
-    """Cut points for a table of more than ``small`` rows, none for a smaller one."""
-    return [] if has_at_most(df, small) else quantile_bounds(df, order, buckets)
+    """Cut points for a table of more than ``small`` rows, none for a smaller one; the number of buckets follows the rows."""
+    rows = df.count()
+    if rows <= small:
+        return []
+    count = min(MOST_BUCKETS, max(buckets, rows // BUCKET_ROWS))
+    return quantile_bounds(df, order, count, min(0.002, 0.1 / count))
 
 
 def hash_rank(df: DataFrame, keys: list[str], ids: list[str], seed, out: str = "rank", size: str | None = None) -> DataFrame:
@@ -184,6 +190,8 @@ def exact_quantiles(
         F.when(small, F.array(*[F.lit(-inf) for _ in probs])).otherwise(F.col("__lo")).alias("__lo"),
         F.when(small, F.array(*[F.lit(inf) for _ in probs])).otherwise(F.col("__hi")).alias("__hi"),
     )
+    # One row per key, written once: its size decides whether the rows have to move to it.
+    bracket = broadcast_if_small(durable(bracket))
     match = None
     for k in ks:
         here = F.col(k).eqNullSafe(F.col(f"__b_{k}"))

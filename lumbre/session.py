@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,7 +40,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if shared:
         context.setCheckpointDir(shared)
     elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="lumbre-checkpoint-"))
+        folder = tempfile.mkdtemp(prefix="lumbre-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
     else:
         raise ContractError("set spark.checkpoint.dir to a shared folder on the cluster")
 
@@ -54,8 +58,8 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def has_at_most(df: DataFrame, limit: int) -> bool:
-    """True when ``df`` has no more than ``limit`` rows; reads no more than that."""
-    return df.limit(limit + 1).count() <= limit
+    """True when ``df`` has no more than ``limit`` rows; each task sends its count only."""
+    return df.count() <= limit
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumbre.session import ContractError
+from lumbre.session import ContractError, assert_empty
 
 _CORRUPT = "_corrupt_record"
 
@@ -65,6 +65,11 @@ def stale_files(spark: SparkSession, path: str, launched_at: str, pattern: str =
     return list_files(spark, path, pattern).filter(F.col("modificationTime") < F.lit(launched_at).cast("timestamp"))
 
 
+def assert_fresh(spark: SparkSession, path: str, launched_at: str, pattern: str = "*") -> None:
+    """A mix of files from before and after a launch is an error."""
+    assert_empty(stale_files(spark, path, launched_at, pattern).select("name", "modificationTime"), "files older than the launch")
+
+
 def content_hashes(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """SHA-256 of every input file."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
@@ -74,11 +79,11 @@ def content_hashes(spark: SparkSession, path: str, pattern: str = "*") -> DataFr
 def readability(spark: SparkSession, path: str, id_column: str, min_bytes: int = 10, pattern: str = "*.csv") -> DataFrame:
     """Per text file: size is not trivial, the id is in the header, and at least one row follows."""
     lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path)
-    per = lines.groupBy(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("length")).agg(
-        F.count_if(F.trim("value") != "").alias("n_lines"),
-        F.count_if(F.array_contains(F.split(F.regexp_replace("value", '^\\x{FEFF}|"', ""), "[,;\t|]"), id_column)).alias("n_headers"),
-    )
-    ok = (F.col("length") >= min_bytes) & (F.col("n_headers") >= 1) & (F.col("n_lines") >= 2)
+    # Lines of a block are numbered in order, and the header is the first line of the first block.
+    placed = lines.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("length"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"))
+    per = placed.groupBy("path", "length").agg(F.count_if(F.trim("value") != "").alias("n_lines"), F.min_by("value", "place").alias("header"))
+    named = F.array_contains(F.split(F.regexp_replace("header", '^\\x{FEFF}|"', ""), "[,;\t|]"), id_column)
+    ok = (F.col("length") >= min_bytes) & named & (F.col("n_lines") >= 2)
     return per.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", "n_lines", ok.cast("int").alias("readable"))
 
 

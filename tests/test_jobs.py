@@ -140,3 +140,74 @@ def test_synthetic_rows_balance_and_lie_between(spark):
     assert len(out) == 7 and all(r["base"] < 4 and r["neighbour"] < 4 and r["base"] != r["neighbour"] for r in out)
     for r in out:
         assert r["v"][0] == pytest.approx(r["base"] + r["gap"] * (r["neighbour"] - r["base"]))
+
+
+# ---- guards of sources and sinks, shared writes --------------------------------------------------
+
+
+def test_two_appends_at_once_keep_all_rows(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark.sql import functions as F
+
+    from lumbre.session import ContractError
+    from lumbre.sources import writers as W
+
+    path = str(tmp_path / "metrics")
+    with pytest.raises(ContractError):
+        W.latest_rows(spark, path, ["run", "fold"])
+
+    def append(k):
+        W.append_fold_rows(spark.range(50).select(F.lit(f"r{k % 2}").alias("run"), (F.col("id") + 100 * k).alias("fold"), F.lit(1.0 * k).alias("f1")), path)
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(append, range(4)))
+    (tmp_path / "metrics" / "write=broken" / "run=r0").mkdir(parents=True)
+    rows = W.latest_rows(spark, path, ["run", "fold"])
+    assert rows.count() == 200 and len(W.committed_writes(spark, path)) == 4
+
+
+def test_old_files_and_headers(spark, tmp_path):
+    from lumbre.session import ContractError
+    from lumbre.sources import readers as R
+
+    (tmp_path / "a.csv").write_text("id,x\n1,2\n")
+    (tmp_path / "b.csv").write_text("x,y\n1,2\nid,3\n")
+    (tmp_path / "c.csv").write_text('"id";y\n1;2\n3;4\n')
+    got = {r.name: r.readable for r in R.readability(spark, str(tmp_path), "id", 5).collect()}
+    assert got == {"a.csv": 1, "b.csv": 0, "c.csv": 1}
+    R.assert_fresh(spark, str(tmp_path), "2001-01-01 00:00:00")
+    with pytest.raises(ContractError):
+        R.assert_fresh(spark, str(tmp_path), "2101-01-01 00:00:00")
+
+
+def test_guards(spark):
+    from lumbre.operators import eda as E
+    from lumbre.operators import geometry as V
+    from lumbre.operators import joins as J
+    from lumbre.session import ContractError
+
+    left, right = spark.createDataFrame([(1, "a"), (2, "b")], "id int, x string"), spark.createDataFrame([(2, 5), (1, 4)], "id int, y int")
+    assert sorted(map(tuple, J.aligned(left, right, "id").collect())) == [(1, "a", 4), (2, "b", 5)]
+    for bad in (right.filter("id = 1"), right.unionByName(right), spark.createDataFrame([(None, 1), (1, 2), (2, 3)], "id int, y int")):
+        with pytest.raises(ContractError):
+            J.aligned(left, bad, "id")
+    assert E.cohort_integrity(left, "id", 2).first()["n_ids"] == 2
+    with pytest.raises(ContractError):
+        E.cohort_integrity(left, "id", 3)
+    slices = spark.createDataFrame([(1, z, 0, None) for z in range(9)], "id int, z int, area int, score double")
+    assert sorted(r.z for r in V.representative_slices(slices, ["id"], "z", "area", "score", 3).collect()) == [3, 4, 5]
+    labels = spark.createDataFrame([("P-1", 1), ("p 1", 0)], "name string, t int")
+    with pytest.raises(ContractError):
+        J.cascading_join(spark.createDataFrame([("P1",)], "pid string"), labels, "pid", "name", ["t"])
+    cheap = {r.column: r for r in E.dataset_profile(left, ["id", "x"], cheap=True).collect()}
+    assert (cheap["id"].n_unique, cheap["id"].least, cheap["x"].least) == (2, 1.0, None)
+
+
+def test_a_null_key_keeps_its_group(spark):
+    from lumbre.operators import eda as E
+
+    df = spark.createDataFrame([(None, 1.0), (None, 2.0), ("a", 5.0), (None, 90.0), (None, 1.5)], "k string, v double")
+    assert {r.k for r in E.moments(df, ["k"], "v").collect()} == {None, "a"}
+    assert {(r.k, r.n, r.n_outliers) for r in E.outlier_share(df, ["k"], "v").collect()} == {(None, 4, 1), ("a", 1, 0)}
+    assert {r.k for r in E.grouped_summary(df, ["v"], ["k"]).collect()} == {None, "a"}
