@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from lumbre.functions.keys import hash_order, joined
 from lumbre.functions.numeric import clip
 from lumbre.operators.ordered import hash_rank
-from lumbre.session import ContractError
+from lumbre.session import broadcast_if_small, ContractError
+
+#: Copies of one row that one array holds.
+PIECE = 1_000
 
 
 def training_subset(df: DataFrame, target: str, none_label: str, formulation: str) -> DataFrame:
@@ -69,7 +72,7 @@ def pu_bags(df: DataFrame, keys: list[str], ids: list[str], target: str, bags: i
     sizes = df.groupBy(*keys).agg(F.sum(F.col(target).cast("bigint")).alias("__p")) if keys else df.agg(F.sum(F.col(target).cast("bigint")).alias("__p"))
     ranked = hash_rank(copies.filter(F.col(target) == 0), [*keys, "bag"], ids, joined(seed, F.col("bag")), "__rank")
     # ``sizes`` has one row per key.
-    with_size = ranked.join(F.broadcast(sizes), keys) if keys else ranked.join(F.broadcast(sizes), how="cross")
+    with_size = ranked.join(broadcast_if_small(sizes), keys) if keys else ranked.join(F.broadcast(sizes), how="cross")
     drawn = with_size.filter(F.col("__rank") <= F.greatest(F.lit(1), F.bround(F.col("__p") * F.lit(ratio)).cast("bigint")))
     columns = [*df.columns, "bag"]
     return copies.filter(F.col(target) == 1).select(*columns).unionByName(drawn.select(*columns))
@@ -94,12 +97,15 @@ def oversample(df: DataFrame, keys: list[str], ids: list[str], target: str, seed
     sizes = df.groupBy(*keys).agg(pos.alias("__p"), neg.alias("__n")) if keys else df.agg(pos.alias("__p"), neg.alias("__n"))
     ranked = hash_rank(df, [*keys, target], ids, seed, "__rank", "__size")
     # ``sizes`` has one row per key.
-    both = ranked.join(F.broadcast(sizes), keys) if keys else ranked.join(F.broadcast(sizes), how="cross")
+    both = ranked.join(broadcast_if_small(sizes), keys) if keys else ranked.join(F.broadcast(sizes), how="cross")
     goal = F.greatest("__p", "__n")
     copies = F.floor(goal / F.col("__size")) + F.when(F.col("__rank") <= goal % F.col("__size"), 1).otherwise(0)
     # One class only: nothing to balance.
     copies = F.when((F.col("__p") == 0) | (F.col("__n") == 0), F.lit(1)).otherwise(copies)
-    return both.select(*df.columns, F.explode(F.sequence(F.lit(1).cast("bigint"), copies.cast("bigint"))).alias(out))
+    # In pieces, so that no array holds all copies of a row.
+    pieces = both.withColumn("__copies", copies.cast("bigint")).withColumn("__piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("__copies") - 1) / PIECE))))
+    first, last = F.col("__piece") * PIECE + 1, F.least((F.col("__piece") + 1) * PIECE, F.col("__copies"))
+    return pieces.select(*df.columns, F.explode(F.sequence(first, last)).alias(out))
 
 
 def balanced_subset(df: DataFrame, ids: list[str], target: str, size: int, seed) -> DataFrame:

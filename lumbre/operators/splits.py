@@ -111,8 +111,8 @@ def nested_split(assigned: DataFrame, ids: list[str], k: int, fold: str = "fold"
 
 def holdout(df: DataFrame, ids: list[str], stratum: str, share: float, seed, out: str = "split") -> DataFrame:
     """Stratified hold-out; without strata when there is one stratum only or one of fewer than two rows."""
-    sizes = [r[0] for r in df.groupBy(stratum).count().select("count").collect()]
-    keys = [stratum] if len(sizes) >= 2 and min(sizes) >= 2 else []
+    sizes = df.groupBy(stratum).count().agg(F.count(F.lit(1)).alias("strata"), F.min("count").alias("least")).first()
+    keys = [stratum] if sizes["strata"] >= 2 and sizes["least"] >= 2 else []
     ranked = hash_rank(df, keys, ids, seed, "__rank", "__size")
     want = F.round(F.col("__size") * F.lit(share))
     if not keys:

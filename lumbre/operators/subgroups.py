@@ -91,6 +91,20 @@ def make_patterns(frame: DataFrame, search: list[str], features: list[str], targ
     return folded.withColumns({"__h1": F.xxhash64("pattern"), "__h2": F.xxhash64(F.lit("second"), "pattern")})
 
 
+def permuted_patterns(each: DataFrame, positives: DataFrame, id_col: str, target: str, permutations: int) -> DataFrame:
+    """Patterns of the true labels (s = 0) and of every permutation, from one pattern per row.
+
+    ``each`` comes from ``make_patterns`` with the id among its keys; ``positives`` has (id, s) of the rows that a permutation
+    makes positive. Only those rows are joined; sizes of patterns are the same in all permutations.
+    """
+    keys = [c for c in each.columns if c not in (id_col, "n", target)]
+    totals = each.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(target).alias(target))
+    hits = positives.join(each, id_col).groupBy("s", *keys).agg(F.sum("n").alias("__hit"))
+    copies = totals.drop(target).withColumn("s", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
+    null = copies.join(hits, ["s", *keys], "left").withColumn(target, F.coalesce("__hit", F.lit(0).cast("bigint"))).drop("__hit")
+    return totals.withColumn("s", F.lit(0)).unionByName(null)
+
+
 def _match(a: DataFrame, b: DataFrame, keys: list[str], rows: int | None = None) -> DataFrame:
     """Equi-join on the keys; ``b`` is broadcast when its known or counted size is small."""
     if rows is None:

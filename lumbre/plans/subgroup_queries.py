@@ -234,7 +234,9 @@ ew AS (SELECT *, CASE WHEN n_covered = 0 THEN 0 ELSE coverage * (sp - gp) END AS
 
 def _cross_validated(spark, sf_dir):
     folds = _folds(spark, sf_dir).select("id", "fold")
-    rows = _frame(spark, sf_dir).join(folds, "id").withColumn("s", F.explode(F.sequence(F.lit(1), F.lit(5))))
+    # The cohort with its folds is written once; all parts of the search read that.
+    cohort_rows = G.durable(_frame(spark, sf_dir).join(folds, "id"))
+    rows = cohort_rows.withColumn("s", F.explode(F.sequence(F.lit(1), F.lit(5))))
     part = F.when(F.col("fold") == F.col("s"), "test").otherwise("train")
     train = rows.filter("fold <> s")
     selectors = G.durable(G.make_selectors(train, ["s"], FEATURES))
@@ -342,14 +344,12 @@ SELECT rule_key, round(wracc, 9) AS wracc, round((SELECT avg(w) FROM nl), 9) AS
   round((1 + (SELECT count(*) FROM nl WHERE w >= rules.wracc)) / {_N_PERM + 1}.0, 9) AS p_adjusted FROM rules WHERE s = 0""",
 )
 def subgroup_permutation_p(spark, sf_dir):
-    rows = cohort(spark, sf_dir)
-    shuffled = S.permuted_labels(rows, ["id"], "returned", _N_PERM, 99)
-    predictors = rows.select("id", *FEATURES)
-    null_rows = predictors.join(shuffled.select("id", F.col("permutation").alias("s"), F.col("y_permuted").alias("returned")), "id")
-    frame = rows.select("id", *FEATURES, F.lit(0).alias("s"), "returned").unionByName(null_rows)
-    # The predictors are the same in every permutation: one set of selectors serves all.
-    selectors = G.durable(G.make_selectors(predictors.withColumn("all", F.lit(1)), ["all"], FEATURES))
-    patterns = G.durable(G.make_patterns(frame.withColumn("all", F.lit(1)), ["s", "all"], FEATURES, ["returned"], selectors, ["all"]))
+    rows = G.durable(cohort(spark, sf_dir).select("id", *FEATURES, "returned").withColumn("all", F.lit(1)))
+    positives = S.permuted_labels(rows, ["id"], "returned", _N_PERM, 99).filter("y_permuted = 1").select("id", F.col("permutation").alias("s"))
+    # The predictors are the same in every permutation: one set of selectors serves all, and a row's pattern is made once.
+    selectors = G.durable(G.make_selectors(rows, ["all"], FEATURES))
+    each = G.durable(G.make_patterns(rows, ["id", "all"], FEATURES, ["returned"], selectors, ["all"]))
+    patterns = G.durable(G.permuted_patterns(each, positives, "id", "returned", _N_PERM))
     rules = G.durable(G.beam_search(patterns, selectors, ["s", "all"], ["all"], _PERM_ARM, 2, 20, 20))
     best = rules.filter("s > 0").groupBy("s").agg(F.max("wracc").alias("w"))
     null_scores = spark.range(1, _N_PERM + 1).select(F.col("id").cast("int").alias("s")).join(best, "s", "left").select(

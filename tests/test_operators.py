@@ -440,3 +440,9 @@ def test_accents_of_any_letter(spark):
 
     df = spark.createDataFrame([("Čeština  şehir ŐRÜLT été Ñandú Ågö",)], "t string")
     assert df.select(normalise_text(F.col("t"))).first()[0] == "cestina sehir orult ete nandu ago"
+
+
+def test_one_positive_among_many_is_copied_in_pieces(spark):
+    df = spark.range(10_000).select(F.col("id"), (F.col("id") == 77).cast("int").alias("y"))
+    out = U.oversample(df, [], ["id"], "y", 3).filter("y = 1")
+    assert out.count() == 9_999 and out.select("copy").distinct().count() == 9_999 and out.agg(F.max("copy")).first()[0] == 9_999
