@@ -3,7 +3,8 @@
 1. One scan makes, for each document, its shingle set's size and hash, the hashes of its bands of minima, and the low two bits
    of every minimum, packed.  Documents with one and the same set become one node.
 2. Nodes that share a band are candidates.  Within a band's bucket every node meets the bucket's first node; pairs whose
-   similarity, estimated from equal bits and corrected for chance, is near the threshold or above are confirmed on full sets.
+   similarity, estimated from equal bits and corrected for chance, is near the threshold or above are confirmed on full sets, unless
+   their parity bits prove that they differ too much.
 3. What the confirmed links leave apart is compared across components, again within buckets, so that no link between
    components is lost; a bucket's largest part, joined by then, is never paired with itself.
 4. Components are found by star steps over the links.
@@ -32,7 +33,9 @@ from lumbre.llm.shingles import BASE, mix, shingle_set
 BANDS, ROWS = 48, 6
 #: How far below the threshold an estimate may be and still be confirmed on full sets.
 SLACK = 0.16
-SIGNATURE = "doc_id {id}, digest long, row_no long, n_shingles long, set_1 long, set_2 long, bands array<long>, low array<long>, high array<long>"
+#: Bits that shingles toggle.  Two sets differ in at least as many shingles as these bits differ, which bounds their similarity from above.
+PARITY_BITS = 2048
+SIGNATURE = "doc_id {id}, digest long, row_no long, n_shingles long, set_1 long, set_2 long, bands array<long>, low array<long>, high array<long>, parity array<long>"
 
 
 def minima(shingles: np.ndarray, count: int) -> np.ndarray:
@@ -57,16 +60,16 @@ def _longs(bits: np.ndarray) -> list[int]:
 
 
 def signature(text: bytes, words: int, bands: int, rows: int) -> tuple:
-    """(size, two hashes of the set, band hashes, packed lowest bits, packed second bits)."""
+    """(size, two hashes of the set, band hashes, packed lowest bits, packed second bits, parity bits)."""
     shingles = shingle_set(text, words)
     if not len(shingles):
-        return 0, 0, 0, [], [], []
+        return 0, 0, 0, [], [], [], []
     least = minima(shingles, bands * rows)
     bucket = np.arange(bands, dtype=np.uint64)
     for column in least.reshape(bands, rows).T:
         bucket = mix(bucket * BASE + column.astype(np.uint64))
     sums = mix(shingles).sum(dtype=np.uint64), mix(shingles * BASE).sum(dtype=np.uint64)
-    return len(shingles), *(int(x.astype(np.int64)) for x in sums), bucket.astype(np.int64).tolist(), _longs(least & 1), _longs(least & 2)
+    return len(shingles), *(int(x.astype(np.int64)) for x in sums), bucket.astype(np.int64).tolist(), _longs(least & 1), _longs(least & 2), _longs(np.bincount((shingles % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1)
 
 
 def _signatures(words: int, bands: int, rows: int):
@@ -76,8 +79,8 @@ def _signatures(words: int, bands: int, rows: int):
                 part = batch.slice(at, 256)
                 made = [signature((x.as_py() or "").encode(), words, bands, rows) for x in part["text"]]
                 columns = list(zip(*made))
-                arrays = [pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 3 + [pa.list_(pa.int64())] * 3)]
-                yield pa.RecordBatch.from_arrays([part["doc_id"], part["digest"], part["row_no"], *arrays], ["doc_id", "digest", "row_no", "n_shingles", "set_1", "set_2", "bands", "low", "high"])
+                arrays = [pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 3 + [pa.list_(pa.int64())] * 4)]
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["digest"], part["row_no"], *arrays], ["doc_id", "digest", "row_no", "n_shingles", "set_1", "set_2", "bands", "low", "high", "parity"])
 
     return run
 
@@ -101,6 +104,13 @@ def similar_bits(longs: int, count: int) -> Column:
     return (1 - apart / count - chance) / (1 - chance)
 
 
+def can_reach(percent: int) -> Column:
+    """False if the parity bits of sides a and b prove their similarity lower than ``percent``."""
+    apart = sum((F.bit_count(F.col("a_parity")[k].bitwiseXOR(F.col("b_parity")[k])) for k in range(PARITY_BITS // 64)), F.lit(0))
+    both = F.col("a_n") + F.col("b_n")
+    return (both - apart) * 100 >= (both + apart) * percent
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold_percent: int = 80, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
@@ -113,10 +123,10 @@ def near_duplicates(
     classes = full.groupBy("set_1", "set_2", "n_shingles").agg(F.min("row_no").alias("node"))
     nodes = full.join(classes.select("node"), full["row_no"] == F.col("node"), "left_semi").withColumnRenamed("row_no", "node")
 
-    bits = nodes.select("node", "n_shingles", "low", "high")
-    side = {s: bits.select(F.col("node").alias(s), F.col("n_shingles").alias(f"{s}_n"), F.col("low").alias(f"{s}_low"), F.col("high").alias(f"{s}_high")) for s in "ab"}
+    bits = nodes.select("node", "n_shingles", "low", "high", "parity")
+    side = {s: bits.select(F.col("node").alias(s), F.col("n_shingles").alias(f"{s}_n"), F.col("low").alias(f"{s}_low"), F.col("high").alias(f"{s}_high"), F.col("parity").alias(f"{s}_parity")) for s in "ab"}
     sizes_fit = F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * threshold_percent
-    near = sizes_fit & (similar_bits(longs, count) >= threshold_percent / 100 - SLACK)
+    near = sizes_fit & (similar_bits(longs, count) >= threshold_percent / 100 - SLACK) & can_reach(threshold_percent)
 
     each = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = each.groupBy(F.col("bucket").alias("of")).agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -141,7 +151,7 @@ def near_duplicates(
     labelled = members.join(links.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
     apart = labelled.groupBy(F.col("bucket").alias("of")).agg(F.min("component").alias("main"), F.max("component").alias("last")).filter("main < last")
     open_members = shared_table(labelled.join(apart, labelled["bucket"] == apart["of"]).select("bucket", "node", "component", "main").join(bits, "node"))
-    left, right = (open_members.select(F.col("bucket").alias(f"{s}_bucket"), F.col("node").alias(s), F.col("component").alias(f"{s}_component"), F.col("main").alias(f"{s}_main"), F.col("n_shingles").alias(f"{s}_n"), F.col("low").alias(f"{s}_low"), F.col("high").alias(f"{s}_high")) for s in "ab")
+    left, right = (open_members.select(F.col("bucket").alias(f"{s}_bucket"), F.col("node").alias(s), F.col("component").alias(f"{s}_component"), F.col("main").alias(f"{s}_main"), F.col("n_shingles").alias(f"{s}_n"), F.col("low").alias(f"{s}_low"), F.col("high").alias(f"{s}_high"), F.col("parity").alias(f"{s}_parity")) for s in "ab")
     once = (F.col("b_component") == F.col("b_main")) | (F.col("a") < F.col("b"))
     across = left.filter("a_component <> a_main").join(right, (F.col("a_bucket") == F.col("b_bucket")) & (F.col("a_component") != F.col("b_component")) & once & near)
     rest = shared_table(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
