@@ -14,15 +14,17 @@ from functools import reduce
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, RandomForestClassifier,
 )
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumbre.functions.numeric import sigmoid
-from lumbre.operators.metrics import score_metrics
-from lumbre.operators.preparation_models import Preparation, fit_preparation, nullable_columns
-from lumbre.operators.pu import adjust_scores, label_frequency, pu_bags, training_subset
+from lumbre.functions.numeric import reaches, sigmoid
+from lumbre.operators.joins import paired_deltas
+from lumbre.operators.metrics import confusion, score_metrics, with_confusion_metrics
+from lumbre.operators.association import melt
+from lumbre.operators.neighbours import smote
+from lumbre.operators.preparation_models import Preparation, anova_f, apply_pca, fit_pca, fit_preparation, nullable_columns, select_k_best
+from lumbre.operators.pu import adjust_scores, label_frequency, oversample, pu_bags, training_subset
 from lumbre.operators.splits import stratified_folds
 from lumbre.operators.thresholds import grid_threshold_curve, observed_threshold
 from lumbre.session import ContractError, durable
@@ -35,9 +37,14 @@ class Candidate:
     family: str
     params: tuple[tuple[str, object], ...] = field(default=())
     balanced: bool = False
+    #: Steps that are fitted on the train rows only: best features by ANOVA, share of variance for PCA, over-sampling.
+    k_best: int | None = None
+    pca: float | None = None
+    sampler: str | None = None
 
     def params_json(self) -> str:
-        return json.dumps({**dict(self.params), "balanced": self.balanced}, sort_keys=True)
+        steps = {n: v for n, v in (("k_best", self.k_best), ("pca", self.pca), ("sampler", self.sampler)) if v is not None}
+        return json.dumps({**dict(self.params), **steps, "balanced": self.balanced}, sort_keys=True)
 
 
 _FAMILIES: dict[str, Callable[..., object]] = {
@@ -58,10 +65,35 @@ def build_estimator(candidate: Candidate, n_features: int, seed: int):
     if candidate.family == "mlp":
         params["layers"] = [n_features, *params.pop("hidden", [16]), 2]
     if candidate.balanced:
+        if candidate.family == "mlp":
+            raise ContractError("the multilayer perceptron takes no class weights")
         params["weightCol"] = "__w"
     return _FAMILIES[candidate.family](**params)
 
 
+def _fit_vectors(train: DataFrame, features: list[str], target: str, candidate: Candidate) -> tuple[Callable[[DataFrame], DataFrame], int]:
+    """Feature selection and PCA of prepared train rows: a function that adds the array ``__a``, and its length."""
+    if candidate.k_best and candidate.k_best < len(features):
+        best = select_k_best(anova_f(melt(train, [target], features), [], target), [], candidate.k_best)
+        chosen = {r["feature"] for r in best.select("feature").collect()}
+        features = [f for f in features if f in chosen] or features
+    if candidate.pca is None:
+        return lambda df: df.withColumn("__a", F.array(*[F.col(f).cast("double") for f in features])), len(features)
+    fitted = fit_pca(train.select(*features), features, candidate.pca)
+    return lambda df: apply_pca(df, fitted).withColumnRenamed("components", "__a"), fitted[2]
+
+
+def _resampled(rows: DataFrame, ids: list[str], sampler: str, seed: int) -> DataFrame:
+    """Train rows (ids, __a, __t) with as many positives as negatives: copies, or synthetic rows between neighbours."""
+    if sampler == "random":
+        return oversample(rows, [], ids, "__t", seed).select("__a", "__t")
+    if sampler != "smote":
+        raise ContractError(f"unknown sampler {sampler}")
+    numbered = durable(rows.select(F.lit("all").alias("group_all"), F.col(ids[0]).cast("bigint").alias("row_id"), "__a", "__t"))
+    made = smote(numbered, "group_all", "row_id", "__a", "__t", 5, seed)
+    return numbered.select("__a", "__t").unionByName(made.select("__a", F.lit(1).alias("__t")))
+
+
 def fit_score(
     train: DataFrame, test: DataFrame, features: list[str], target: str, ids: list[str], candidate: Candidate, seed: int = 0, min_variance: float = 0.0,
     nullable: list[str] | None = None, prepared: Preparation | None = None,
@@ -74,11 +106,14 @@ def fit_score(
     if candidate.family == "dummy" or share in (0.0, 1.0):
         return test.select(*ids, F.lit(float(share)).alias("score"))
     prep = prepared or fit_preparation(train, features, features if nullable is None else nullable, "standard", min_variance)
-    assembler = VectorAssembler(inputCols=prep.kept, outputCol="__x")
-    weight = F.when(F.col(target) == 1, 0.5 / share).otherwise(0.5 / (1 - share))
-    rows = assembler.transform(prep.apply(train)).select("__x", F.col(target).cast("double").alias("__y"), weight.alias("__w"))
-    model = build_estimator(candidate, len(prep.kept), seed).fit(rows)
-    scored = model.transform(assembler.transform(prep.apply(test)))
+    vectors, width = _fit_vectors(prep.apply(train), prep.kept, target, candidate)
+    rows = vectors(prep.apply(train)).select(*ids, "__a", F.col(target).cast("int").alias("__t"))
+    if candidate.sampler:
+        rows, share = _resampled(rows, ids, candidate.sampler, seed), 0.5
+    weight = F.when(F.col("__t") == 1, 0.5 / share).otherwise(0.5 / (1 - share))
+    rows = rows.select(array_to_vector("__a").alias("__x"), F.col("__t").cast("double").alias("__y"), weight.alias("__w"))
+    model = build_estimator(candidate, width, seed).fit(rows)
+    scored = model.transform(vectors(prep.apply(test)).withColumn("__x", array_to_vector("__a")))
     if "probability" in scored.columns:
         score = vector_to_array("probability")[1]
     else:
@@ -174,22 +209,35 @@ def nested_cross_validation(df: DataFrame, folds: list[int], features: list[str]
                 F.lit(row["candidate"]).alias("candidate"), F.lit(chosen.family).alias("family"), F.lit(chosen.params_json()).alias("params_json"),
             )
         )
-    return reduce(DataFrame.unionByName, parts).withColumn("pred", (F.col("score") >= F.col("threshold")).cast("int"))
+    return reduce(DataFrame.unionByName, parts).withColumn("pred", reaches(F.col("score"), F.col("threshold")).cast("int"))
 
 
-def specialised_and_general(df: DataFrame, folds: list[int], features: list[str], target: str, ids: list[str], member: str, candidate: Candidate, seed: int = 0) -> DataFrame:
-    """A model fitted on subgroup train rows next to one fitted on all train rows, scored on the same subgroup test rows."""
+def specialised_and_general(df: DataFrame, folds: list[int], features: list[str], target: str, ids: list[str], member: str, candidate: Candidate, seed: int = 0, thresholds: bool = False) -> DataFrame:
+    """A model fitted on subgroup train rows next to one fitted on all train rows, scored on the same subgroup test rows.
+
+    With ``thresholds`` each arm's threshold comes from inner folds of its own train rows, and ``pred`` from it.
+    """
     nullable = nullable_columns(df, features)
     parts = []
     for f in folds:
         train, test = df.filter(F.col("fold") != f), df.filter((F.col("fold") == f) & (F.col(member) == 1))
         for arm, rows in (("general", train), ("specialised", train.filter(F.col(member) == 1))):
             scored = fit_score(rows, test, features, target, ids, candidate, seed + f, nullable=nullable)
-            parts.append(test.select(*ids, F.col(target).alias("y_true")).join(scored, ids).select(
-                F.lit(arm).alias("arm"), F.lit(f).alias("fold"), *ids, F.lit(target).alias("label"), "y_true", "score"))
+            out = test.select(*ids, F.col(target).alias("y_true")).join(scored, ids).select(
+                F.lit(arm).alias("arm"), F.lit(f).alias("fold"), *ids, F.lit(target).alias("label"), "y_true", "score")
+            if thresholds:
+                chosen, _ = inner_threshold(rows, features, target, ids, candidate, seed + f)
+                out = out.withColumns({"threshold": F.lit(chosen), "pred": reaches(F.col("score"), F.lit(chosen)).cast("int")})
+            parts.append(out)
     return reduce(DataFrame.unionByName, parts)
 
 
+def arm_deltas(oof: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
+    """Metrics of both arms on identical rows, side by side with specialised - general."""
+    counts = with_confusion_metrics(confusion(oof, [*keys, "arm"]), 0.0)
+    return paired_deltas(counts, keys, "arm", "general", "specialised", metrics)
+
+
 def inner_threshold(train: DataFrame, features: list[str], target: str, ids: list[str], candidate: Candidate, seed: int = 0) -> tuple[float, int]:
     """Grid threshold from inner out-of-fold scores with ``min(4, minority)`` folds; 0.5 when the minority has fewer than two rows."""
     counts = train.agg(F.count_if(F.col(target) == 1).alias("p"), F.count_if(F.col(target) == 0).alias("n")).first()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lumbre.functions.keys import hash_order, joined
 from lumbre.functions.numeric import clip
 from lumbre.operators.ordered import hash_rank
-from lumbre.session import broadcast_if_small, ContractError
+from lumbre.session import ContractError, assert_empty, broadcast_if_small
 
 #: Copies of one row that one array holds.
 PIECE = 1_000
@@ -55,9 +55,11 @@ def label_frequency(oof: DataFrame, keys: list[str], low: float = 1e-3, empty: f
     return oof.groupBy(*keys).agg(value.alias("c"), F.count(usable).alias("n_positive"))
 
 
-def class_prior(oof: DataFrame, keys: list[str], c_low: float = 0.05, low: float = 1e-3, high: float = 0.99) -> DataFrame:
-    """Class prior: share of observed positives over c, clipped."""
+def class_prior(oof: DataFrame, keys: list[str], c_low: float = 0.05, low: float = 1e-3, high: float = 0.99, empty: str = "null") -> DataFrame:
+    """Class prior: share of observed positives over c, clipped; without positives null, or an error with ``empty="error"``."""
     c = label_frequency(oof, keys, c_low, None).select(*keys, "c")
+    if empty == "error":
+        assert_empty(c.filter("c IS NULL"), "keys without observed positives")
     shares = oof.groupBy(*keys).agg(F.avg(F.col("y_true").cast("double")).alias("share"))
     return shares.join(c, keys).select(*keys, "c", clip(F.col("share") / F.col("c"), low, high).alias("prior"))
 

@@ -9,7 +9,7 @@ from lumbre.operators import metrics as M
 from lumbre.operators import models as L
 from lumbre.operators import preparation_models as R
 from lumbre.operators.association import melt
-from lumbre.operators.pu import conceal_positives
+from lumbre.operators.pu import adjust_scores, conceal_positives, label_frequency
 from lumbre.plans.base import COHORT_SQL, FLAGS, LABELS, NUMERIC, cohort
 from lumbre.plans.eda_queries import _FEATURES, embedding_columns
 from lumbre.plans.metric_queries import auc_sql
@@ -180,13 +180,24 @@ def nested_candidate_selection(spark, sf_dir):
 
 @query("pu_formulations_under_concealment")
 def pu_formulations_under_concealment(spark, sf_dir):
-    """Positives hidden in the train folds, truth kept for the test: naive, clean-negative and bagging scores."""
+    """Positives hidden in the train folds, truth kept for the test: naive, clean-negative, bagging and Elkan-Noto scores.
+
+    Clean negatives are the rows without any observed label: what is hidden is not known to the training.
+    """
     rows = _model_rows(spark, sf_dir)
     hidden = durable(conceal_positives(rows, ["fold"], ["id"], "returned", 0.3, 5))
     observed = hidden.withColumns({"truth": F.col("y_true"), "returned": F.col("y_observed")}).drop("y_true", "y_observed")
+    observed = durable(observed.withColumn("none", (F.col("returned") + F.col("open_line") == 0).cast("int")))
     out = None
     for formulation in ("supervised_clean_negatives", "pu_naive", "pu_bagging"):
         scores = L.cross_validated_scores(observed, [1, 2, 3, 4, 5], _MODEL_FEATURES, "returned", ["id"], _TREE, 3, formulation=formulation, bags=3)
+        if formulation == "pu_naive":
+            scores = durable(scores)
+            # c comes from the observed labels of the out-of-fold rows.
+            c = label_frequency(scores, ["label"]).select("label", "c")
+            adjusted = scores.join(c, "label").withColumn("score", adjust_scores(F.col("score"), F.col("c"))).drop("c")
+            noto = adjusted.drop("y_true").join(observed.select("id", F.col("truth").alias("y_true")), "id").withColumn("formulation", F.lit("pu_elkan_noto"))
+            out = noto if out is None else out.unionByName(noto)
         true = scores.drop("y_true").join(observed.select("id", F.col("truth").alias("y_true")), "id")
         one = true.withColumn("formulation", F.lit(formulation))
         out = one if out is None else out.unionByName(one)
@@ -200,6 +211,30 @@ def subgroup_model_comparison(spark, sf_dir):
     return M.score_metrics(durable(scores), ["arm"])
 
 
+@query("subgroup_model_deltas")
+def subgroup_model_deltas(spark, sf_dir):
+    """Five best features, inner thresholds, and paired deltas of the two arms per fold."""
+    rows = _model_rows(spark, sf_dir)
+    best_five = L.Candidate("decision_tree", (("maxDepth", 4),), k_best=5)
+    scores = durable(L.specialised_and_general(rows, [1, 2, 3], _MODEL_FEATURES, "returned", ["id"], "discounted", best_five, thresholds=True))
+    return L.arm_deltas(scores, ["fold", "label"], ["f1", "precision", "recall"])
+
+
+@query("resampled_model_metrics")
+def resampled_model_metrics(spark, sf_dir):
+    """Over-sampling, best features and components, each fitted inside the train folds."""
+    rows = _model_rows(spark, sf_dir)
+    arms = {
+        "plain": L.Candidate("decision_tree", (("maxDepth", 4),)), "copies": L.Candidate("decision_tree", (("maxDepth", 4),), sampler="random"),
+        "best_and_components": L.Candidate("decision_tree", (("maxDepth", 4),), k_best=5, pca=0.95, sampler="random"),
+    }
+    out = None
+    for name, candidate in arms.items():
+        one = L.cross_validated_scores(rows, [1, 2, 3], _MODEL_FEATURES, "returned", ["id"], candidate, 3).withColumn("arm", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return M.score_metrics(durable(out), ["arm", "fold"])
+
+
 @query("pca_explained_variance")
 def pca_explained_variance(spark, sf_dir):
     rows = embedding_columns(spark, sf_dir)

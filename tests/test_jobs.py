@@ -211,3 +211,31 @@ def test_a_null_key_keeps_its_group(spark):
     assert {r.k for r in E.moments(df, ["k"], "v").collect()} == {None, "a"}
     assert {(r.k, r.n, r.n_outliers) for r in E.outlier_share(df, ["k"], "v").collect()} == {(None, 4, 1), ("a", 1, 0)}
     assert {r.k for r in E.grouped_summary(df, ["v"], ["k"]).collect()} == {None, "a"}
+
+
+def test_train_fold_steps_of_a_model_job(spark):
+    from lumbre.operators import models as L
+    from lumbre.operators import pu as U
+    from lumbre.session import ContractError
+
+    rows = spark.range(240).select(
+        "id", (F.col("id") % 8 == 0).cast("int").alias("y"), (F.col("id") % 3 + 1).cast("int").alias("fold"),
+        (F.when(F.col("id") % 8 == 0, 3.0).otherwise(0.0) + F.sin(F.col("id") * 1.7)).alias("signal"),
+        *[F.sin(F.col("id") * (k + 2.3)).alias(f"noise{k}") for k in range(4)],
+    )
+    features = ["signal", *[f"noise{k}" for k in range(4)]]
+    tree = (("maxDepth", 3),)
+    for steps in ({"sampler": "random"}, {"sampler": "smote", "k_best": 2}, {"k_best": 1}, {"pca": 0.99, "sampler": "random"}):
+        out = L.cross_validated_scores(rows, [1, 2, 3], features, "y", ["id"], L.Candidate("decision_tree", tree, **steps))
+        scored = out.collect()
+        assert len(scored) == 240
+        good = [r.score for r in scored if r.y_true == 1]
+        assert sum(good) / len(good) > 2 * sum(r.score for r in scored if r.y_true == 0) / 210
+    with pytest.raises(ContractError):
+        L.build_estimator(L.Candidate("mlp", (), True), 3, 0)
+    with pytest.raises(ContractError):
+        U.class_prior(spark.createDataFrame([("a", 0, 0.5)], "k string, y_true int, score double"), ["k"], empty="error").count()
+    member = rows.withColumn("m", (F.col("id") % 2 == 0).cast("int"))
+    arms = L.specialised_and_general(member, [1, 2, 3], features, "y", ["id"], "m", L.Candidate("decision_tree", tree), thresholds=True)
+    deltas = L.arm_deltas(arms, ["label"], ["f1"]).first()
+    assert deltas["delta_f1"] == pytest.approx(deltas["specialised_f1"] - deltas["general_f1"]) and deltas["general_f1"] > 0.5
