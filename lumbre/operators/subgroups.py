@@ -358,7 +358,7 @@ def jaccard_pairs(members: DataFrame, keys: list[str], set_col: str, id_col: str
     ).groupBy(*keys, "a", "b").agg(F.count(F.lit(1)).alias("n_both"))
     left = sizes.select(*keys, F.col(set_col).alias("a"), F.col("size").alias("n_a"))
     right = sizes.select(*keys, F.col(set_col).alias("b"), F.col("size").alias("n_b"))
-    joined = left.join(right, keys) if keys else left.join(F.broadcast(right), how="cross")  # sets, not rows
+    joined = left.join(right, keys) if keys else left.join(broadcast_if_small(right), how="cross")  # sets, not rows
     pairs = joined.filter("a < b").join(both, [*keys, "a", "b"], "left").withColumn("n_both", F.coalesce("n_both", F.lit(0)))
     union = F.col("n_a") + F.col("n_b") - F.col("n_both")
     return pairs.withColumn("jaccard", F.when(union == 0, F.lit(1.0)).otherwise(F.col("n_both") / F.nullif(union, F.lit(0))))
