@@ -17,10 +17,10 @@ NEVER = -1e30
 STEP = np.uint64(0xD6E8FEB86659FD93)
 SLOTS = 1 << 20
 #: Cells of one matrix of words; bounds memory whatever the batch.
-CELLS = 200_000
+CELLS = 1_000_000
 
 
-def _codes(text: str) -> np.ndarray:
+def codes_of(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
 
@@ -43,14 +43,18 @@ class Pieces:
             elif not (model.is_control(i) or model.is_unknown(i)) and (self.scores[i] > -1e8 or piece == MARK):
                 self.normal[piece] = i
         self.longest = max(map(len, self.normal))
-        self.keys = np.zeros(self.size + 1, np.uint64)
+        # All beginnings of pieces; a beginning that is no piece has the number ``size``.
+        starts: dict[int, int] = {}
         for piece, i in self.normal.items():
             h = 0
             for c in piece:
                 h = (h + ord(c) + 1) * int(STEP) % 2**64
-            self.keys[i] = h
-        self.slots = [np.full(SLOTS, self.size, np.int32) for _ in range(3)]
-        waiting = np.array(list(self.normal.values()))
+                starts.setdefault(h, self.size)
+            starts[h] = i
+        self.keys = np.array([*starts, 0], np.uint64)
+        self.numbers = np.array([*starts.values(), self.size], np.int64)
+        self.slots = [np.full(SLOTS, len(starts), np.int32) for _ in range(4)]
+        waiting = np.arange(len(starts))
         for slots, at in zip(self.slots, self._places(self.keys)):
             # The first of those that share a slot takes it; the others go to the next table.
             _, first = np.unique(at[waiting], return_index=True)
@@ -66,15 +70,16 @@ class Pieces:
     @staticmethod
     def _places(h: np.ndarray) -> list[np.ndarray]:
         m = mix(h)
-        return [(m >> np.uint64(s)).astype(np.int64) & (SLOTS - 1) for s in (0, 20, 40)]
-
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """Piece numbers of hashes; ``size`` where there is none."""
-        out = np.full(len(h), self.size, np.int64)
-        for slots, at in zip(self.slots, self._places(h)):
-            i = slots[at]
-            np.copyto(out, i, where=(self.keys[i] == h) & (i < self.size))
-        return out
+        return [(m >> np.uint64(s)).astype(np.int64) & (SLOTS - 1) for s in (0, 14, 28, 42)]
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which hashes begin a piece, and the numbers of those that are one (``size`` for the others)."""
+        last = len(self.keys) - 1
+        at = np.full(len(h), last, np.int32)
+        for slots, place in zip(self.slots, self._places(h)):
+            k = slots[place]
+            np.copyto(at, k, where=(self.keys[k] == h) & (k < last))
+        return at < last, self.numbers[at]
 
     def prior(self) -> np.ndarray:
         """Probabilities from the vocabulary's scores.  They are minus ranks, so weights fall with the rank; pieces that may not be used have none."""
@@ -103,71 +108,88 @@ def by_length(words: list[str]) -> list[np.ndarray]:
 
 
 class Lattice:
-    """All segmentations of words of one length: arcs (start, end) with piece numbers, and code points spelled in bytes."""
+    """All segmentations of words of one length: arcs (start, end) with the rows that have them and their piece numbers.
+
+    Arcs of one character are there for every row; a character without a piece is spelled in bytes.
+    """
 
     def __init__(self, vocabulary: Pieces, words: list[str]):
         self.v = vocabulary
-        self.codes = _codes("".join(words)).reshape(len(words), -1)
+        self.codes = codes_of("".join(words)).reshape(len(words), -1)
         self.length = self.codes.shape[1]
-        self.arcs: dict[tuple[int, int], np.ndarray] = {}
+        self.single: list[np.ndarray] = []
+        self.arcs: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
         for start in range(self.length):
-            h = np.zeros(len(words), np.uint64)
+            rows, h = np.arange(len(words)), np.zeros(len(words), np.uint64)
             for end in range(start + 1, min(self.length, start + vocabulary.longest) + 1):
-                h = vocabulary.extended(h, self.codes[:, end - 1])
-                found = vocabulary.find(h)
-                if end == start + 1 or (found < vocabulary.size).any():
-                    self.arcs[start, end] = found
-
-    def weights(self, logs: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
-        """Weight of each arc by word and class; ``logs`` has a row for each piece and a last row of NEVER."""
-        out = {}
-        for (start, end), found in self.arcs.items():
+                h = vocabulary.extended(h, self.codes[rows, end - 1])
+                goes_on, found = vocabulary.find(h)
+                if end == start + 1:
+                    self.single.append(found)
+                elif (hit := np.flatnonzero(found < vocabulary.size)).size:
+                    self.arcs[start, end] = rows[hit], found[hit]
+                if not goes_on.any():
+                    break
+                if not goes_on.all():
+                    rows, h = rows[goes_on], h[goes_on]
+
+    def weights(self, logs: np.ndarray) -> tuple[list, dict]:
+        """Weights by class of the arcs of one character, and of the longer ones; ``logs`` has a row for each piece and a last one."""
+        single = []
+        for start, found in enumerate(self.single):
             w = logs[found]
-            if end == start + 1 and (alone := np.flatnonzero(found == self.v.size)).size:
+            if (alone := np.flatnonzero(found == self.v.size)).size:
                 chars, at = np.unique(self.codes[alone, start], return_inverse=True)
                 spelled = np.array([logs[self.v.byte_ids[list(chr(c).encode())]].sum(axis=0) for c in chars])
                 w[alone] = spelled[at]
-            out[start, end] = w
-        return out
+            single.append(w)
+        return single, {k: logs[found] for k, (_, found) in self.arcs.items()}
+
+    def forward(self, weights: tuple[list, dict], classes: int) -> np.ndarray:
+        """Log of the summed weight of all ways to each position: (length + 1, words, classes).
 
-    def forward(self, weights: dict, classes: int) -> np.ndarray:
-        """Log of the summed weight of all ways to each position: (length + 1, words, classes)."""
+        The way over the last character alone exists always; the others are added relative to it.
+        """
+        single, longer = weights
         out = np.zeros((self.length + 1, len(self.codes), classes))
         for end in range(1, self.length + 1):
-            out[end] = _log_sum([out[s] + weights[s, end] for s in range(max(0, end - self.v.longest), end) if (s, end) in weights])
+            last, total = out[end - 1] + single[end - 1], np.ones((len(self.codes), classes))
+            for start in range(max(0, end - self.v.longest), end - 1):
+                if (start, end) in longer:
+                    rows = self.arcs[start, end][0]
+                    total[rows] += np.exp(out[start, rows] + longer[start, end] - last[rows])
+            out[end] = last + np.log(total)
         return out
 
-    def backward(self, weights: dict, classes: int) -> np.ndarray:
+    def backward(self, weights: tuple[list, dict], classes: int) -> np.ndarray:
+        single, longer = weights
         out = np.zeros((self.length + 1, len(self.codes), classes))
         for start in range(self.length - 1, -1, -1):
-            out[start] = _log_sum([out[e] + weights[start, e] for e in range(start + 1, min(self.length, start + self.v.longest) + 1) if (start, e) in weights])
+            first, total = out[start + 1] + single[start], np.ones((len(self.codes), classes))
+            for end in range(start + 2, min(self.length, start + self.v.longest) + 1):
+                if (start, end) in longer:
+                    rows = self.arcs[start, end][0]
+                    total[rows] += np.exp(longer[start, end] + out[end, rows] - first[rows])
+            out[start] = first + np.log(total)
         return out
 
     def expected(self, logs: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Expected uses of each piece over ``counts`` of the words, for one class."""
-        weights = self.weights(logs[:, None])
+        single, longer = weights = self.weights(logs[:, None])
         ahead, behind = self.forward(weights, 1)[..., 0], self.backward(weights, 1)[..., 0]
-        total = np.zeros(self.v.size + 1)
-        for (start, end), found in self.arcs.items():
-            share = np.exp(ahead[start] + weights[start, end][:, 0] + behind[end] - ahead[-1]) * counts
-            total += np.bincount(found, share, self.v.size + 1)
-            if end == start + 1 and (alone := np.flatnonzero(found == self.v.size)).size:
-                for row in alone:
-                    for b in chr(self.codes[row, start]).encode():
-                        total[self.v.byte_ids[b]] += share[row]
-        return total[:-1]
-
-
-def _log_sum(terms: list[np.ndarray]) -> np.ndarray:
-    if len(terms) == 1:
-        return terms[0]
-    top = terms[0].copy()
-    for t in terms[1:]:
-        np.maximum(top, t, out=top)
-    total = np.zeros_like(top)
-    for t in terms:
-        total += np.exp(t - top)
-    return top + np.log(total)
+        used, shares = [], []
+        for (start, end), (rows, found) in self.arcs.items():
+            used.append(found)
+            shares.append(np.exp(ahead[start, rows] + longer[start, end][:, 0] + behind[end, rows] - ahead[-1, rows]) * counts[rows])
+        for start, found in enumerate(self.single):
+            share = np.exp(ahead[start] + single[start][:, 0] + behind[start + 1] - ahead[-1]) * counts
+            used.append(found)
+            shares.append(share)
+            for row in np.flatnonzero(found == self.v.size):
+                spelled = self.v.byte_ids[list(chr(self.codes[row, start]).encode())]
+                used.append(spelled)
+                shares.append(np.full(len(spelled), share[row]))
+        return np.bincount(np.concatenate(used), np.concatenate(shares), self.v.size + 1)[:-1]
 
 
 def log_likelihoods(vocabulary: Pieces, words: list[str], logs: np.ndarray) -> np.ndarray:

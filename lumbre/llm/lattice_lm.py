@@ -31,13 +31,15 @@ from lumbre.llm.common import shared_table, text_of, tokenizer_path
 from lumbre.llm.lattice import MARK, NEVER, expected_counts, log_likelihoods, pieces
 
 MAX_CLASSES = 8
-ROUNDS = 3
+ROUNDS = 2
 #: Weight of the vocabulary's own scores, in words.
 PRIOR = 300.0
 #: Tokens of one block of documents.
 BLOCK_TOKENS = 4_000_000
 #: Distinct words that a counting task holds before it emits them.
 HELD_WORDS = 400_000
+#: Words of one call of the lattice.
+LATTICE_WORDS = 60_000
 LN10 = math.log(10)
 
 
@@ -70,12 +72,25 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from emit()
 
 
+def _large(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches put together, so that many words have the same length."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= LATTICE_WORDS:
+            yield pa.Table.from_batches(held)
+            held, rows = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _expect(model_file: str, logs: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = pieces(model_file)
         total = np.zeros((v.size, logs.shape[1]))
-        for batch in batches:
-            of = batch["k"].to_numpy(zero_copy_only=False)
+        for batch in _large(batches):
+            of = batch["k"].to_numpy()
             words, weight = batch["word"].to_pylist(), 1 / batch["c"].to_numpy()
             for k in np.unique(of):
                 rows = np.flatnonzero(of == k)
@@ -89,14 +104,14 @@ def _expect(model_file: str, logs: np.ndarray):
 def _score_words(model_file: str, logs: np.ndarray, discount: np.ndarray, left: np.ndarray, size: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = pieces(model_file)
-        for batch in batches:
-            counts = np.array(batch["counts"].to_pylist(), float).reshape(batch.num_rows, -1)
+        for batch in _large(batches):
+            counts = batch["counts"].combine_chunks().flatten().to_numpy().astype(float).reshape(batch.num_rows, -1)
             spelled = log_likelihoods(v, [MARK + w for w in batch["word"].to_pylist()], logs) + left
             with np.errstate(divide="ignore"):
                 whole = np.maximum(np.log(np.maximum(counts - discount, 0) / size), NEVER)
             p = np.logaddexp(spelled, whole).astype(np.float32)
             ends = pa.array(np.arange(0, p.size + 1, p.shape[1], dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([batch["word"], batch["c"], pa.ListArray.from_arrays(ends, pa.array(p.ravel()))], ["word", "c", "p"])
+            yield from pa.table([batch["word"], batch["c"], pa.ListArray.from_arrays(ends, pa.array(p.ravel()))], ["word", "c", "p"]).combine_chunks().to_batches()
 
     return run
 
@@ -147,12 +162,12 @@ def lattice_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     by_class = counts.groupBy("class").agg(F.sum("trained").alias("trained"), F.sum(F.when(F.col("word").isNull(), F.col("trained"))).alias("docs"))
     frequent = [r["class"] for r in by_class.filter("trained > 0").orderBy(F.desc("trained"), F.asc_nulls_first("class")).limit(MAX_CLASSES).collect()]
-    # Classes after the most frequent share the last number.
+    # Classes after the most frequent, and those without training rows, share the last number, if there are any.
     number = F.lit(len(frequent))
     for k, name in reversed(list(enumerate(frequent))):
         number = F.when(F.col("class").eqNullSafe(F.lit(name)), F.lit(k)).otherwise(number)
     numbered = counts.withColumn("k", number)
-    classes = len(frequent) + 1
+    classes = len(frequent) + (by_class.count() > len(frequent) or not frequent)
     facts = {
         r["k"]: r
         for r in numbered.groupBy("k", "word").agg(F.sum("trained").alias("trained"), F.sum("n").alias("n")).groupBy("k").agg(
