@@ -21,6 +21,7 @@ import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumbre.llm.common import text_of, tokenizer_path
+from lumbre.llm.lattice import MARK, Pieces, by_length, codes_of, pieces
 
-MARK = "▁"
 UNIT = re.compile(f" [^ \n{MARK}]*|[\n{MARK}]|[^ \n{MARK}]+")
-#: Units that a worker remembers before it starts afresh.
+#: Units that a worker remembers before it forgets those that it has met once only.
 REMEMBERED = 200_000
+#: Documents that are segmented together.
+TOGETHER = 1_000
 #: What spelling a character in bytes costs below the lowest score.
 SPELLING = 10.0
 TYPE = "array<struct<score: double, changes: array<struct<at: int, drop: int, ids: array<int>>>>>"
@@ -143,53 +146,156 @@ def vocabulary(model_file: str) -> Vocabulary:
     return Vocabulary(model_file)
 
 
+def summaries(v: Vocabulary, table: Pieces, texts: list[str]) -> list[tuple[float, float, bytes]]:
+    """What ``Vocabulary.summary`` says of each unit, for many at once; pieces as bytes of 32-bit integers.
+
+    Units of one length are a matrix; the recursions are those of the single unit, step by step for all rows.
+    """
+    out: list = [None] * len(texts)
+    units = [MARK if t == MARK else _marked(t) for t in texts]
+    scores = np.array([*v.score, 0.0])
+    for rows in by_length(units):
+        if rows.size:
+            _summarise(v, table, scores, texts, units, rows, out)
+    return out
+
+
+def _summarise(v: Vocabulary, table: Pieces, scores: np.ndarray, texts: list[str], units: list[str], rows: np.ndarray, out: list) -> None:
+    codes = codes_of("".join(units[r] for r in rows)).reshape(len(rows), -1)
+    n, length = codes.shape
+    arcs: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+    odd = np.array([texts[r] == MARK for r in rows])
+    for start in range(length):
+        on, h = np.arange(n), np.zeros(n, np.uint64)
+        for end in range(start + 1, min(length, start + table.longest) + 1):
+            h = table.extended(h, codes[on, end - 1])
+            goes_on, found = table.find(h)
+            hit = np.flatnonzero(found < table.size)
+            if end == start + 1:
+                odd |= found == table.size
+            if hit.size:
+                arcs[start, end] = on[hit], found[hit]
+            if not goes_on.any():
+                break
+            if not goes_on.all():
+                on, h = on[goes_on], h[goes_on]
+    # Units with a character that is spelled are few and go one by one.
+    for k in np.flatnonzero(odd):
+        score, loss, ids = v.summary(texts[rows[k]])
+        out[rows[k]] = score, loss, np.array(ids, np.int32).tobytes()
+    best = np.full((length + 1, n), -1e300)
+    best[0] = 0
+    by = np.zeros((length + 1, n), np.int32)
+    by_piece = np.zeros((length + 1, n), np.int32)
+    for end in range(1, length + 1):
+        for start in range(max(0, end - table.longest), end):
+            if (start, end) in arcs:
+                on, found = arcs[start, end]
+                score = best[start, on] + scores[found]
+                better = score > best[end, on]
+                on = on[better]
+                best[end, on], by[end, on], by_piece[end, on] = score[better], start, found[better]
+    rest = np.full((length + 1, n), -1e300)
+    rest[length] = 0
+    for start in range(length - 1, -1, -1):
+        for end in range(start + 1, min(length, start + table.longest) + 1):
+            if (start, end) in arcs:
+                on, found = arcs[start, end]
+                rest[start, on] = np.maximum(rest[start, on], scores[found] + rest[end, on])
+    chosen = np.full((length + 1, n), -1, np.int32)
+    path = np.full((length, n), -1, np.int32)
+    at, every = np.full(n, length), np.arange(n)
+    at[odd] = 0
+    for step in range(length):
+        live = every[at > 0]
+        if not live.size:
+            break
+        ends = at[live]
+        chosen[ends, live] = by[ends, live]
+        path[length - 1 - step, live] = by_piece[ends, live]
+        at[live] = by[ends, live]
+    second = np.full(n, -1e300)
+    for (start, end), (on, found) in arcs.items():
+        other = chosen[end, on] != start
+        on = on[other]
+        second[on] = np.maximum(second[on], best[start, on] + scores[found[other]] + rest[end, on])
+    loss = np.where(second > -1e299, best[length] - second, np.inf)
+    used = path.T >= 0
+    packed, ends = path.T[used].astype(np.int32).tobytes(), np.cumsum(used.sum(axis=1)) * 4
+    begin = 0
+    for k, (score, lost, end) in enumerate(zip(best[length].tolist(), loss.tolist(), ends.tolist())):
+        if out[rows[k]] is None:
+            out[rows[k]] = score, lost, packed[begin:end]
+        begin = end
+
+
 class _Memory:
-    """What a worker knows of units, by number: score, loss, pieces as bytes, number of pieces, and N best ways when asked."""
+    """What a worker knows of units, by number: score, loss, pieces as bytes, times met, and N best ways when asked."""
 
     def __init__(self):
         self.number: dict[str, int] = {}
-        self.scores, self.losses, self.pieces, self.ways = [], [], [], {}
+        self.scores, self.losses, self.lengths, self.met = np.empty(0), np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.pieces: list[bytes] = []
+        self.ways: dict[int, list] = {}
+
+    def learn(self, units: list[str], known: list[tuple[float, float, bytes]]) -> None:
+        self.number.update(zip(units, range(len(self.pieces), len(self.pieces) + len(units))))
+        self.pieces += [ids for _, _, ids in known]
+        self.scores = np.concatenate((self.scores, [s for s, _, _ in known]))
+        self.losses = np.concatenate((self.losses, [x for _, x, _ in known]))
+        self.lengths = np.concatenate((self.lengths, np.array([len(ids) // 4 for _, _, ids in known], np.int64)))
+        self.met = np.concatenate((self.met, np.zeros(len(units), np.int64)))
+
+    def forget(self) -> None:
+        """Keep units met twice or more; of too many of those, none."""
+        keep = self.met > 1
+        if keep.sum() > REMEMBERED // 2:
+            keep[:] = False
+        place = np.cumsum(keep) - 1
+        kept = keep.tolist()
+        self.number = {unit: int(place[k]) for unit, k in self.number.items() if kept[k]}
+        self.pieces = [p for p, stays in zip(self.pieces, kept) if stays]
+        self.scores, self.losses, self.lengths, self.met, self.ways = self.scores[keep], self.losses[keep], self.lengths[keep], self.met[keep] // 2, {}
 
 
 _memories: dict[str, _Memory] = {}
 
 
-def segment(model_file: str, text: str, n: int) -> tuple[bytes, list]:
-    """Pieces of the best segmentation as 32-bit integers, and (score, changes) of the ``n`` best.
+def segment(model_file: str, texts: list[str], n: int) -> list[tuple[bytes, list]]:
+    """For each text: pieces of the best segmentation as 32-bit integers, and (score, changes) of the ``n`` best.
 
     A change (at, drop, ids) puts ids in the place of ``drop`` pieces of the best segmentation from ``at``.
     """
     v = vocabulary(model_file)
-    memory = _memories.get(model_file)
-    if memory is None or len(memory.number) > REMEMBERED:
-        memory = _memories[model_file] = _Memory()
-    units = UNIT.findall(" " + text)
-    for new in set(units).difference(memory.number):
-        score, loss, ids = v.summary(new)
-        memory.number[new] = len(memory.scores)
-        memory.scores.append(score)
-        memory.losses.append(loss)
-        memory.pieces.append(np.array(ids, np.int32).tobytes())
-    numbers = list(map(memory.number.__getitem__, units))
-    best = sum(map(memory.scores.__getitem__, numbers))
+    memory = _memories.setdefault(model_file, _Memory())
+    if len(memory.number) > REMEMBERED:
+        memory.forget()
+    cut = [UNIT.findall(" " + text) for text in texts]
+    new = list(set().union(*cut).difference(memory.number))
+    memory.learn(new, summaries(v, pieces(model_file), new))
+    numbered = [list(map(memory.number.__getitem__, units)) for units in cut]
+    memory.met += np.bincount(np.fromiter(chain.from_iterable(numbered), np.int64), minlength=len(memory.met))
+    return [_segmented(v, memory, units, listed, n) for units, listed in zip(cut, numbered)]
+
+
+def _segmented(v: Vocabulary, memory: _Memory, units: list[str], listed: list[int], n: int) -> tuple[bytes, list]:
+    numbers = np.array(listed, np.int64)
+    best, loss = float(memory.scores[numbers].sum()), memory.losses[numbers]
     merged: list[tuple[float, tuple]] = [(0.0, ())]
-    loose = heapq.nsmallest(n - 1, ((memory.losses[k], at) for at, k in enumerate(numbers) if memory.losses[k] < float("inf")))
-    for _, at in sorted(loose, key=lambda x: x[1]):
-        k = numbers[at]
+    # The n - 1 units with the least loss, the first of equal ones.
+    limit = -np.inf if n == 1 else np.partition(loss, n - 2)[n - 2] if n <= len(loss) else np.inf
+    loose = np.flatnonzero(loss < limit).tolist()
+    loose = sorted(loose + np.flatnonzero((loss == limit) & (loss < np.inf))[: n - 1 - len(loose)].tolist())
+    for at in loose:
+        k = int(numbers[at])
         if k not in memory.ways:
             memory.ways[k] = v.n_best(units[at], n)
-        top, ways = memory.scores[k], memory.ways[k]
+        top, ways = float(memory.scores[k]), memory.ways[k]
         merged = heapq.nsmallest(n, ((lost + top - score, changed + ((at, ids),) if j else changed) for lost, changed in merged for j, (score, ids) in enumerate(ways)), key=lambda x: x[0])
-    pieces = list(map(memory.pieces.__getitem__, numbers))
-    starts = {}
-    if len(merged) > 1:
-        wanted = {at for _, changed in merged for at, _ in changed}
-        place = 0
-        for at, p in enumerate(pieces):
-            if at in wanted:
-                starts[at] = place
-            place += len(p) // 4
-    return b"".join(pieces), [(best - lost, [{"at": starts[at], "drop": len(pieces[at]) // 4, "ids": list(ids)} for at, ids in changed]) for lost, changed in merged]
+    size = memory.lengths[numbers]
+    starts = np.cumsum(size) - size
+    packed = b"".join(map(memory.pieces.__getitem__, listed))
+    return packed, [(best - lost, [{"at": int(starts[at]), "drop": int(size[at]), "ids": list(ids)} for at, ids in changed]) for lost, changed in merged]
 
 
 def _lists(parts: list[bytes]) -> pa.Array:
@@ -202,9 +308,9 @@ def _encode(model_file: str, n: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                made = [segment(model_file, x.as_py() or "", n) for x in part["_text"]]
+            for at in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(at, TOGETHER)
+                made = segment(model_file, [x or "" for x in part["_text"].to_pylist()], n)
                 ways = pa.array([[{"score": s, "changes": c} for s, c in w] for _, w in made], kind)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], _lists([b for b, _ in made]), ways], [*part.schema.names[:-1], "piece_ids", "n_best"])
 
@@ -217,7 +323,9 @@ def _decode(model_file: str):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = [b"".join(map(bytes_of.__getitem__, x.values.to_pylist() if x.is_valid else [])).decode("utf-8", "replace")[1:] for x in part["piece_ids"]]
+                lists = part["piece_ids"].fill_null([]) if part["piece_ids"].null_count else part["piece_ids"]
+                ends, ids = lists.offsets.to_numpy(), lists.values.to_numpy()
+                texts = [b"".join(map(bytes_of.__getitem__, ids[a:b].tolist())).decode("utf-8", "replace")[1:] for a, b in zip(ends, ends[1:])]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "decoded"])
 
     return run

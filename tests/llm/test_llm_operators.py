@@ -333,8 +333,7 @@ def test_n_best_equals_a_search_of_the_whole_text():
     v, rng = nbest.vocabulary(tokenizer_path()), random.Random(1)
     texts = ["", "Hello world", "  a\n\nthe €uro🙂 x\tyz", "▁mark inside ▁▁", "thntblere of the inreertily bleores"]
     texts += ["".join(rng.choice("the inga\n▁éﷺ ") for _ in range(rng.randint(0, 40))) for _ in range(200)]
-    for text in texts:
-        packed, ways = nbest.segment(tokenizer_path(), text, 4)
+    for text, (packed, ways) in zip(texts, nbest.segment(tokenizer_path(), texts, 4)):
         best = np.frombuffer(packed, np.int32).tolist()
         assert [s for s, _ in ways] == best_ways(v, text, 4)
         seen = set()
