@@ -31,7 +31,7 @@ from lumbre.llm.common import shared_table, text_of, tokenizer_path
 from lumbre.llm.lattice import MARK, NEVER, expected_counts, log_likelihoods, pieces
 
 MAX_CLASSES = 8
-ROUNDS = 2
+ROUNDS = 3
 #: Weight of the vocabulary's own scores, in words.
 PRIOR = 300.0
 #: Tokens of one block of documents.

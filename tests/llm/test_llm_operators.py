@@ -119,6 +119,15 @@ def test_language_model_on_hard_rows(spark, hard):
     assert empty.count() == 0
 
 
+def test_weights_are_fitted_in_three_rounds(spark, hard, monkeypatch):
+    rounds, expect = [], lattice_lm._expect
+    monkeypatch.setattr(lattice_lm, "_expect", lambda *a: (rounds.append(1), expect(*a))[1])
+    got = sorted((str(r.doc_id), r.score) for r in lattice_lm.lattice_scores(hard).collect())
+    assert len(rounds) == 3
+    want = sorted((str(r.doc_id), r.score) for r in lattice_lm.lattice_scores(hard, rounds=3).collect())
+    assert [i for i, _ in got] == [i for i, _ in want] and [x for _, x in got] == pytest.approx([x for _, x in want])
+
+
 # -- 2 ----------------------------------------------------------------------------------------------------------------
 
 
