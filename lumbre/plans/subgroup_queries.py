@@ -330,35 +330,46 @@ def same_structure_overlap(spark, sf_dir):
 # ---- permutations -----------------------------------------------------------------------------------
 
 _PERM_ARM = [G.Arm("returned", "returned", 0.10)]
+PERMUTATIONS = 1000
+#: Permutations of the small query that is held against SQL.
 _N_PERM = 9
 
 
-@query(
-    "subgroup_permutation_p",
-    f"""WITH {COHORT_SQL}, pr AS (SELECT c.* EXCLUDE (returned), CAST(p AS INT) AS s, 0 AS none,
-  CASE WHEN row_number() OVER (PARTITION BY p ORDER BY {sql_md5("'99'", 'p', 'id')}, id) <= sum(returned) OVER (PARTITION BY p) THEN 1 ELSE 0 END AS shuffled, returned
-  FROM cohort c, (SELECT unnest(range(0, {_N_PERM + 1})) AS p)),
-xs AS (SELECT * EXCLUDE (shuffled, returned), 'train' AS part, CASE WHEN s = 0 THEN returned ELSE shuffled END AS returned FROM pr), {beam_sql(_PERM_ARM, 2, 20, 20)},
-nl AS (SELECT k.s, coalesce(max(wracc), 0) AS w FROM (SELECT DISTINCT s FROM xs WHERE s > 0) k LEFT JOIN rules ON rules.s = k.s GROUP BY k.s)
-SELECT rule_key, round(wracc, 9) AS wracc, round((SELECT avg(w) FROM nl), 9) AS null_mean, round((SELECT quantile_cont(w, 0.95) FROM nl), 9) AS null_q95,
-  round((1 + (SELECT count(*) FROM nl WHERE w >= rules.wracc)) / {_N_PERM + 1}.0, 9) AS p_adjusted FROM rules WHERE s = 0""",
-)
-def subgroup_permutation_p(spark, sf_dir):
+def _permutation_p(spark, sf_dir, permutations):
     rows = G.durable(cohort(spark, sf_dir).select("id", *FEATURES, "returned").withColumn("all", F.lit(1)))
-    positives = S.permuted_labels(rows, ["id"], "returned", _N_PERM, 99).filter("y_permuted = 1").select("id", F.col("permutation").alias("s"))
+    positives = S.permuted_labels(rows, ["id"], "returned", permutations, 99).filter("y_permuted = 1").select("id", F.col("permutation").alias("s"))
     # The predictors are the same in every permutation: one set of selectors serves all, and a row's pattern is made once.
     selectors = G.durable(G.make_selectors(rows, ["all"], FEATURES))
     each = G.durable(G.make_patterns(rows, ["id", "all"], FEATURES, ["returned"], selectors, ["all"]))
-    patterns = G.durable(G.permuted_patterns(each, positives, "id", "returned", _N_PERM))
+    patterns = G.durable(G.permuted_patterns(each, positives, "id", "returned", permutations))
     rules = G.durable(G.beam_search(patterns, selectors, ["s", "all"], ["all"], _PERM_ARM, 2, 20, 20))
     best = rules.filter("s > 0").groupBy("s").agg(F.max("wracc").alias("w"))
-    null_scores = spark.range(1, _N_PERM + 1).select(F.col("id").cast("int").alias("s")).join(best, "s", "left").select(
+    null_scores = spark.range(1, permutations + 1).select(F.col("id").cast("int").alias("s")).join(best, "s", "left").select(
         F.lit("returned").alias("arm"), F.coalesce("w", F.lit(0.0)).alias("max_wracc")
     )
-    out = G.permutation_p(rules.filter("s = 0").select("arm", "rule_key", "wracc"), null_scores, ["arm"], _N_PERM)
+    out = G.permutation_p(rules.filter("s = 0").select("arm", "rule_key", "wracc"), null_scores, ["arm"], permutations)
     return out.select("rule_key", *[rounded(F.col(c)).alias(c) for c in ("wracc", "null_mean", "null_q95", "p_adjusted")])
 
 
+@query("subgroup_permutation_p")
+def subgroup_permutation_p(spark, sf_dir):
+    return _permutation_p(spark, sf_dir, PERMUTATIONS)
+
+
+@query(
+    "subgroup_permutation_p_small",
+    f"""WITH {COHORT_SQL}, pr AS (SELECT c.* EXCLUDE (returned), CAST(p AS INT) AS s, 0 AS none,
+  CASE WHEN row_number() OVER (PARTITION BY p ORDER BY {sql_md5("'99'", 'p', 'id')}, id) <= sum(returned) OVER (PARTITION BY p) THEN 1 ELSE 0 END AS shuffled, returned
+  FROM cohort c, (SELECT unnest(range(0, {_N_PERM + 1})) AS p)),
+xs AS (SELECT * EXCLUDE (shuffled, returned), 'train' AS part, CASE WHEN s = 0 THEN returned ELSE shuffled END AS returned FROM pr), {beam_sql(_PERM_ARM, 2, 20, 20)},
+nl AS (SELECT k.s, coalesce(max(wracc), 0) AS w FROM (SELECT DISTINCT s FROM xs WHERE s > 0) k LEFT JOIN rules ON rules.s = k.s GROUP BY k.s)
+SELECT rule_key, round(wracc, 9) AS wracc, round((SELECT avg(w) FROM nl), 9) AS null_mean, round((SELECT quantile_cont(w, 0.95) FROM nl), 9) AS null_q95,
+  round((1 + (SELECT count(*) FROM nl WHERE w >= rules.wracc)) / {_N_PERM + 1}.0, 9) AS p_adjusted FROM rules WHERE s = 0""",
+)
+def subgroup_permutation_p_small(spark, sf_dir):
+    return _permutation_p(spark, sf_dir, _N_PERM)
+
+
 @query(
     "matched_feature_sets",
     f"""WITH {COHORT_SQL} SELECT 'full' AS feature_set, count(*) AS n, CAST(sum(returned) AS BIGINT) AS n_returned FROM cohort

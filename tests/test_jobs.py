@@ -239,3 +239,11 @@ def test_train_fold_steps_of_a_model_job(spark):
     arms = L.specialised_and_general(member, [1, 2, 3], features, "y", ["id"], "m", L.Candidate("decision_tree", tree), thresholds=True)
     deltas = L.arm_deltas(arms, ["label"], ["f1"]).first()
     assert deltas["delta_f1"] == pytest.approx(deltas["specialised_f1"] - deltas["general_f1"]) and deltas["general_f1"] > 0.5
+
+
+def test_permutation_p_can_fall_below_five_percent(spark):
+    from lumbre.plans import QUERIES
+
+    ps = [r.p_adjusted for r in QUERIES["subgroup_permutation_p"](spark, "/root/testdata/sf0.001").select("p_adjusted").collect()]
+    assert all(abs(p * 1001 - round(p * 1001)) < 1e-5 for p in ps)
+    assert 0 < min(ps) < 0.05
