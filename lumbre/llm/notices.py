@@ -64,7 +64,7 @@ def notice(phrase: str, label: str, letters_per_error: int = LETTERS_PER_ERROR)
     cuts = [len(free) * k // (errors + 1) for k in range(errors + 2)]
     seeds = tuple((free[a:b].encode(), a) for a, b in zip(cuts, cuts[1:]))
     # Between spaces, so that it begins and ends with a word.
-    pattern = regex.compile(f"(?b)(?<= )(?:{regex.escape(free, literal_spaces=True)}){{e<={errors}:[a-z ]}}{tail}(?= )")
+    pattern = regex.compile(f"(?b)(?<= )(?:{regex.escape(free, literal_spaces=True)}){{e<={errors}:[^0-9]}}{tail}(?= )")
     return Notice(phrase, label, errors, seeds, pattern)
 
 

@@ -194,6 +194,25 @@ def test_seeds_lose_no_match():
             assert bool(n.pattern.search(data.decode())) == bool(notices.find_fuzzy(data, n))
 
 
+def test_letters_beyond_ascii_are_errors_within_the_limit():
+    mit = notices.notice("under the mit license", "mit")
+    for text in ("under the mit licénse", "under the mít license", "under the mit li\u0441ense", "under the mit lic🙂ense", "under the mit licemse"):
+        assert [e for e, _ in notices.find_fuzzy(notices.normalised_words(f"ab {text} zz"), mit).values()] == [1], text
+    for text in ("under the mit lic3nse", "ünder the mit licénse"):
+        assert not notices.find_fuzzy(notices.normalised_words(f"ab {text} zz"), mit), text
+    rng = random.Random(5)
+    made = [notices.notice(p, x) for p, x in notices.BASE_NOTICES + notices.MORE_NOTICES]
+    for _ in range(400):
+        one = rng.choice(made)
+        letters = list(one.phrase)
+        for _ in range(rng.randint(0, one.errors + 1)):
+            k = rng.randrange(len(letters))
+            letters[k : k + rng.randint(0, 1)] = rng.choice("é🙂\u0441a ")
+        data = notices.normalised_words("éß the " + "".join(letters) + " zz é mit license")
+        for n in made:
+            assert bool(n.pattern.search(data.decode())) == bool(notices.find_fuzzy(data, n))
+
+
 # -- 4 ----------------------------------------------------------------------------------------------------------------
 
 
