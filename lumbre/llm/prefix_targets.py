@@ -62,17 +62,28 @@ def format_conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: st
     return whole.select("conv_id", "formatted", ends.alias("spans"))
 
 
-def examples(formatted: DataFrame) -> DataFrame:
-    """(conv_id, example, context_end, reply, chars): one row per example; the context is the formatted text up to context_end."""
-    each = formatted.select("conv_id", "formatted", F.posexplode("spans").alias("example", "span"))
+def examples(formatted: DataFrame, every: bool = False) -> DataFrame:
+    """(conv_id, formatted, n_examples, example, context_end, reply, chars): one row per example; the context is the formatted text up to context_end.
+
+    With ``every``, a conversation without replies has one row without an example.
+    """
+    explode = F.posexplode_outer if every else F.posexplode
+    each = formatted.select("conv_id", "formatted", F.size("spans").alias("n_examples"), explode("spans").alias("example", "span"))
     reply = F.substring("formatted", F.col("span.begin") + 1, F.col("span.end") - F.col("span.begin"))
-    return each.select("conv_id", "formatted", "example", F.col("span.begin").alias("context_end"), reply.alias("reply"), (F.col("span.end") + len(END)).alias("chars"))
+    return each.select("conv_id", "formatted", "n_examples", "example", F.col("span.begin").alias("context_end"), reply.alias("reply"), (F.col("span.end") + len(END)).alias("chars"))
+
 
+def expand(formatted: DataFrame, every: bool = False) -> DataFrame:
+    """(conv_id, example, prompt, completion): the strings of each example; only the completion is trained, its end mark is not.
 
-def expand(formatted: DataFrame) -> DataFrame:
-    """(conv_id, example, prompt, completion): the strings of each example; only the completion is trained, its end mark is not."""
-    made = examples(formatted)
-    return made.select("conv_id", "example", F.substring("formatted", F.lit(1), F.col("context_end")).alias("prompt"), F.col("reply").alias("completion"))
+    With ``every``, also ``last``, whether no example follows, and there ``tail``, the formatted text outside all examples.
+    """
+    made = examples(formatted, every)
+    columns = ["conv_id", "example", F.substring("formatted", F.lit(1), F.col("context_end")).alias("prompt"), F.col("reply").alias("completion")]
+    if every:
+        last = F.col("example").isNull() | (F.col("example") + 1 == F.col("n_examples"))
+        columns += [last.alias("last"), F.when(last, F.substring("formatted", F.coalesce("chars", F.lit(0)) + 1, F.lit(2**31 - 1))).alias("tail")]
+    return made.select(*columns)
 
 
 def read_back(formatted: Column) -> Column:
@@ -82,16 +93,24 @@ def read_back(formatted: Column) -> Column:
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """What the formatted text says, read back from it: turns, and the texts under the loss of all examples."""
-    turns = read_back(F.col("formatted"))
-    whole = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    replies = F.transform("spans", lambda s: unescaped(F.substring(F.col("formatted"), s["begin"] + 1, s["end"] - s["begin"])))
-    chars = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] + len(END))
-    out = formatted.select("conv_id", "formatted", "spans", turns.alias("turns"), F.array_join(replies, "").alias("loss"), chars.alias("formatted_chars"))
-    return out.select(
-        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars",
-        F.size("spans").cast("long").alias("n_examples"),
+    """What the examples say: the texts under the loss, and the turns, read back from the last example and the tail after it.
+
+    Prompts are measured row by row; only completions and the last example's strings are gathered.
+    """
+    string = F.when(F.col("example").isNotNull(), F.concat("prompt", "completion", F.lit(END)))
+    rows = expand(formatted, every=True).select(
+        "conv_id", F.when(F.col("example").isNotNull(), F.struct("example", "completion")).alias("reply"),
+        F.length(string).cast("long").alias("chars"), F.when(F.col("last"), F.concat(F.coalesce(string, F.lit("")), "tail")).alias("text"),
     )
+    # Of a conversation's rows one has the text.
+    whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("reply")).alias("replies"), F.coalesce(F.sum("chars"), F.lit(0).cast("long")).alias("formatted_chars"), F.max("text").alias("text"))
+    loss = F.array_join(F.transform("replies", lambda x: unescaped(x["completion"])), "")
+    turns = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
+    out = whole.select("conv_id", "formatted_chars", loss.alias("loss"), read_back(F.col("text")).alias("turns"), F.size("replies").cast("long").alias("n_examples"))
+    return out.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars", "n_examples"
+    )
+
 
 
 SQL = """

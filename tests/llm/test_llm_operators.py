@@ -236,6 +236,19 @@ def test_prefix_targets_on_hard_turns(spark):
     assert prefix_targets.digests(prefix_targets.format_conversations(turns.filter("false"))).count() == 0
 
 
+def test_digests_come_from_expanded_examples(spark, monkeypatch):
+    calls, expand = [], prefix_targets.expand
+    monkeypatch.setattr(prefix_targets, "expand", lambda *a, **k: (calls.append(1), expand(*a, **k))[1])
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "~0"), (1, 2, "user", "r"), (1, 3, "assistant", "é"), (1, 4, "user", "tail"), (2, 0, "user", "none"), (None, 0, "assistant", "")]
+    formatted = prefix_targets.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {r.conv_id: r for r in prefix_targets.digests(formatted).collect()}
+    assert calls
+    made = expand(formatted).collect()
+    for k, turns, n, loss in ((1, 5, 2, 3), (2, 1, 0, 0), (None, 1, 1, 0)):
+        chars = sum(len(r.prompt) + len(r.completion) + len("</s>") for r in made if r.conv_id == k)
+        assert (got[k].n_turns, got[k].n_examples, got[k].loss_chars, got[k].formatted_chars) == (turns, n, loss, chars)
+
+
 # -- 5 ----------------------------------------------------------------------------------------------------------------
 
 
