@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumbre.llm import bloom_dedup, cotraining, curriculum, lattice_lm, main_text, minhash, nbest, notices, prefix_targets, quality_rules
+from lumbre.llm import bloom_dedup, cotraining, curriculum, lattice_lm, main_text, merkle, minhash, nbest, notices, prefix_targets, quality_rules
 from lumbre.llm.common import read_table, text_of
 
 QUERIES: dict = {}
@@ -112,3 +112,11 @@ def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _query(op6_html_main_text)
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = merkle.documents_manifest(read_table(spark, sf_dir, "documents"))
+    return merkle.prove(manifest).withColumnRenamed("id", "doc_id")
+
+
+_query(op11_merkle_manifest, merkle.SQL)
