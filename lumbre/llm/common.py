@@ -19,19 +19,21 @@ def text_of(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def shared_table(df: DataFrame) -> DataFrame:
-    """Write ``df`` once as Parquet to the shared checkpoint folder and read it back.
-
-    It cuts lineage: a lost executor costs the running tasks only.  The folder goes when the application ends.
-    """
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, kind: str) -> str:
+    """A new folder's path in the shared checkpoint folder; the folder goes when the application ends."""
     ensure_checkpoint_dir(spark)
     context = spark.sparkContext
-    path = f"{context.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    path = f"{context.getCheckpointDir()}/{kind}-{uuid.uuid4().hex}"
     hadoop_path = context._jvm.org.apache.hadoop.fs.Path(path)
-    df.write.parquet(path)
     hadoop_path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return spark.read.parquet(path)
+    return path
+
+
+def shared_table(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as Parquet to the shared checkpoint folder and read it back: it cuts lineage, and a lost executor costs the running tasks only."""
+    path = shared_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

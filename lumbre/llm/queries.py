@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumbre.llm import bloom_dedup, cotraining, curriculum, lattice_lm, main_text, merkle, minhash, nbest, notices, prefix_targets, quality_rules
-from lumbre.llm.common import read_table, text_of
+from lumbre.llm import bloom_dedup, cotraining, curriculum, lattice_lm, main_text, merkle, minhash, nbest, notices, prefix_targets, quality_rules, warc
+from lumbre.llm.common import read_table, shared_path, text_of
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -120,3 +120,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _query(op11_merkle_manifest, merkle.SQL)
+
+
+def op13_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "archives")
+    warc.write_archives(read_table(spark, sf_dir, "pages"), path)
+    return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+
+
+_query(op13_warc_archives, warc.SQL.replace("SELECT page_id, payload_bytes, payload_digest, CASE", "SELECT page_id, payload_bytes, payload_digest, true AS intact, CASE"))
