@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumbre.llm import bloom_dedup, cotraining, curriculum, lattice_lm, main_text, merkle, minhash, nbest, notices, prefix_targets, quality_rules, warc
+from lumbre.llm import bloom_dedup, cotraining, curriculum, lattice_lm, main_text, merkle, minhash, nbest, notices, prefix_targets, quality_rules, repair, warc
 from lumbre.llm.common import read_table, shared_path, text_of
 
 QUERIES: dict = {}
@@ -129,3 +129,10 @@ def op13_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _query(op13_warc_archives, warc.SQL.replace("SELECT page_id, payload_bytes, payload_digest, CASE", "SELECT page_id, payload_bytes, payload_digest, true AS intact, CASE"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_damaged(read_table(spark, sf_dir, "conversations"))
+
+
+_query(op12_conversation_repair, repair.SQL)
