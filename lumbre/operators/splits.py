@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumbre.functions.keys import joined
+from lumbre.functions.keys import hash_order, joined
 from lumbre.operators.ordered import hash_rank
-from lumbre.session import ContractError
+from lumbre.session import ContractError, durable
 
 
 def signature(labels: list[str]) -> Column:
@@ -196,3 +196,45 @@ def permuted_labels(df: DataFrame, ids: list[str], label: str, permutations: int
     return ranked.join(positives, "permutation").select(
         *ids, "permutation", label, (F.col("__rank") <= F.col("__p")).cast("int").alias(bits)
     )
+
+
+#: Hex digits by which a cell is narrowed in a round, and the rows of a cell that are put in order.
+CELL_DIGITS, CELL_ROWS = 2, 10_000
+
+
+def hash_cuts(pairs: DataFrame, wanted: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """(order, cut): for each order the ``wanted``-th smallest of its hashes, from ``pairs`` (order, h) and ``wanted`` (order, wanted).
+
+    Each task counts its hashes by order and first digits; only the cell around the wanted rank is narrowed, digit by digit, until it is small, and only its
+    rows are shuffled and ordered.  ``wanted`` has one row for each order, a setting.  None wanted gives a cut below all hashes, more than there are one above.
+    """
+    cells = wanted.filter("wanted > 0").select("order", F.col("wanted").cast("bigint").alias("wanted"), F.lit("").alias("cell"), F.lit(0).cast("bigint").alias("before"))
+    digits = 0
+    while True:
+        inside = pairs.join(F.broadcast(cells), "order").filter(F.startswith("h", F.col("cell")))
+        digits += CELL_DIGITS
+        counts = inside.groupBy("order", "wanted", "before", F.substring("h", 1, digits).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+        upto = F.sum("n").over(W.partitionBy("order").orderBy("cell")) + F.col("before")
+        around = counts.withColumn("upto", upto).filter((F.col("upto") >= F.col("wanted")) & (F.col("upto") - F.col("n") < F.col("wanted")))
+        around = durable(around.select("order", "wanted", "cell", (F.col("upto") - F.col("n")).alias("before"), "n"))
+        cells = around.drop("n")
+        most = around.agg(F.max("n").alias("n")).first()["n"]
+        # Rows with one and the same hash cannot be narrowed further.
+        if most is None or most <= cell_rows or digits >= 32:
+            break
+    last = pairs.join(F.broadcast(cells), "order").filter(F.startswith("h", F.col("cell")))
+    place = F.row_number().over(W.partitionBy("order").orderBy("h")) + F.col("before")
+    found = last.withColumn("place", place).filter(F.col("place") == F.col("wanted")).select("order", F.col("h").alias("cut"))
+    # A hash is hexadecimal: every one is above the empty text and below "g".
+    return durable(wanted.join(found, "order", "left").select("order", F.when(F.col("wanted") > 0, F.coalesce("cut", F.lit("g"))).otherwise(F.lit("")).alias("cut")))
+
+
+def permutation_cuts(df: DataFrame, ids: list[str], permutations: int, seed, wanted: int, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """(permutation, cut): rows whose hash is at or below the cut are the permutation's positives.
+
+    The same positives as ``permuted_labels`` gives for distinct ids, without shuffling the rows of any permutation.
+    """
+    hashes = df.select(F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("order"), *ids)
+    hashes = hashes.select("order", hash_order(joined(seed, F.col("order")), *[F.col(i) for i in ids]).alias("h"))
+    orders = df.sparkSession.range(1, permutations + 1).select(F.col("id").cast("int").alias("order"), F.lit(wanted).alias("wanted"))
+    return hash_cuts(hashes, orders, cell_rows).withColumnRenamed("order", "permutation")

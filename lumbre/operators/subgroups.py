@@ -1,7 +1,7 @@
 """Subgroup discovery: level-wise beam search for interpretable rules.
 
 Rows are first folded into distinct patterns of matching selectors with their counts, per search key.
-All levels then work on that table only: coverage, positives, duplicate covers and overlaps are sums
+All levels then work on that table only, as vertical bitmaps: coverage, positives, duplicate covers and overlaps are sums
 over patterns. Folds, targets, settings and permutations are keys, so all searches share each job.
 """
 
@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lumbre.functions.keys import hash_order, joined
 from lumbre.operators.association import fisher_exact, melt
+from lumbre.operators.covers import extension_counts, pattern_blocks
 from lumbre.operators.ordered import best_row, exact_quantiles, top_rows
 from lumbre.session import BROADCAST_ROW_LIMIT, ContractError, broadcast_if_small, durable
 
@@ -23,11 +25,12 @@ CUT_QUANTILES = [0.25, 0.5, 0.75]
 
 @dataclass(frozen=True)
 class Arm:
-    """One search over the rows of a search key: a target and a minimum coverage."""
+    """One search over the rows of a search key: a target, a minimum coverage, and a depth (by default the deepest level of the search)."""
 
     name: str
     target: str
     min_coverage: float = 0.10
+    max_depth: int | None = None
 
 
 def _value_text(op: str, value: str) -> Column:
@@ -91,17 +94,21 @@ def make_patterns(frame: DataFrame, search: list[str], features: list[str], targ
     return folded.withColumns({"__h1": F.xxhash64("pattern"), "__h2": F.xxhash64(F.lit("second"), "pattern")})
 
 
-def permuted_patterns(each: DataFrame, positives: DataFrame, id_col: str, target: str, permutations: int) -> DataFrame:
+def permuted_patterns(each: DataFrame, cuts: DataFrame, ids: list[str], target: str, seed) -> DataFrame:
     """Patterns of the true labels (s = 0) and of every permutation, from one pattern per row.
 
-    ``each`` comes from ``make_patterns`` with the id among its keys; ``positives`` has (id, s) of the rows that a permutation
-    makes positive. Only those rows are joined; sizes of patterns are the same in all permutations.
+    ``each`` comes from ``make_patterns`` with the ids among its keys; ``cuts`` has the largest hash of each permutation's positives.  Every task adds up
+    its rows by pattern and permutation, so no row of a permutation is shuffled; sizes of patterns are the same in all permutations.
     """
-    keys = [c for c in each.columns if c not in (id_col, "n", target)]
-    totals = each.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(target).alias(target))
-    hits = positives.join(each, id_col).groupBy("s", *keys).agg(F.sum("n").alias("__hit"))
-    copies = totals.drop(target).withColumn("s", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
-    null = copies.join(hits, ["s", *keys], "left").withColumn(target, F.coalesce("__hit", F.lit(0).cast("bigint"))).drop("__hit")
+    keys = [c for c in each.columns if c not in (*ids, "n", target)]
+    totals = durable(each.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(target).alias(target)))
+    limits = cuts.agg(F.array_sort(F.collect_list(F.struct("permutation", "cut"))).alias("cuts"))  # one entry per permutation
+    rows = each.select(*ids, "__h1", "__h2", "n").join(F.broadcast(limits), how="cross")
+    copies = rows.select(*ids, "__h1", "__h2", "n", F.explode("cuts").alias("c"))
+    positive = hash_order(joined(seed, F.col("c.permutation")), *[F.col(i) for i in ids]) <= F.col("c.cut")
+    hits = copies.filter(positive).groupBy(F.col("c.permutation").alias("s"), "__h1", "__h2").agg(F.sum("n").alias("__hit"))
+    null = totals.drop(target).join(F.broadcast(limits), how="cross").select("*", F.explode("cuts.permutation").alias("s")).drop("cuts")
+    null = null.join(hits, ["s", "__h1", "__h2"], "left").withColumn(target, F.coalesce("__hit", F.lit(0).cast("bigint"))).drop("__hit")
     return totals.withColumn("s", F.lit(0)).unionByName(null)
 
 
@@ -145,15 +152,17 @@ def beam_search(
     selector_info = selectors.select(*selector_keys, F.col("idx").alias("sel"), "pos", "text", "shape", "shape_with_value").join(by_feature, [*selector_keys, "pos"])
     # One entry per selector: the size is fixed by the features and the search keys.
     selector_info = broadcast_if_small(selector_info)
-    sums = [F.sum("n").alias("n_covered"), *[F.sum(t).alias(t) for t in targets], F.bit_xor("__h1").alias("__c1"), F.bit_xor("__h2").alias("__c2")]
+    blocks = pattern_blocks(train, search, targets)
+    depths = {a.name: a.max_depth or max_depth for a in arms}
     levels: list[DataFrame] = []
     n_parents = n_search * len(arms)
-    for depth in range(1, max_depth + 1):
+    for depth in range(1, max(depths.values()) + 1):
+        going = [name for name, deepest in depths.items() if deepest >= depth]
+        if len(going) < len(arms):
+            parents = parents.filter(F.col("arm").isin(*going))
         # Counts are shared by all arms that have the parent in their beam.
         unique_parents = parents.select(*search, "rule", "last", "used").dropDuplicates([*search, "rule"])
-        met = _match(train, unique_parents, search, n_parents).filter(F.forall("rule", lambda r: F.array_contains("pattern", r)))
-        later = F.filter("pattern", lambda i: (i > F.col("last")) & ~F.array_contains("used", i))
-        counts = met.select(*search, "rule", F.explode(later).alias("sel"), "n", *targets, "__h1", "__h2").groupBy(*search, "rule", "sel").agg(*sums)
+        counts = extension_counts(blocks, unique_parents, search, targets)
         beams = parents.select(*search, "rule", "arm", "used", "rule_key", "structure_key", "structure_value_key", F.col("rank").alias("__parent_rank"))
         long = _match(counts, beams, [*search, "rule"], n_parents)
         named = long.join(selector_info, [*selector_keys, "sel"])
@@ -334,6 +343,41 @@ def cut_point_stability(rules: DataFrame, selectors: DataFrame, selector_keys: l
     return q.select(*keys, structure, "shape", "n", F.col("q")[1].alias("median"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"), "range")
 
 
+def structure_stability(frame: DataFrame, features: list[str], rules: DataFrame, selectors: DataFrame, search: list[str], keys: list[str]) -> DataFrame:
+    """Distribution of the Jaccard values between covers of rules that share ``keys`` but come from different searches (folds).
+
+    Rules of all searches are applied to the same rows, and rows are folded once to the sets of rules that they match, so covers of different
+    searches meet as sums over those sets.  The number of rules is a setting.
+    """
+    parts = rules.select(*search, *keys, "rule_key", F.explode("rule").alias("idx")).join(selectors.select(*search, "idx", "pos", "op", "value"), [*search, "idx"])
+    packed = parts.groupBy(*search, *keys, "rule_key").agg(F.collect_list(F.struct("pos", "op", "value")).alias("parts"))
+    names = F.struct(*search, *keys, "rule_key")
+    listed = durable(packed.agg(F.array_sort(F.collect_list(F.struct(names.alias("name"), "parts"))).alias("all")))
+    rows = frame.select(F.array(*[F.col(f).cast("double") for f in features]).alias("__x")).join(F.broadcast(listed), how="cross")  # one row
+
+    def holds(s: Column) -> Column:
+        x = F.element_at("__x", s["pos"])
+        known = F.when(~F.isnan(x), x)
+        return F.coalesce(F.when(s["op"] == "==", known == s["value"]).when(s["op"] == "<=", known <= s["value"]).otherwise(known > s["value"]), F.lit(False))
+
+    numbered = F.transform("all", lambda r, i: F.struct(r["parts"].alias("parts"), i.alias("i")))
+    matched = F.transform(F.filter(numbered, lambda r: F.forall(r["parts"], holds)), lambda r: r["i"])
+    sets = durable(rows.select(matched.alias("m")).groupBy("m").agg(F.count(F.lit(1)).alias("n")))
+    each = listed.select(F.posexplode("all").alias("i", "r")).select("i", "r.name.*")
+    sizes = each.join(sets.select(F.explode("m").alias("i"), "n").groupBy("i").agg(F.sum("n").alias("size")), "i", "left").withColumn("size", F.coalesce("size", F.lit(0)))
+    both = sets.select("n", "m", F.explode("m").alias("a")).select("n", "a", F.explode("m").alias("b")).filter("a < b").groupBy("a", "b").agg(F.sum("n").alias("n_both"))
+    left = sizes.select(*keys, F.col("i").alias("a"), F.struct(*search).alias("__a"), F.col("size").alias("n_a"))
+    right = sizes.select(*keys, F.col("i").alias("b"), F.struct(*search).alias("__b"), F.col("size").alias("n_b"))
+    pairs = left.join(right, keys).filter("a < b AND __a <> __b").join(both, ["a", "b"], "left").withColumn("n_both", F.coalesce("n_both", F.lit(0)))
+    union = F.col("n_a") + F.col("n_b") - F.col("n_both")
+    overlap = pairs.select(*keys, F.when(union == 0, F.lit(1.0)).otherwise(F.col("n_both") / F.nullif(union, F.lit(0))).alias("jaccard"))
+    # Pairs of a structure: at most the square of its rules.
+    q = overlap.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_pairs"), F.avg("jaccard").alias("mean"), F.min("jaccard").alias("min"), F.max("jaccard").alias("max"), F.percentile("jaccard", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")
+    )
+    return q.select(*keys, "n_pairs", "mean", "min", F.col("q")[0].alias("q25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q75"), "max")
+
+
 def paired_ablation(cells: DataFrame, keys: list[str], fold_keys: list[str], arm: str, base: str, other: str) -> DataFrame:
     """Mean difference of the mean test gain and win / tie / loss counts over the folds that both arms have."""
     per = cells.groupBy(*keys, *fold_keys).agg(

@@ -62,7 +62,7 @@ n{d} AS (SELECT g{d}.*, t.arm, t.rank AS parent_rank, t.rule_key || '|' || txt A
 w{d} AS (SELECT n{d}.s, n{d}.arm, parent, rule_key, used, last, n_rows, n_covered, cover, parent_rank, idx,
   CASE a.target WHEN 'returned' THEN returned WHEN 'open_line' THEN open_line ELSE none END AS hit,
   CASE a.target WHEN 'returned' THEN a_returned WHEN 'open_line' THEN a_open_line ELSE a_none END AS n_positive
-  FROM n{d} JOIN tot ON n{d}.s = tot.s JOIN arms a ON a.arm = n{d}.arm WHERE n_covered >= greatest(1, ceil(a.min_coverage * n_rows)) AND n_covered < n_rows),
+  FROM n{d} JOIN tot ON n{d}.s = tot.s JOIN arms a ON a.arm = n{d}.arm AND a.max_depth >= {d} WHERE n_covered >= greatest(1, ceil(a.min_coverage * n_rows)) AND n_covered < n_rows),
 f{d} AS (SELECT *, CAST(n_covered AS DOUBLE) / n_rows AS coverage, CAST(n_covered AS DOUBLE) / n_rows * (CAST(hit AS DOUBLE) / n_covered - CAST(n_positive AS DOUBLE) / n_rows) AS wracc
   FROM w{d} QUALIFY row_number() OVER (PARTITION BY s, arm, cover ORDER BY parent_rank, idx) = 1),
 t{d} AS (SELECT *, {d} AS rule_length, row_number() OVER (PARTITION BY s, arm ORDER BY wracc DESC, coverage DESC, rule_key DESC) AS rank FROM f{d} WHERE wracc > 0
@@ -72,13 +72,13 @@ t{d} AS (SELECT *, {d} AS rule_length, row_number() OVER (PARTITION BY s, arm OR
 
 def beam_sql(arms: list[G.Arm], depth: int, beam: int = 100, top: int = 100) -> str:
     """CTEs up to ``rules``; expects ``xs(s, part, id, features, targets)`` before it."""
-    values = ", ".join(f"('{a.name}', '{a.target}', {a.min_coverage}::DOUBLE)" for a in arms)
+    values = ", ".join(f"('{a.name}', '{a.target}', {a.min_coverage}::DOUBLE, {a.max_depth or depth})" for a in arms)
     levels = ",\n".join(_level_sql(d, arms, beam, top) for d in range(1, depth + 1))
     union = " UNION ALL ".join(
         f"SELECT s, arm, rule_key, rule_length, n_rows, n_covered, n_positive, hit, coverage, wracc FROM t{d} WHERE rank <= {top}" for d in range(1, depth + 1)
     )
     members = " UNION ALL ".join(f"SELECT s, rule_key, id, part FROM m{d}" for d in range(1, depth + 1))
-    return f"""arms AS (SELECT * FROM (VALUES {values}) v(arm, target, min_coverage)), {_selector_sql()},
+    return f"""arms AS (SELECT * FROM (VALUES {values}) v(arm, target, min_coverage, max_depth)), {_selector_sql()},
 {levels}, al AS ({union}),
 rules AS (SELECT *, row_number() OVER (PARTITION BY s, arm ORDER BY wracc DESC, coverage DESC, rule_length, rule_key DESC) AS rank FROM al
   QUALIFY row_number() OVER (PARTITION BY s, arm ORDER BY wracc DESC, coverage DESC, rule_length, rule_key DESC) <= {top}),
@@ -155,12 +155,13 @@ def rule_overlap_jaccard(spark, sf_dir):
     return G.rule_overlaps(rules, patterns, ["s"]).select("arm", "a", "b", rounded(F.col("jaccard")).alias("jaccard"))
 
 
-_SENSITIVITY = [G.Arm(f"{t}@{c}", t, c) for t in LABELS for c in (0.05, 0.2, 0.4)]
+_SENSITIVITY = [G.Arm(f"{t}@{c}/{d}", t, c, d) for t in LABELS for c in (0.05, 0.2, 0.4) for d in (1, 2, 3)]
 
 
-@query("subgroup_sensitivity", f"WITH {_FULL_SQL}, {beam_sql(_SENSITIVITY, 2, 100, 20)} {_RULE_OUT}")
+@query("subgroup_sensitivity", f"WITH {_FULL_SQL}, {beam_sql(_SENSITIVITY, 3, 30, 20)} {_RULE_OUT}")
 def subgroup_sensitivity(spark, sf_dir):
-    return _rule_rows(_full(spark, sf_dir, _SENSITIVITY, 2, top_candidates=20)[2])
+    """Coverages by depths as arms of one search."""
+    return _rule_rows(_full(spark, sf_dir, _SENSITIVITY, 3, beam_width=30, top_candidates=20)[2])
 
 
 # ---- metrics of a rule catalogue --------------------------------------------------------------------
@@ -221,18 +222,26 @@ def subgroup_metrics(spark, sf_dir):
 # ---- cross-validated discovery ----------------------------------------------------------------------
 
 _CV_ARMS = [G.Arm(t, t, 0.10) for t in LABELS]
-_CV_SQL = f"""{COHORT_SQL}, {folds_sql()}, xs AS (SELECT k.k AS s, CASE WHEN f.fold = k.k THEN 'test' ELSE 'train' END AS part, c.*, CASE WHEN c.returned + c.open_line = 0 THEN 1 ELSE 0 END AS none
-  FROM cohort c JOIN folds f ON c.id = f.id, (SELECT CAST(unnest(range(1, 6)) AS INT) AS k) k), {beam_sql(_CV_ARMS, 2, 30, 30)}, {diverse_sql(0.8, 5)},
-ch AS (SELECT r.*, choice FROM rules r JOIN picks ON r.s = picks.s AND r.arm = picks.arm AND r.rank = picks.rank),
+#: Configurations of the consensus: coverages by depths.
+_CONFIGURATIONS = [G.Arm(f"{t}@{c}/{d}", t, c, d) for t in LABELS for c in (0.05, 0.2) for d in (1, 2)]
+
+
+def _cv_sql(arms: list[G.Arm]) -> str:
+    return f"""{COHORT_SQL}, {folds_sql()}, xs AS (SELECT k.k AS s, CASE WHEN f.fold = k.k THEN 'test' ELSE 'train' END AS part, c.*, CASE WHEN c.returned + c.open_line = 0 THEN 1 ELSE 0 END AS none
+  FROM cohort c JOIN folds f ON c.id = f.id, (SELECT CAST(unnest(range(1, 6)) AS INT) AS k) k), {beam_sql(arms, 2, 30, 30)}, {diverse_sql(0.8, 5)},
+ch AS (SELECT r.*, choice, arms.target FROM rules r JOIN picks ON r.s = picks.s AND r.arm = picks.arm AND r.rank = picks.rank JOIN arms ON arms.arm = r.arm),
 tp AS (SELECT s, part, count(*) AS n, sum(returned) AS p_returned, sum(open_line) AS p_open_line FROM xs GROUP BY s, part),
-ev AS (SELECT ch.s, ch.arm, ch.rule_key, ch.choice, tp.part, tp.n AS n_rows, CASE ch.arm WHEN 'returned' THEN p_returned ELSE p_open_line END AS n_positive,
-  count(rm.id) AS n_covered, coalesce(sum(CASE ch.arm WHEN 'returned' THEN xs.returned ELSE xs.open_line END), 0) AS hit
+ev AS (SELECT ch.s, ch.arm, ch.target, ch.rule_key, ch.choice, tp.part, tp.n AS n_rows, CASE ch.target WHEN 'returned' THEN p_returned ELSE p_open_line END AS n_positive,
+  count(rm.id) AS n_covered, coalesce(sum(CASE ch.target WHEN 'returned' THEN xs.returned ELSE xs.open_line END), 0) AS hit
   FROM ch JOIN tp ON tp.s = ch.s LEFT JOIN rm ON rm.s = ch.s AND rm.rule_key = ch.rule_key AND rm.part = tp.part LEFT JOIN xs ON xs.s = rm.s AND xs.id = rm.id GROUP BY ALL),
 em AS (SELECT *, CAST(n_covered AS DOUBLE) / n_rows AS coverage, CAST(hit AS DOUBLE) / nullif(n_covered, 0) AS sp, CAST(n_positive AS DOUBLE) / n_rows AS gp FROM ev),
 ew AS (SELECT *, CASE WHEN n_covered = 0 THEN 0 ELSE coverage * (sp - gp) END AS wracc, regexp_replace(rule_key, '((?:<=|>)) [-0-9.]+', '\\1', 'g') AS structure FROM em)"""
 
 
-def _cross_validated(spark, sf_dir):
+_CV_SQL = _cv_sql(_CV_ARMS)
+
+
+def _cross_validated(spark, sf_dir, arms=None):
     folds = _folds(spark, sf_dir).select("id", "fold")
     # The cohort with its folds is written once; all parts of the search read that.
     cohort_rows = G.durable(_frame(spark, sf_dir).join(folds, "id"))
@@ -241,7 +250,7 @@ def _cross_validated(spark, sf_dir):
     train = rows.filter("fold <> s")
     selectors = G.durable(G.make_selectors(train, ["s"], FEATURES))
     patterns = G.durable(G.make_patterns(rows, ["s"], FEATURES, TARGETS, selectors, ["s"], part))
-    rules = G.beam_search(patterns, selectors, ["s"], ["s"], _CV_ARMS, 2, 30, 30)
+    rules = G.beam_search(patterns, selectors, ["s"], ["s"], arms or _CV_ARMS, 2, 30, 30)
     chosen = G.durable(G.diverse_rules(rules, patterns, ["s"]))
     counts = G.evaluate_rules(chosen, patterns, ["s"], TARGETS)
     names = chosen.select("s", "arm", "rule_key", F.col("structure_value_key").alias("structure"), "choice", "rule")
@@ -274,15 +283,35 @@ def subgroup_stability(spark, sf_dir):
 
 @query(
     "subgroup_consensus",
-    f"""WITH {_CV_SQL}, o AS (SELECT arm, structure, part AS config, s, max(wracc) AS wracc FROM ew GROUP BY ALL),
-a AS (SELECT arm, structure, count(DISTINCT config) AS n_configs, count(*) AS n_cells, avg(wracc) AS m, avg(CASE WHEN wracc > 0 THEN 1.0 ELSE 0.0 END) AS sh FROM o GROUP BY arm, structure)
-SELECT arm, structure, n_configs, n_cells, round(m, 9) AS mean_test_wracc, round(sh, 9) AS share_positive,
-  CASE WHEN m > 0 AND sh >= 0.6 AND n_configs / 2.0 >= 0.75 AND n_cells / 10.0 >= 0.5 THEN 'strong' WHEN m > 0 AND sh >= 0.6 AND n_configs / 2.0 >= 0.5 AND n_cells / 10.0 >= 0.25 THEN 'moderate' ELSE 'none' END AS consensus FROM a""",
+    f"""WITH {_cv_sql(_CONFIGURATIONS)}, o AS (SELECT target, structure, arm AS config, s, max(wracc) AS wracc FROM ew WHERE part = 'test' GROUP BY ALL),
+a AS (SELECT target, structure, count(DISTINCT config) AS n_configs, count(*) AS n_cells, avg(wracc) AS m, avg(CASE WHEN wracc > 0 THEN 1.0 ELSE 0.0 END) AS sh FROM o GROUP BY target, structure)
+SELECT target, structure, n_configs, n_cells, round(m, 9) AS mean_test_wracc, round(sh, 9) AS share_positive,
+  CASE WHEN m > 0 AND sh >= 0.6 AND n_configs / 4.0 >= 0.75 AND n_cells / 20.0 >= 0.5 THEN 'strong' WHEN m > 0 AND sh >= 0.6 AND n_configs / 4.0 >= 0.5 AND n_cells / 20.0 >= 0.25 THEN 'moderate' ELSE 'none' END AS consensus FROM a""",
 )
 def subgroup_consensus(spark, sf_dir):
-    rows = _cross_validated(spark, sf_dir)[0].withColumn("config", F.col("part"))
-    out = G.consensus_class(rows, ["arm", "structure"], "config", ["s"], 2, 10)
-    return out.select("arm", "structure", "n_configs", "n_cells", rounded(F.col("mean_test_wracc")).alias("mean_test_wracc"), rounded(F.col("share_positive")).alias("share_positive"), "consensus")
+    """Coverages by depths are the configurations; only the test parts of the folds count."""
+    rows = _cross_validated(spark, sf_dir, _CONFIGURATIONS)[0].filter("part = 'test'")
+    rows = rows.withColumn("target", F.substring_index("arm", "@", 1)).withColumnRenamed("arm", "config")
+    out = G.consensus_class(rows, ["target", "structure"], "config", ["s"], 4, 20)
+    return out.select("target", "structure", "n_configs", "n_cells", rounded(F.col("mean_test_wracc")).alias("mean_test_wracc"), rounded(F.col("share_positive")).alias("share_positive"), "consensus")
+
+
+@query(
+    "structure_cover_stability",
+    f"""WITH {_CV_SQL}, st AS (SELECT DISTINCT arm, structure, s, rule_key FROM ew),
+me AS (SELECT arm, structure, st.s, st.rule_key, id FROM st JOIN rm ON rm.s = st.s AND rm.rule_key = st.rule_key),
+sz AS (SELECT st.arm, st.structure, st.s, st.rule_key, count(id) AS n FROM st LEFT JOIN me ON me.arm = st.arm AND me.s = st.s AND me.rule_key = st.rule_key GROUP BY ALL),
+bo AS (SELECT a.arm, a.structure, a.s AS sa, a.rule_key AS ra, b.s AS sb, b.rule_key AS rb, count(*) AS n_both FROM me a JOIN me b ON a.arm = b.arm AND a.structure = b.structure AND a.id = b.id AND a.s < b.s GROUP BY ALL),
+ja AS (SELECT x.arm, x.structure, CASE WHEN x.n + y.n = 0 THEN 1.0 ELSE coalesce(n_both, 0) / CAST(x.n + y.n - coalesce(n_both, 0) AS DOUBLE) END AS j
+  FROM sz x JOIN sz y ON x.arm = y.arm AND x.structure = y.structure AND x.s < y.s LEFT JOIN bo ON bo.arm = x.arm AND bo.structure = x.structure AND sa = x.s AND ra = x.rule_key AND sb = y.s AND rb = y.rule_key)
+SELECT arm, structure, count(*) AS n_pairs, round(avg(j), 9) AS mean, round(min(j), 9) AS min, round(quantile_cont(j, 0.25), 9) AS q25, round(median(j), 9) AS median, round(quantile_cont(j, 0.75), 9) AS q75, round(max(j), 9) AS max
+FROM ja GROUP BY arm, structure""",
+)
+def structure_cover_stability(spark, sf_dir):
+    """Jaccard of the covers that rules of one structure from different folds have on the whole cohort."""
+    _, selectors, chosen = _cross_validated(spark, sf_dir)
+    out = G.structure_stability(cohort(spark, sf_dir), FEATURES, chosen, selectors, ["s"], ["arm", "structure_value_key"])
+    return out.select("arm", F.col("structure_value_key").alias("structure"), "n_pairs", *[rounded(F.col(c)).alias(c) for c in ("mean", "min", "q25", "median", "q75", "max")])
 
 
 @query(
@@ -337,11 +366,12 @@ _N_PERM = 9
 
 def _permutation_p(spark, sf_dir, permutations):
     rows = G.durable(cohort(spark, sf_dir).select("id", *FEATURES, "returned").withColumn("all", F.lit(1)))
-    positives = S.permuted_labels(rows, ["id"], "returned", permutations, 99).filter("y_permuted = 1").select("id", F.col("permutation").alias("s"))
+    wanted = rows.agg(F.sum("returned").alias("p")).first()["p"] or 0
+    cuts = S.permutation_cuts(rows, ["id"], permutations, 99, wanted)
     # The predictors are the same in every permutation: one set of selectors serves all, and a row's pattern is made once.
     selectors = G.durable(G.make_selectors(rows, ["all"], FEATURES))
     each = G.durable(G.make_patterns(rows, ["id", "all"], FEATURES, ["returned"], selectors, ["all"]))
-    patterns = G.durable(G.permuted_patterns(each, positives, "id", "returned", permutations))
+    patterns = G.durable(G.permuted_patterns(each, cuts, ["id"], "returned", 99))
     rules = G.durable(G.beam_search(patterns, selectors, ["s", "all"], ["all"], _PERM_ARM, 2, 20, 20))
     best = rules.filter("s > 0").groupBy("s").agg(F.max("wracc").alias("w"))
     null_scores = spark.range(1, permutations + 1).select(F.col("id").cast("int").alias("s")).join(best, "s", "left").select(
