@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lumbre.functions.numeric import ratio
+from lumbre.operators.ordered import row_rank, running_minimum
 
 
 def melt(df: DataFrame, ids: list[str], columns: list[str], name: str = "feature", value: str = "value", as_type: str = "double") -> DataFrame:
@@ -131,13 +132,24 @@ def fisher_exact(tables: DataFrame, keys: list[str], chunk: int = 10_000) -> Dat
     return tables.join(p_values, keys, "left")
 
 
-def benjamini_hochberg(tests: DataFrame, p: str, scope: list[str], keys: list[str], out: str = "p_adjusted") -> DataFrame:
+#: Tests up to which adjustment takes one window per scope.
+FEW_TESTS = 100_000
+
+
+def benjamini_hochberg(tests: DataFrame, p: str, scope: list[str], keys: list[str], out: str = "p_adjusted", few: int = FEW_TESTS) -> DataFrame:
     """False-discovery adjusted p-values within ``scope`` (empty: over all tests); null p stays null.
 
-    The tests table has one row per (feature, label), so its size follows the number of columns.
+    More than ``few`` tests are ranked from the largest p by a range sort, and the running minimum goes from partition to partition.
     """
     scoped, ks = (tests, scope) if scope else (tests.withColumn("__scope", F.lit(0)), ["__scope"])
     present = F.col(p).isNotNull()
+    if tests.count() > few:
+        known = row_rank(scoped.filter(present), ks, [(p, False), *[(k, False) for k in keys]], "__down", "__m")
+        # The largest p has rank m, so q = p * m / (m - place + 1).
+        known = known.withColumn("__q", F.col(p) * F.col("__m") / (F.col("__m") - F.col("__down") + 1))
+        least = running_minimum(known, ks, [("__down", True)], "__q", "__least")
+        done = least.select(*tests.columns, F.least("__least", F.lit(1.0)).alias(out))
+        return done.unionByName(tests.filter(~present).withColumn(out, F.lit(None).cast("double")))
     by_p = W.partitionBy(*ks, present).orderBy(F.col(p), *[F.col(k) for k in keys])
     m = F.count(p).over(W.partitionBy(*ks, present))
     raw = scoped.withColumn("__q", F.col(p) * m / F.row_number().over(by_p))

@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, RandomForestClassifier,
@@ -23,6 +23,7 @@ from lumbre.operators.joins import paired_deltas
 from lumbre.operators.metrics import confusion, score_metrics, with_confusion_metrics
 from lumbre.operators.association import melt
 from lumbre.operators.neighbours import smote
+from lumbre.operators.parallel import side_by_side
 from lumbre.operators.preparation_models import Preparation, anova_f, apply_pca, fit_pca, fit_preparation, nullable_columns, select_k_best
 from lumbre.operators.pu import adjust_scores, label_frequency, oversample, pu_bags, training_subset
 from lumbre.operators.splits import stratified_folds
@@ -126,21 +127,24 @@ def fit_score_formulation(train: DataFrame, test: DataFrame, features: list[str]
     if formulation != "pu_bagging":
         return fit_score(training_subset(train, target, none_label, formulation), test, features, target, ids, candidate, seed, nullable=nullable)
     bagged = durable(pu_bags(train, [], ids, target, bags, 1.0, seed))
-    parts = [
-        fit_score(bagged.filter(F.col("bag") == b), test, features, target, ids, candidate, seed + b, nullable=nullable).withColumn("bag", F.lit(b)) for b in range(1, bags + 1)
-    ]
+
+    def one_bag(b: int) -> DataFrame:
+        return fit_score(bagged.filter(F.col("bag") == b), test, features, target, ids, candidate, seed + b, nullable=nullable).withColumn("bag", F.lit(b))
+
+    parts = side_by_side(partial(one_bag, b) for b in range(1, bags + 1))
     return reduce(DataFrame.unionByName, parts).groupBy(*ids).agg(F.avg("score").alias("score"))
 
 
 def cross_validated_scores(df: DataFrame, folds: list[int], features: list[str], target: str, ids: list[str], candidate: Candidate, seed: int = 0, fold: str = "fold", none_label: str = "none", formulation: str = "pu_naive", bags: int = 15) -> DataFrame:
     """Out-of-fold table of one candidate: each fold is scored by a model fitted on the other folds."""
     nullable = nullable_columns(df, features)
-    parts = []
-    for f in folds:
+
+    def one_fold(f: int) -> DataFrame:
         train, test = df.filter((F.col(fold) != f) & F.col(fold).isin(*folds)), df.filter(F.col(fold) == f)
         scored = fit_score_formulation(train, test, features, target, none_label, ids, candidate, formulation, seed + f, bags, nullable)
-        parts.append(scored.withColumn(fold, F.lit(f)))
-    scores = reduce(DataFrame.unionByName, parts)
+        return scored.withColumn(fold, F.lit(f))
+
+    scores = reduce(DataFrame.unionByName, side_by_side(partial(one_fold, f) for f in folds))
     return df.select(*ids, F.col(target).alias("y_true")).join(scores, ids).select(F.col(fold), *ids, F.lit(target).alias("label"), "y_true", "score")
 
 
@@ -150,15 +154,16 @@ def multi_label_scores(df: DataFrame, folds: list[int], features: list[str], tar
     In a chain, train rows use the true earlier labels and test rows the predicted ones.
     """
     nullable = nullable_columns(df, features)
-    parts = []
-    for f in folds:
+
+    def one_fold(f: int) -> list[DataFrame]:
+        parts = []
         train, test = df.filter(F.col("fold") != f), df.filter(F.col("fold") == f)
         if strategy == "independent":
             prepared = fit_preparation(train, features, nullable)
             for t in targets:
                 scored = fit_score(train, test, features, t, ids, candidate, seed + f, prepared=prepared)
                 parts.append(test.select(*ids, F.col(t).alias("y_true")).join(scored, ids).select(F.lit(f).alias("fold"), *ids, F.lit(t).alias("label"), "y_true", "score"))
-            continue
+            return parts
         earlier: list[str] = []
         for t in targets:
             inputs = [*features, *[f"__chain_{e}" for e in earlier]]
@@ -167,17 +172,20 @@ def multi_label_scores(df: DataFrame, folds: list[int], features: list[str], tar
             parts.append(df.select(*ids, F.col(t).alias("y_true")).join(scored, ids).select(F.lit(f).alias("fold"), *ids, F.lit(t).alias("label"), "y_true", "score"))
             test = test.join(scored.select(*ids, (F.col("score") >= 0.5).cast("double").alias(f"__chain_{t}")), ids)
             earlier.append(t)
-    return reduce(DataFrame.unionByName, parts)
+        return parts
+
+    return reduce(DataFrame.unionByName, [p for parts in side_by_side(partial(one_fold, f) for f in folds) for p in parts])
 
 
 def nested_selection(df: DataFrame, folds: list[int], features: list[str], target: str, ids: list[str], candidates: list[Candidate], formulation: str = "pu_naive", seed: int = 0, bags: int = 15) -> DataFrame:
     """Inner results of every (outer fold, candidate), ranked by AP, G-mean, MCC, then candidate order."""
-    tables = []
-    for outer in folds:
+
+    def one_cell(outer: int, i: int) -> DataFrame:
         inner = [f for f in folds if f != outer]
-        for i, candidate in enumerate(candidates):
-            oof = cross_validated_scores(df, inner, features, target, ids, candidate, seed + 100 * outer, formulation=formulation, bags=bags)
-            tables.append(oof.select(F.lit(outer).alias("outer_fold"), F.lit(i).alias("candidate"), *ids, "label", "y_true", "score"))
+        oof = cross_validated_scores(df, inner, features, target, ids, candidates[i], seed + 100 * outer, formulation=formulation, bags=bags)
+        return oof.select(F.lit(outer).alias("outer_fold"), F.lit(i).alias("candidate"), *ids, "label", "y_true", "score")
+
+    tables = side_by_side(partial(one_cell, outer, i) for outer in folds for i in range(len(candidates)))
     inner_oof = durable(reduce(DataFrame.unionByName, tables))
     keys = ["outer_fold", "candidate"]
     c = label_frequency(inner_oof, keys).select(*keys, "c")
@@ -197,19 +205,18 @@ def nested_cross_validation(df: DataFrame, folds: list[int], features: list[str]
     """Outer out-of-fold table: per outer fold the best inner candidate is refitted and its threshold applied."""
     best = nested_selection(df, folds, features, target, ids, candidates, formulation, seed, bags).filter("rank = 1").collect()
     nullable = nullable_columns(df, features)
-    parts = []
-    for row in best:
+
+    def one_fold(row) -> DataFrame:
         outer, chosen = row["outer_fold"], candidates[row["candidate"]]
         train, test = df.filter(F.col("fold") != outer), df.filter(F.col("fold") == outer)
         raw = fit_score_formulation(train, test, features, target, "none", ids, chosen, formulation, seed + outer, bags, nullable)
         score = adjust_scores(F.col("score"), F.lit(row["c"])) if formulation == "pu_elkan_noto" else F.col("score")
-        parts.append(
-            test.select(*ids, F.col(target).alias("y_true")).join(raw, ids).select(
-                F.lit(outer).alias("fold"), *ids, F.lit(target).alias("label"), "y_true", score.alias("score"), F.lit(row["threshold"]).alias("threshold"),
-                F.lit(row["candidate"]).alias("candidate"), F.lit(chosen.family).alias("family"), F.lit(chosen.params_json()).alias("params_json"),
-            )
+        return test.select(*ids, F.col(target).alias("y_true")).join(raw, ids).select(
+            F.lit(outer).alias("fold"), *ids, F.lit(target).alias("label"), "y_true", score.alias("score"), F.lit(row["threshold"]).alias("threshold"),
+            F.lit(row["candidate"]).alias("candidate"), F.lit(chosen.family).alias("family"), F.lit(chosen.params_json()).alias("params_json"),
         )
-    return reduce(DataFrame.unionByName, parts).withColumn("pred", reaches(F.col("score"), F.col("threshold")).cast("int"))
+
+    return reduce(DataFrame.unionByName, side_by_side(partial(one_fold, row) for row in best)).withColumn("pred", reaches(F.col("score"), F.col("threshold")).cast("int"))
 
 
 def specialised_and_general(df: DataFrame, folds: list[int], features: list[str], target: str, ids: list[str], member: str, candidate: Candidate, seed: int = 0, thresholds: bool = False) -> DataFrame:
@@ -218,18 +225,19 @@ def specialised_and_general(df: DataFrame, folds: list[int], features: list[str]
     With ``thresholds`` each arm's threshold comes from inner folds of its own train rows, and ``pred`` from it.
     """
     nullable = nullable_columns(df, features)
-    parts = []
-    for f in folds:
+
+    def one_cell(f: int, arm: str) -> DataFrame:
         train, test = df.filter(F.col("fold") != f), df.filter((F.col("fold") == f) & (F.col(member) == 1))
-        for arm, rows in (("general", train), ("specialised", train.filter(F.col(member) == 1))):
-            scored = fit_score(rows, test, features, target, ids, candidate, seed + f, nullable=nullable)
-            out = test.select(*ids, F.col(target).alias("y_true")).join(scored, ids).select(
-                F.lit(arm).alias("arm"), F.lit(f).alias("fold"), *ids, F.lit(target).alias("label"), "y_true", "score")
-            if thresholds:
-                chosen, _ = inner_threshold(rows, features, target, ids, candidate, seed + f)
-                out = out.withColumns({"threshold": F.lit(chosen), "pred": reaches(F.col("score"), F.lit(chosen)).cast("int")})
-            parts.append(out)
-    return reduce(DataFrame.unionByName, parts)
+        rows = train if arm == "general" else train.filter(F.col(member) == 1)
+        scored = fit_score(rows, test, features, target, ids, candidate, seed + f, nullable=nullable)
+        out = test.select(*ids, F.col(target).alias("y_true")).join(scored, ids).select(
+            F.lit(arm).alias("arm"), F.lit(f).alias("fold"), *ids, F.lit(target).alias("label"), "y_true", "score")
+        if thresholds:
+            chosen, _ = inner_threshold(rows, features, target, ids, candidate, seed + f)
+            out = out.withColumns({"threshold": F.lit(chosen), "pred": reaches(F.col("score"), F.lit(chosen)).cast("int")})
+        return out
+
+    return reduce(DataFrame.unionByName, side_by_side(partial(one_cell, f, arm) for f in folds for arm in ("general", "specialised")))
 
 
 def arm_deltas(oof: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:

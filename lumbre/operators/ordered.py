@@ -3,10 +3,16 @@
 A plain window over ``partitionBy(key)`` sends every row of a key to one task. Here a group is
 cut into buckets that follow the wanted order, the window runs per ``(key, bucket)``, and the
 totals of the earlier buckets are added from a table with one row per ``(key, bucket)``.
+
+Ranks and neighbours under a composite order go over a range sort of (key, order) instead: a key of any size lies in
+neighbouring partitions, a row's place in its partition is known, and what goes from one partition to the next is one small row for each
+partition and key.  Columns of the order may have any type that sorts.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -116,48 +122,108 @@ def hash_rank(df: DataFrame, keys: list[str], ids: list[str], seed, out: str = "
     return ranked.select(*kept)
 
 
-def row_rank(df: DataFrame, keys: list[str], order: list[tuple[str, bool]], out: str = "rank", buckets: int = 64) -> DataFrame:
-    """Exact row number under a composite order ``[(column, ascending), ...]`` whose first column is numeric.
+#: ``monotonically_increasing_id`` holds the partition above this many bits.
+_ROW_BITS = 33
+
+
+def range_sorted(df: DataFrame, keys: list[str], order: list[tuple[str, bool]]) -> DataFrame:
+    """``df`` sorted by ranges of keys and order and written once, with ``__at`` (a number that follows the sort) and ``__part``.
 
-    Buckets follow the first column. A value that fills whole buckets on its own is split again by
-    the second column when that is numeric.
+    Rows that are equal in all these columns are spread by a row number, so no value can fill a partition.  Nulls of the order come last.
     """
-    lead, lead_up = order[0]
-    cuts = quantile_bounds(df, lead, buckets)
-    hot = sorted({c for c in cuts if cuts.count(c) > 1})
-    value = F.col(lead).cast("double")
-    # Odd numbers are single hot values, even numbers the ranges between cut points.
-    first = F.lit(2) * _bucket_of(value, cuts) + F.when(value.isin(*hot) if hot else F.lit(False), 1).otherwise(0)
-    # Nulls come last either way: after the highest bucket, or before the lowest, whose order is turned round below.
-    first = F.when(value.isNull(), F.lit(2 * len(cuts) + 2 if lead_up else -1)).otherwise(first)
-    second = F.lit(0)
-    numeric = dict(df.dtypes)
-    if hot and len(order) > 1 and numeric[order[1][0]] in ("int", "bigint", "double", "float", "smallint"):
-        sub, sub_up = order[1]
-        sub_cuts = quantile_bounds(df.filter(value.isin(*hot)), sub, buckets)
-        inner = _bucket_of(F.col(sub).cast("double"), sub_cuts)
-        second = F.when(value.isin(*hot), inner if sub_up else -inner).otherwise(0)
-    data, ks = _keyed(df, keys)
-    data = data.withColumn("__bucket", F.struct((first if lead_up else -first).alias("a"), second.alias("b")))
-    data = data.withColumn("__one", F.lit(1).cast("bigint"))
-    sort = [F.col(c).asc_nulls_last() if up else F.col(c).desc_nulls_last() for c, up in order]
-    ranked = _add_bucket_offsets(data, ks, "__bucket", sort, {"rank": F.col("__one")})
-    return ranked.select(*[F.col(c) for c in df.columns], F.col("cum_rank").alias(out))
-
-
-def previous_value(df: DataFrame, keys: list[str], order: str, out: str = "previous", buckets: int = 64) -> DataFrame:
-    """Add the next smaller value of ``order`` within the key (null for the first); values must be distinct per key."""
-    cuts = quantile_bounds(df, order, buckets)
-    data = df.withColumn("__bucket", _bucket_of(F.col(order).cast("double"), cuts))
-    local = F.lag(order).over(W.partitionBy(*keys, "__bucket").orderBy(order))
-    tops = data.groupBy(*keys, "__bucket").agg(F.max(order).alias("__top"))
-    # One row per key and bucket: the largest value of the bucket before.
-    edges = tops.select(*keys, "__bucket", F.lag("__top").over(W.partitionBy(*keys).orderBy("__bucket")).alias("__edge"))
-    return (
-        data.withColumn("__local", local)
-        .join(edges, [*keys, "__bucket"])
-        .select(*df.columns, F.coalesce("__local", "__edge").alias(out))
-    )
+    sort = [F.col(k).asc_nulls_first() for k in keys] + [F.col(c).asc_nulls_last() if up else F.col(c).desc_nulls_last() for c, up in order]
+    spread = df.withColumn("__row", F.monotonically_increasing_id())
+    placed = spread.repartitionByRange(*sort, F.col("__row")).sortWithinPartitions(*sort, F.col("__row")).drop("__row")
+    return durable(placed.withColumn("__at", F.monotonically_increasing_id())).withColumn("__part", F.shiftright("__at", _ROW_BITS))
+
+
+def _group(keys: list[str]) -> Column:
+    """Keys as one struct: structs with null fields compare as equal in joins."""
+    return F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]) if keys else F.struct(F.lit(0).alias("k0"))
+
+
+def row_rank(df: DataFrame, keys: list[str], order: list[tuple[str, bool]], out: str = "rank", size: str | None = None) -> DataFrame:
+    """Exact row number within the key under a composite order ``[(column, ascending), ...]``; ``size`` adds the number of rows of the key."""
+    placed = range_sorted(df, keys, order).withColumn("__g", _group(keys))
+    cuts = placed.groupBy("__g", "__part").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    # One row for each partition and key.
+    whole = W.partitionBy("__g")
+    before = F.sum("__n").over(whole.orderBy("__part")) - F.col("__n")
+    shifts = cuts.select("__g", "__part", (before - F.col("__first") + 1).alias("__shift"), F.sum("__n").over(whole).alias("__size"))
+    ranked = placed.join(broadcast_if_small(shifts), ["__g", "__part"])
+    more = [F.col("__size").alias(size)] if size else []
+    return ranked.select(*[F.col(c) for c in df.columns], (F.col("__at") + F.col("__shift")).cast("bigint").alias(out), *more)
+
+
+def previous_value(df: DataFrame, keys: list[str], order: str, out: str = "previous") -> DataFrame:
+    """Add the next smaller value of ``order`` within the key (null for the first); values must be distinct per key.
+
+    Neighbours inside a partition are one step in its order; the last row of each partition is what the next one starts from.
+    """
+    placed = range_sorted(df, keys, [(order, True)]).withColumn("__g", _group(keys))
+    # A partition of the range sort is a bounded group.
+    local = W.partitionBy("__part").orderBy("__at")
+    rows = placed.withColumns({"__near": F.lag(F.struct("__g", F.col(order).alias("v"))).over(local), "__start": F.row_number().over(local) == 1})
+    ends = placed.groupBy("__part").agg(F.max_by(F.struct("__g", F.col(order).alias("v")), "__at").alias("__end"))
+    # One row for each partition.
+    edges = ends.select("__part", F.lag("__end").over(W.partitionBy(F.lit(0)).orderBy("__part")).alias("__edge"))
+    joined = rows.join(broadcast_if_small(edges), "__part")
+    near = F.when(F.col("__start"), F.col("__edge")).otherwise(F.col("__near"))
+    return joined.select(*[F.col(c) for c in df.columns], F.when(near["__g"] == F.col("__g"), near["v"]).alias(out))
+
+
+def running_minimum(df: DataFrame, keys: list[str], order: list[tuple[str, bool]], value: str, out: str) -> DataFrame:
+    """Smallest ``value`` so far under the order within the key, the row included; a partition passes on one row for each key."""
+    placed = range_sorted(df, keys, order).withColumn("__g", _group(keys))
+    local = W.partitionBy("__g", "__part").orderBy("__at").rowsBetween(W.unboundedPreceding, 0)
+    rows = placed.withColumn("__run", F.min(value).over(local))
+    least = placed.groupBy("__g", "__part").agg(F.min(value).alias("__least"))
+    earlier = F.min("__least").over(W.partitionBy("__g").orderBy("__part").rowsBetween(W.unboundedPreceding, -1))
+    joined = rows.join(broadcast_if_small(least.select("__g", "__part", earlier.alias("__before"))), ["__g", "__part"])
+    return joined.select(*[F.col(c) for c in df.columns], F.least("__run", "__before").alias(out))
+
+
+#: Rows of one key inside the brackets of its quantiles that are put in order by one task, and cells by which a bracket is narrowed.
+BRACKET_ROWS, BRACKET_CELLS = 1_000_000, 1_000
+
+
+def _narrowed(data: DataFrame, ks: list[str], bracket: DataFrame, probs: list[float], limit: int) -> DataFrame:
+    """``bracket`` with every bracket narrowed until it holds at most ``limit`` rows, or one value only.
+
+    In a round the rows inside a bracket are counted by cells of equal width, with the smallest and largest value of each; the new bracket spans the cells
+    that hold the wanted ranks.  Only counts are shuffled.  Keys with few rows stay as they are.
+    """
+    index = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(p).alias("p")) for i, p in enumerate(probs)])).alias("e")
+    names = [f"__b_{k}" for k in ks]
+    place = (F.col("__n") - 1) * F.col("p")
+    each = bracket.filter(F.col("__n") > limit).select(*names, "__n", "__lo", "__hi", index)
+    each = each.select(*names, "__n", F.col("e.i").alias("i"), F.col("e.p").alias("p"), F.get("__lo", F.col("e.i")).alias("lo"), F.get("__hi", F.col("e.i")).alias("hi"))
+    open_ones = durable(each.withColumns({"first": F.floor(place), "last": F.ceil(place)}).drop("p"))
+    done = []
+    while not open_ones.isEmpty():
+        match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__b_{k}")) for k in ks])
+        met = data.join(broadcast_if_small(open_ones), match)
+        inside = (F.col("__v") >= F.col("lo")) & (F.col("__v") <= F.col("hi"))
+        span = F.col("hi") - F.col("lo")
+        finite = (F.abs("lo") < float("inf")) & (F.abs("hi") < float("inf")) & (span < float("inf")) & (span > 0)
+        width = F.when(finite, (F.col("__v") - F.col("lo")) / F.nullif(span, F.lit(0.0)) * BRACKET_CELLS).otherwise(F.signum("__v") * F.log1p(F.abs("__v")) * 10)
+        cell = F.when(F.col("__v") < F.col("lo"), F.lit(None).cast("bigint")).otherwise(F.floor(width))
+        keys = [*names, "__n", "i", "lo", "hi", "first", "last"]
+        counts = met.filter(F.col("__v") <= F.col("hi")).groupBy(*keys, cell.alias("cell")).agg(F.count(F.lit(1)).alias("c"), F.min("__v").alias("low"), F.max("__v").alias("high"))
+        upto = F.sum("c").over(W.partitionBy(*names, "i").orderBy(F.col("low")))
+        ranked = counts.withColumn("upto", upto).filter("cell IS NOT NULL")
+        hit = ranked.filter((F.col("upto") > F.col("first")) & (F.col("upto") - F.col("c") <= F.col("last")))
+        spans = hit.groupBy(*keys).agg(F.min("low").alias("new_lo"), F.max("high").alias("new_hi"), F.sum("c").alias("rows"))
+        spans = durable(spans)
+        stuck = (F.col("new_lo") == F.col("lo")) & (F.col("new_hi") == F.col("hi"))
+        ready = (F.col("rows") <= limit) | (F.col("new_lo") == F.col("new_hi")) | stuck
+        done.append(spans.filter(ready).select(*names, "i", F.col("new_lo").alias("lo"), F.col("new_hi").alias("hi")))
+        open_ones = spans.filter(~ready).select(*names, "__n", "i", F.col("new_lo").alias("lo"), F.col("new_hi").alias("hi"), "first", "last")
+    if not done:
+        return bracket
+    lists = reduce(DataFrame.unionByName, done).groupBy(*[F.col(n).alias(f"{n}_") for n in names]).agg(F.array_sort(F.collect_list(F.struct("i", "lo", "hi"))).alias("of"))
+    joined = bracket.join(lists, reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"{n}_")) for n in names]), "left")
+    return durable(joined.select(*names, "__n", F.coalesce("of.lo", "__lo").alias("__lo"), F.coalesce("of.hi", "__hi").alias("__hi")))
 
 
 def exact_quantiles(
@@ -167,11 +233,13 @@ def exact_quantiles(
     probs: list[float],
     out: str = "quantiles",
     accuracy: int = 20_000,
+    limit: int = BRACKET_ROWS,
 ) -> DataFrame:
     """Exact linear-interpolation quantiles per key as an array, without sorting whole groups.
 
     A sketch brackets each quantile. Values inside a bracket stay as they are, all others collapse
     to one count per zone on the map side, so only a sliver of the rows is shuffled and ordered.
+    Where the sliver of a key may still have more than ``limit`` rows, its brackets are narrowed in rounds first.
     """
     probs = sorted(probs)
     data, ks = _keyed(df.select(*keys, F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull() & ~F.isnan("__v")), keys)
@@ -191,7 +259,11 @@ def exact_quantiles(
         F.when(small, F.array(*[F.lit(inf) for _ in probs])).otherwise(F.col("__hi")).alias("__hi"),
     )
     # One row per key, written once: its size decides whether the rows have to move to it.
-    bracket = broadcast_if_small(durable(bracket))
+    bracket = durable(bracket)
+    largest = bracket.agg(F.max("__n").alias("n")).first()["n"] or 0
+    if largest > 2 * accuracy and largest * 2 * margin * len(probs) > limit:
+        bracket = _narrowed(data, ks, bracket, probs, limit)
+    bracket = broadcast_if_small(bracket)
     match = None
     for k in ks:
         here = F.col(k).eqNullSafe(F.col(f"__b_{k}"))

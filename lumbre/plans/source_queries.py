@@ -116,7 +116,7 @@ def metadata_with_error_table(spark, sf_dir):
 
 @query("input_content_hashes")
 def input_content_hashes(spark, sf_dir):
-    return R.content_hashes(spark, sf_dir, "*.parquet").select("name", "length", "sha256")
+    return R.content_hashes(spark, sf_dir, "*.parquet").select("name", "length", "n_parts", "sha256")
 
 
 @query("file_discovery")

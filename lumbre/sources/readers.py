@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import sha256
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,10 +74,56 @@ def assert_fresh(spark: SparkSession, path: str, launched_at: str, pattern: str
     assert_empty(stale_files(spark, path, launched_at, pattern).select("name", "modificationTime"), "files older than the launch")
 
 
-def content_hashes(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """SHA-256 of every input file."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.sha2("content", 256).alias("sha256"))
+#: Bytes of a file that one task hashes.
+PART_BYTES = 64 * 2**20
+
+
+def content_parts(spark: SparkSession, path: str, pattern: str = "*", part_bytes: int = PART_BYTES) -> DataFrame:
+    """(path, file_length, begin, length, sha256): digests of byte ranges of every file, each read by one task as a stream.
+
+    A range has the lines that begin in its ``part_bytes``; they are read as bytes, so any file can be hashed, and no cell holds more than a line.  The cuts
+    depend on the contents and on ``part_bytes`` only.  An empty file has no part, and the scan does not list it.
+    """
+    # A session of its own: ranges must not depend on the settings, files or cores of the caller's.
+    own = spark.newSession()
+    for name, value in (("maxPartitionBytes", part_bytes), ("openCostInBytes", part_bytes), ("minPartitionNum", 1)):
+        own.conf.set(f"spark.sql.files.{name}", str(value))
+    lines = own.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("lineSep", "\n").text(path)
+    placed = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("file_length"), F.col("_metadata.file_block_start").alias("begin"), F.col("value").cast("binary").alias("line"))
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[tuple] = []
+        key, state, length = None, None, 0
+        for batch in batches:
+            for path_, size, begin, line in zip(*(batch.column(c).to_pylist() for c in ("path", "file_length", "begin", "line"))):
+                if (path_, begin) != key:
+                    if key is not None:
+                        done.append((key[0], file_length, key[1], length, state.hexdigest()))
+                    key, file_length, state, length = (path_, begin), size, sha256(), 0
+                state.update(line)
+                state.update(b"\n")
+                length += len(line) + 1
+        if key is not None:
+            done.append((key[0], file_length, key[1], length, state.hexdigest()))
+        types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate(types)], ["path", "file_length", "begin", "length", "sha256"])
+
+    return placed.mapInArrow(digests, "path string, file_length long, begin long, length long, sha256 string")
+
+
+def content_hashes(spark: SparkSession, path: str, pattern: str = "*", part_bytes: int = PART_BYTES) -> DataFrame:
+    """(name, length, n_parts, sha256) of every input file: the SHA-256 of its length and the digests of its parts in order, so files of any size have one.
+
+    Equal contents have equal hashes, also under other settings of the session.  It is not the SHA-256 of the whole file.
+    """
+    parts = content_parts(spark, path, pattern, part_bytes)
+    listed = parts.groupBy("path", "file_length").agg(F.count(F.lit(1)).alias("n_parts"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("begin", "sha256"))), lambda x: x["sha256"]), "").alias("all"))
+    # File listings of two sessions meet by path; every file is one row.
+    hashed = listed.select(F.col("path").alias("file"), "n_parts", F.sha2(F.concat_ws(":", F.col("file_length").cast("string"), "all"), 256).alias("sha256"))
+    files = list_files(hashed.sparkSession, path, pattern)
+    plain = F.regexp_replace(F.col("path"), "^file:/+", "/")
+    joined = files.join(hashed, plain == F.regexp_replace(F.col("file"), "^file:/+", "/"))
+    return joined.select("name", "length", "n_parts", "sha256")
 
 
 def readability(spark: SparkSession, path: str, id_column: str, min_bytes: int = 10, pattern: str = "*.csv") -> DataFrame:

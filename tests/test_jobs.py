@@ -247,3 +247,85 @@ def test_permutation_p_can_fall_below_five_percent(spark):
     ps = [r.p_adjusted for r in QUERIES["subgroup_permutation_p"](spark, "/root/testdata/sf0.001").select("p_adjusted").collect()]
     assert all(abs(p * 1001 - round(p * 1001)) < 1e-5 for p in ps)
     assert 0 < min(ps) < 0.05
+
+
+# -- jobs side by side ------------------------------------------------------------------------------------------------
+
+
+def test_jobs_side_by_side_keep_order_properties_and_errors(spark):
+    import threading
+    import time
+
+    from lumbre.operators.parallel import side_by_side
+
+    context, seen = spark.sparkContext, []
+    context.setLocalProperty("lumbre.test", "here")
+
+    def call(k):
+        time.sleep(0.2 if k == 0 else 0)
+        seen.append((threading.current_thread().name, context.getLocalProperty("lumbre.test")))
+        # A nested loop runs in its caller's thread.
+        inner = side_by_side([lambda: threading.current_thread().name] * 2)
+        assert set(inner) == {threading.current_thread().name}
+        return spark.range(k + 1).count()
+
+    assert side_by_side([lambda k=k: call(k) for k in range(6)], 3) == [1, 2, 3, 4, 5, 6]
+    assert {p for _, p in seen} == {"here"} and len({n for n, _ in seen}) > 1
+    begun = []
+
+    def fails(k):
+        begun.append(k)
+        if k == 1:
+            raise ValueError("one")
+        time.sleep(0.1)
+
+    with pytest.raises(ValueError):
+        side_by_side([lambda k=k: fails(k) for k in range(50)], 2)
+    assert len(begun) < 10
+    context.setLocalProperty("lumbre.test", None)
+
+
+@pytest.mark.parametrize("family", ["random_forest", "gradient_boosting", "mlp", "gaussian_nb"])
+def test_every_family_is_fitted(rows, family):
+    params = {"random_forest": (("numTrees", 5),), "gradient_boosting": (("maxIter", 5),), "mlp": (("hidden", [4]), ("maxIter", 60))}.get(family, ())
+    oof = L.cross_validated_scores(rows, [1, 2, 3], ["u", "v"], "y", ["id"], L.Candidate(family, params))
+    assert oof.count() == 600 and M.score_metrics(oof, ["label"]).first()["roc_auc"] > 0.9
+
+
+# -- contents ---------------------------------------------------------------------------------------------------------
+
+
+def test_content_parts_are_digests_of_byte_ranges(spark, tmp_path):
+    import hashlib
+    import random
+
+    data = b"".join(random.Random(k).randbytes(k % 700) + (b"\n" if k % 3 else b"\r\n") for k in range(400)) + b"\xff\xfe no break at the end"
+    (tmp_path / "a.bin").write_bytes(data)
+    (tmp_path / "b.bin").write_bytes(data)
+    (tmp_path / "c.bin").write_bytes(data + b"\n")
+    (tmp_path / "d.bin").write_bytes(data[:5000] + b"x" + data[5001:])
+    (tmp_path / "empty.bin").write_bytes(b"")
+    size = 4096
+    parts = [(r.begin, r.length, r.sha256) for r in readers.content_parts(spark, str(tmp_path), "a.bin", size).orderBy("begin").collect()]
+    # Lines belong to the range in which they begin.
+    want, at = {}, 0
+    for line in data.split(b"\n"):
+        begin = (at - 1) // size * size if at else 0
+        want.setdefault(begin, b"")
+        want[begin] += line + b"\n"
+        at += len(line) + 1
+    assert parts == [(b, len(x), hashlib.sha256(x).hexdigest()) for b, x in sorted(want.items())] and len(parts) > 10
+    got = {r.name: (r.length, r.n_parts, r.sha256) for r in readers.content_hashes(spark, str(tmp_path), "*", size).collect()}
+    assert got["a.bin"] == got["b.bin"] and len({v[2] for v in got.values()}) == 3 and "empty.bin" not in got
+    assert got["a.bin"][2] == hashlib.sha256(f"{len(data)}:{''.join(p[2] for p in parts)}".encode()).hexdigest()
+
+
+def test_content_hashes_do_not_follow_the_settings(spark, tmp_path):
+    (tmp_path / "x.txt").write_text("".join(f"line {k}\n" for k in range(9000)))
+    first = readers.content_hashes(spark, str(tmp_path), "*", 8192).first()
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+        assert readers.content_hashes(spark, str(tmp_path), "*", 8192).first() == first and first.n_parts > 5
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ from lumbre.operators import results as R
 from lumbre.operators import splits as S
 from lumbre.operators import subgroups as G
 from lumbre.operators import thresholds as T
-from lumbre.session import ContractError
+from lumbre.session import ContractError, durable
 
 
 def oof(spark, y, s, pred=None):
@@ -101,7 +102,7 @@ def test_row_rank_with_a_hot_leading_value(spark):
 
 def test_previous_value_crosses_buckets(spark):
     df = spark.range(500).select(F.lit("k").alias("k"), (F.col("id") * F.col("id")).cast("double").alias("p"))
-    gaps = {r["p"]: r["previous"] for r in O.previous_value(df, ["k"], "p", buckets=16).collect()}
+    gaps = {r["p"]: r["previous"] for r in O.previous_value(df.repartition(9), ["k"], "p").collect()}
     assert gaps[0.0] is None and all(gaps[float(i * i)] == float((i - 1) ** 2) for i in range(1, 500))
 
 
@@ -446,3 +447,73 @@ def test_one_positive_among_many_is_copied_in_pieces(spark):
     df = spark.range(10_000).select(F.col("id"), (F.col("id") == 77).cast("int").alias("y"))
     out = U.oversample(df, [], ["id"], "y", 3).filter("y = 1")
     assert out.count() == 9_999 and out.select("copy").distinct().count() == 9_999 and out.agg(F.max("copy")).first()[0] == 9_999
+
+
+# ---- orders by range partitions --------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("up", [True, False])
+def test_row_rank_of_a_hot_value_by_a_text_column(spark, up):
+    rows = [(k, "hot" if k % 5 else None, 1.0 if k % 3 else None, f"t{k * 7919 % 4000:04d}") for k in range(4000)]
+    df = spark.createDataFrame(rows, "id int, g string, v double, t string").repartition(11)
+    got = O.row_rank(df, ["g"], [("v", up), ("t", not up)], "place", "size").collect()
+    want = {}
+    for g in ("hot", None):
+        own = [r for r in rows if r[1] == g]
+        own.sort(key=lambda r: r[3], reverse=up)
+        own.sort(key=lambda r: r[2] is None)
+        want.update({r[0]: (n, len(own)) for n, r in enumerate(own, 1)})
+    assert {r.id: (r.place, r["size"]) for r in got} == want
+    # No partition of the sort has more than its share of the hot value.
+    sizes = [r["count"] for r in O.range_sorted(df, ["g"], [("v", up), ("t", True)]).groupBy("__part").count().collect()]
+    assert max(sizes) < 3 * len(rows) / len(sizes)
+
+
+def test_equal_rows_are_spread(spark):
+    df = spark.range(20_000).select(F.lit("k").alias("k"), F.lit(1.0).alias("v")).repartition(8)
+    assert sorted(r["rank"] for r in O.row_rank(df, ["k"], [("v", True)]).collect()) == list(range(1, 20_001))
+    # Without merging of small partitions.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in O.range_sorted(df, ["k"], [("v", True)]).groupBy("__part").count().collect()]
+        assert len(sizes) > 4 and max(sizes) < 6_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_previous_value_of_many_keys_and_nulls(spark):
+    rows = [(f"k{i % 7}" if i % 7 else None, float(i * i % 1009 + i * 2000)) for i in range(900)]
+    got = {(r.k, r.p): r.previous for r in O.previous_value(spark.createDataFrame(rows, "k string, p double").repartition(5), ["k"], "p").collect()}
+    want = {}
+    for k in {k for k, _ in rows}:
+        own = sorted(p for q, p in rows if q == k)
+        want.update({(k, p): b for p, b in zip(own, [None, *own])})
+    assert got == want
+
+
+@pytest.mark.parametrize("scope", [[], ["s"]])
+def test_adjustment_over_many_tests_equals_the_plain_form(spark, scope):
+    rows = [(i, "a" if i % 4 else None, None if i % 11 == 0 else (i * 37 % 500) / 500.0) for i in range(3000)]
+    df = spark.createDataFrame(rows, "feature int, s string, p double").repartition(7)
+    few = {r.feature: r.p_adjusted for r in A.benjamini_hochberg(df, "p", scope, ["feature"]).collect()}
+    many = {r.feature: r.p_adjusted for r in A.benjamini_hochberg(df, "p", scope, ["feature"], few=0).collect()}
+    assert few.keys() == many.keys() and all((a is None) == (many[k] is None) and (a is None or abs(a - many[k]) < 1e-12) for k, a in few.items())
+
+
+@pytest.mark.parametrize("shape", ["even", "skewed", "few values"])
+def test_quantile_brackets_narrow_in_rounds(spark, shape):
+    value = {"even": F.rand(3), "skewed": F.exp(40 * F.rand(3)) * F.when(F.rand(4) < 0.5, -1).otherwise(1), "few values": F.floor(F.rand(3) * 5)}[shape]
+    df = durable(spark.range(60_000).select(F.when(F.col("id") % 6 > 0, "hot").alias("k"), value.cast("double").alias("v")))
+    probs = [0.0, 0.01, 0.5, 0.501, 0.99, 1.0]
+    got = {r.k: r.quantiles for r in O.exact_quantiles(df, ["k"], "v", probs, accuracy=100, limit=50).collect()}
+    for k in ("hot", None):
+        own = np.array([r.v for r in df.filter(F.col("k").eqNullSafe(k)).collect()])
+        assert np.allclose(got[k], np.quantile(own, probs), rtol=1e-12)
+
+
+def test_narrowed_brackets_hold_few_rows(spark):
+    df = durable(spark.range(50_000).select(F.lit(0).alias("k"), F.exp(30 * F.rand(1)).alias("__v")))
+    whole = spark.createDataFrame([(0, 50_000, [float("-inf")] * 2, [float("inf")] * 2)], "__b_k int, __n long, __lo array<double>, __hi array<double>")
+    r = O._narrowed(df, ["k"], whole, [0.25, 0.9], 100).first()
+    for low, high in zip(r["__lo"], r["__hi"]):
+        assert df.filter(F.col("__v").between(low, high)).count() <= 100
