@@ -156,12 +156,16 @@ def damaged(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", r
     return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(copies).alias("copy")).drop("copy")
 
 
-def with_faults(rows: DataFrame) -> DataFrame:
-    """(key, conv_id, turn, role, text, place, pattern): rows at their places, with initial and first fault."""
+def placed_rows(rows: DataFrame) -> DataFrame:
+    """(key, turn, role, text, same, place): rows at their places in their conversation, written once; ``same`` is the text's digest."""
     key = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit(""))
-    told = rows.select(key.alias("key"), "conv_id", "turn", "role", "text", F.sha2("text", 256).alias("same"), F.monotonically_increasing_id().alias("row"))
+    told = rows.select(key.alias("key"), "turn", "role", "text", F.sha2("text", 256).alias("same"), F.monotonically_increasing_id().alias("row"))
     # The row number only spreads equal rows over partitions.
-    placed = shared_table(numbered(told, "key", [F.col("turn"), F.col("role"), F.col("same"), F.col("row")]).withColumnRenamed("_index", "place").drop("row", "_count"))
+    return numbered(told, "key", [F.col("turn"), F.col("role"), F.col("same"), F.col("row")]).withColumnRenamed("_index", "place").drop("row", "_count")
+
+
+def with_faults(placed: DataFrame) -> DataFrame:
+    """(key, turn, place, pattern): initial and first fault of each of ``placed_rows``, without the texts."""
     firsts = placed.groupBy("key", "role", "same").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     firsts = shared_table(firsts)
     side = broadcast_if_small(firsts)
@@ -174,7 +178,7 @@ def with_faults(rows: DataFrame) -> DataFrame:
     fault = F.when(bare == "", "b").when(F.col("place") > F.col("first"), "d").when(~F.substring(bare, -1, 1).isin(".", "!", "?"), "t").otherwise("-")
     first = F.substring("role", 1, 1)
     initial = F.when(first.isin("s", "u", "a"), first).otherwise("o")
-    return joined.select("key", "conv_id", "turn", "role", "text", "place", F.concat(initial, fault).alias("pattern"))
+    return shared_table(joined.select("key", "turn", "place", F.concat(initial, fault).alias("pattern")))
 
 
 def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,9 +277,9 @@ def repaired_digests(repaired: DataFrame) -> DataFrame:
     return pieces.repartition("key").sortWithinPartitions(*order).select("key", "piece").mapInArrow(_digest, "key string, repaired_sha256 string")
 
 
-def audit_conversations(turns: DataFrame, rows: DataFrame, edits: DataFrame) -> DataFrame:
-    """One row for each conversation of ``turns``: counts of faults, cost, audit and digest; ``rows`` and ``edits`` are its damaged rows and their repair."""
-    digests = repaired_digests(repaired_rows(rows, edits))
+def audit_conversations(turns: DataFrame, placed: DataFrame, rows: DataFrame, edits: DataFrame) -> DataFrame:
+    """One row for each conversation of ``turns``: counts of faults, cost, audit and digest, from its placed rows, their faults and their repair."""
+    digests = repaired_digests(repaired_rows(placed, edits))
     fault = F.substring("pattern", 2, 1)
     count = lambda letter: F.count_if(fault == letter)
     told = rows.groupBy("key").agg(
@@ -293,8 +297,9 @@ def audit_conversations(turns: DataFrame, rows: DataFrame, edits: DataFrame) ->
 
 def repair_damaged(turns: DataFrame) -> DataFrame:
     """Damage, repair and audit of ``turns`` (conv_id, turn, role, text)."""
-    rows = shared_table(with_faults(damaged(turns)))
-    return audit_conversations(turns, rows, choose_edits(rows))
+    placed = placed_rows(damaged(turns))
+    rows = with_faults(placed)
+    return audit_conversations(turns, placed, rows, choose_edits(rows))
 
 
 SQL = rf"""
