@@ -1,7 +1,8 @@
 """Main text of web pages as the contiguous region with the greatest score.
 
 A page is a sequence of tags and words.  Words score positive, tags negative, all inside menus and the like slightly negative; one linear
-scan finds the contiguous region with the greatest sum.  What lies in the region but in a menu, advert, form or comment is left out.
+scan finds the contiguous region with the greatest sum.  What lies in the region but in a menu, advert, form or comment is left out: elements that
+HTML or a whole class, id or role name calls so, unless hardly a word of content lies around them.  Such an element is the page itself.
 
 The weights come from labelled pages: pages that mark their content with exactly one ``article`` (or ``main``) element, of which a bounded sample by
 hash is read.  A tag costs the more the more often it stood outside the content; how much is the value that rebuilds the labelled
@@ -17,9 +18,11 @@ those the longest, is taken; repeated rows give repeated results; other columns
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,7 +37,9 @@ SCALES = (1.0, 2.0, 4.0, 8.0, 16.0)
 ASIDE_COST = 0.01
 SPACE = re.compile("[ \t\n\x0b\x0c\r]+")
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|title|select)\b.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>|<(?P<close>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attrs>[^>]*)>|(?P<text>[^<]+|<)",
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|title|select)\b.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>"
+    # A quoted value may hold ">"; a quote that never ends is a character like others.
+    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attrs>(?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)>|(?P<text>[^<]+|<)",
     re.DOTALL | re.IGNORECASE,
 )
 # Elements of HTML by what they do.
@@ -47,27 +52,51 @@ ASIDE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer form gdpr header masthead menu menubar modal nav navbar navigation newsletter notice notices"
     " notification notifications popup promo promoted related replies respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split()
 )
-ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
-NAME_PART = re.compile(r"[a-z]+")
+# What a box around such things is called, as the last part of a name like ``ad-slot``.
+BOX_NAMES = frozenset("area bar block body box col column container content frame group holder inner item items link links list outer panel row section slot unit wrap wrapper zone".split())
+# First parts of names that say the contrary, or something about the page.
+OTHER_NAMES = frozenset("has hide is no non not with without".split())
+#: An element with so few other words of content around it, as a share of its own, is the page and not an aside, whatever it is called.
+LEAST_AROUND = 0.05
+ATTRIBUTE = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+PARTS = re.compile(r"[-_]+")
+
+
+def _names_an_aside(name: str) -> bool:
+    """Whole names, names that end in one (``site-footer``), and boxes of one (``ad-slot``); not ``no-sidebar`` or ``comment-on-law``."""
+    if name in ASIDE_NAMES:
+        return True
+    parts = [p.rstrip("0123456789") for p in PARTS.split(name)]
+    parts = [p for p in parts if p]
+    if not parts or parts[0] in OTHER_NAMES:
+        return False
+    return parts[-1] in ASIDE_NAMES or (parts[0] in ASIDE_NAMES and all(p in BOX_NAMES or p in ASIDE_NAMES for p in parts[1:]))
 
 
 def _is_aside(tag: str, attrs: str) -> bool:
     if tag in ASIDE_TAGS:
         return True
-    if tag in ("html", "body", "article", "main") or not attrs:
+    if tag in ("html", "body", "article", "main") or "=" not in attrs:
         return False
-    return any(part in ASIDE_NAMES for found in ATTRIBUTE.findall(attrs) for part in NAME_PART.findall("".join(found).lower()))
+    return any(_names_an_aside(name) for found in ATTRIBUTE.findall(attrs) for name in "".join(found).lower().split())
 
 
 def tokens(page: str) -> list[tuple[str, str, bool, bool]]:
     """(tag or empty, text, inside an aside, inside the labelling element) in page order."""
     out: list[tuple[str, str, bool, bool]] = []
-    open_tags: list[tuple[str, bool]] = []
-    asides = labelled = 0
+    #: Name and, for asides, where each open element begins in ``out``; (begin, end) of the asides that are over.
+    open_tags: list[tuple[str, int]] = []
+    asides: list[tuple[int, int]] = []
+    labelled = 0
+
+    def close(aside: int) -> None:
+        if aside >= 0:
+            asides.append((aside, len(out)))
+
     for m in TOKEN.finditer(page):
         text = m["text"]
         if text is not None:
-            out.append(("", html.unescape(text), asides > 0, labelled > 0))
+            out.append(("", html.unescape(text), False, labelled > 0))
             continue
         if m["raw"]:
             out.append((m["raw"].lower(), "", True, labelled > 0))
@@ -77,29 +106,68 @@ def tokens(page: str) -> list[tuple[str, str, bool, bool]]:
         tag = m["tag"].lower()
         attrs = m["attrs"]
         if m["close"]:
-            was = asides > 0
+            ended = []
             if any(t == tag for t, _ in open_tags):
                 while open_tags:
                     name, aside = open_tags.pop()
-                    asides -= aside
+                    ended.append(aside)
                     labelled -= name in LABEL_TAGS
                     if name == tag:
                         break
-            out.append((tag, "", was, labelled > 0))
+            out.append((tag, "", False, labelled > 0))
+            for aside in ended:
+                close(aside)
             continue
         if tag == "body":  # a head that was never closed ends here
-            asides = labelled = 0
+            for _, aside in open_tags:
+                close(aside)
+            labelled = 0
             open_tags.clear()
-        aside = False
+        aside = -1
         if tag not in VOID_TAGS and not attrs.endswith("/"):
             if tag == "p" and open_tags and open_tags[-1][0] == "p":
-                asides -= open_tags.pop()[1]
-            aside = _is_aside(tag, attrs)
+                close(open_tags.pop()[1])
+            aside = len(out) if _is_aside(tag, attrs) else -1
             open_tags.append((tag, aside))
-            asides += aside
             labelled += tag in LABEL_TAGS
-        out.append((tag, "", asides > 0, labelled > 0 and tag not in LABEL_TAGS))
-    return out
+        out.append((tag, "", False, labelled > 0 and tag not in LABEL_TAGS))
+    for _, aside in open_tags:
+        close(aside)
+    return _marked(out, asides) if asides else out
+
+
+def _marked(out: list[tuple[str, str, bool, bool]], asides: list[tuple[int, int]]) -> list[tuple[str, str, bool, bool]]:
+    """Tokens with the marks of ``asides``, which lie in each other or apart.
+
+    Each word belongs to the innermost aside around it.  If the aside with the most words of its own leaves hardly a word free of asides, it holds the
+    page's content: neither it nor what lies around it is an aside.
+    """
+    spans = sorted(asides, key=lambda s: (s[0], -s[1]))
+    around, own, free = [-1] * len(spans), [0] * len(spans), 0
+    inside, following = [], 0
+    depth = []
+    for k, (tag, text, _, _) in enumerate(out):
+        while inside and spans[inside[-1]][1] <= k:
+            inside.pop()
+        while following < len(spans) and spans[following][0] <= k:
+            if spans[following][1] > k:
+                around[following] = inside[-1] if inside else -1
+                inside.append(following)
+            following += 1
+        depth.append(inside[-1] if inside else -1)
+        if not tag:
+            if inside:
+                own[inside[-1]] += len(text.split())
+            else:
+                free += len(text.split())
+    largest = max(range(len(spans)), key=own.__getitem__)
+    page = set()
+    if free < LEAST_AROUND * own[largest]:
+        while largest >= 0:
+            page.add(largest)
+            largest = around[largest]
+    # An aside inside the page is still one; what is left of the page is free.
+    return [(tag, text, aside or (d >= 0 and d not in page), label) for (tag, text, aside, label), d in zip(out, depth)]
 
 
 def best_region(page: list, costs: dict[str, float], other: float) -> tuple[int, int]:
@@ -186,7 +254,7 @@ def fit_costs(pages: DataFrame, html_col: str = "html", id_col: str = "page_id",
     """Cost of each tag, and of a tag that no labelled page has."""
     marked = pages.filter(F.lower(html_col).rlike("<(article|main)"))
     share = min(1.0, most / max(1, marked.count()))
-    sample = marked.filter(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < int(share * 1_000_000)).select(F.col(html_col).alias("page"))
+    sample = marked.filter(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < math.ceil(share * 1_000_000)).select(F.col(html_col).alias("page"))
     # The names of tags are few; a page with odd names adds a row each, of which the most frequent thousand are read.
     events = sample.mapInArrow(_labelled_events, "tag string, seen long, outside long").groupBy("tag").agg(F.sum("seen").alias("seen"), F.sum("outside").alias("outside")).orderBy(F.desc("seen"), "tag").limit(1000).collect()
     if not events:
