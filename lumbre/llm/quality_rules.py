@@ -20,9 +20,8 @@ from lumbre.llm.common import SPACE, WORD, text_of
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-#: A line is above the limit of its host if so many distinct documents hold it, and so many in a thousand of the host's.
+#: A line is above the limit if so many distinct documents of its host hold it, however large the host is.
 LINE_DOCS = 10
-LINE_DOCS_PER_MILLE = 5
 #: A document is depleted if less than so many percent of its characters are left.
 MIN_LEFT_PERCENT = 20
 
@@ -88,24 +87,22 @@ def document_lines(docs: DataFrame, id_col: str, text_col: str, host_col: str) -
     return each.select("_id", "_host", "_digest", F.xxhash64("_l").alias("_line"), F.length(F.replace("_l", F.lit(" "), F.lit(""))).cast("long").alias("_chars"))
 
 
-def frequent_lines(lines: DataFrame, min_docs: int = LINE_DOCS, per_mille: int = LINE_DOCS_PER_MILLE) -> DataFrame:
+def frequent_lines(lines: DataFrame, min_docs: int = LINE_DOCS) -> DataFrame:
     """(_host, _line, _first): lines above their host's limit and the smallest id that holds them.
 
     A hot line or host is summed on the map side and never gathered: first by text, then by line.
     """
     texts = lines.groupBy("_host", "_line", "_digest").agg(F.min("_id").alias("_first"))
-    counts = texts.groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_n"), F.min("_first").alias("_first")).filter(F.col("_n") >= min_docs)
-    hosts = texts.groupBy("_host", "_digest").agg(F.lit(1).alias("_one")).groupBy(F.col("_host").alias("_h")).agg(F.count(F.lit(1)).alias("_docs"))
-    near = counts.join(hosts, counts["_host"].eqNullSafe(hosts["_h"]))
-    return near.filter(F.col("_n") * 1000 >= F.col("_docs") * per_mille).select("_host", "_line", "_first")
+    counts = texts.groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_n"), F.min("_first").alias("_first"))
+    return counts.filter(F.col("_n") >= min_docs).select("_host", "_line", "_first")
 
 
 def line_frequency_verdicts(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "host", min_docs: int = LINE_DOCS, per_mille: int = LINE_DOCS_PER_MILLE, min_left_percent: int = MIN_LEFT_PERCENT
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "host", min_docs: int = LINE_DOCS, min_left_percent: int = MIN_LEFT_PERCENT
 ) -> DataFrame:
     """One row per document: doc_id, the base measures, ``removed_chars`` and ``kept``."""
     lines = document_lines(docs, id_col, text_col, host_col)
-    often = frequent_lines(lines, min_docs, per_mille).select(F.col("_host").alias("_h"), F.col("_line").alias("_l"), "_first")
+    often = frequent_lines(lines, min_docs).select(F.col("_host").alias("_h"), F.col("_line").alias("_l"), "_first")
     # Each occurrence counts, so a line that a document repeats is removed as often.
     cut = lines.join(often, lines["_host"].eqNullSafe(often["_h"]) & (lines["_line"] == often["_l"])).filter(~F.col("_id").eqNullSafe(F.col("_first")))
     # One row of a repeated document stands for all of them.
@@ -119,13 +116,13 @@ def line_frequency_verdicts(
     return both.select(F.col("_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", removed.alias("removed_chars"), kept.alias("kept"))
 
 
-def remove_frequent_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "host", min_docs: int = LINE_DOCS, per_mille: int = LINE_DOCS_PER_MILLE) -> DataFrame:
+def remove_frequent_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "host", min_docs: int = LINE_DOCS) -> DataFrame:
     """``docs`` with ``clean_text``: the text without lines above their host's limit, in order.
 
     A document's frequent lines come as an array of hashes, from one join per line and one group per document.
     """
     lines = document_lines(docs, id_col, text_col, host_col)
-    often = frequent_lines(lines, min_docs, per_mille).select(F.col("_host").alias("_h"), F.col("_line").alias("_l"), "_first")
+    often = frequent_lines(lines, min_docs).select(F.col("_host").alias("_h"), F.col("_line").alias("_l"), "_first")
     cut = lines.join(often, lines["_host"].eqNullSafe(often["_h"]) & (lines["_line"] == often["_l"])).filter(~F.col("_id").eqNullSafe(F.col("_first")))
     bad = cut.groupBy("_id", "_digest", "_host").agg(F.collect_set("_line").alias("_bad"))
     names = [F.col(f"`{c}`") for c in docs.columns]
@@ -144,9 +141,7 @@ r AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat FROM c, range(8) x(k) WHE
 l AS (SELECT doc_id, source, t, line FROM d, unnest(string_split(t, chr(10))) u(line) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM l GROUP BY doc_id),
 n AS (SELECT doc_id, source, t, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS line FROM l),
-hosts AS (SELECT source, count(DISTINCT t) AS docs FROM n GROUP BY source),
-often AS (SELECT n.source, line, min(doc_id) AS first FROM n JOIN hosts h ON n.source IS NOT DISTINCT FROM h.source
-          GROUP BY n.source, line, docs HAVING count(DISTINCT t) >= {LINE_DOCS} AND count(DISTINCT t) * 1000 >= docs * {LINE_DOCS_PER_MILLE}),
+often AS (SELECT source, line, min(doc_id) AS first FROM n GROUP BY source, line HAVING count(DISTINCT t) >= {LINE_DOCS}),
 lost AS (SELECT doc_id, sum(length(replace(n.line, ' ', ''))) AS chars FROM n
          JOIN often o ON n.source IS NOT DISTINCT FROM o.source AND n.line = o.line WHERE doc_id <> first GROUP BY doc_id),
 m AS (SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
