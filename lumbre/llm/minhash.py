@@ -171,10 +171,11 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     verdicts = near_duplicates(docs, id_col, text_col, words, threshold_percent)
     # A key may stand for rows that repeat: of those one stays, and all stay if the text has no words.
     lose = verdicts.groupBy(F.col("doc_id").alias("l_id"), F.col("digest").alias("l_digest")).agg(F.count_if("kept").alias("stay"), F.count(F.lit(1)).alias("n")).filter("stay < n")
-    gone = lose.filter("stay = 0").select("l_id", "l_digest")
-    same = (F.xxhash64(text_of(text_col)) == F.col("l_digest")) & F.col(f"`{id_col}`").eqNullSafe(F.col("l_id"))
-    rest = docs.join(gone, same, "left_anti")
+    # Rows are structs beside their key, so that no column of the user meets a name of this module.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{id_col}`").alias("r_id"), F.xxhash64(text_of(f"`{text_col}`")).alias("r_digest"))
+    same = (F.col("r_digest") == F.col("l_digest")) & F.col("r_id").eqNullSafe(F.col("l_id"))
+    rest = rows.join(lose.filter("stay = 0").select("l_id", "l_digest"), same, "left_anti")
     repeated = lose.filter("stay > 0").select("l_id", "l_digest")
     plain = rest.join(repeated, same, "left_anti")
-    one = rest.join(repeated, same).groupBy("l_id", "l_digest").agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_row")).select("_row.*")
-    return plain.unionByName(one)
+    one = rest.join(repeated, same).groupBy("l_id", "l_digest").agg(F.first("_row").alias("_row"))
+    return plain.select("_row.*").unionByName(one.select("_row.*"))
