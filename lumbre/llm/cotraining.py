@@ -10,7 +10,8 @@ Scoring reads every document whole.
 
 Defined cases: a null text is empty; null fields are a value of their own; rows without a label, or with labels that differ, train nothing;
 without labelled rows of both kinds every document scores the share of good labels (0.5 without labels); repeated rows score alike;
-an empty table gives an empty table; other columns are kept.
+an empty table gives an empty table; other columns are kept, but text_score, field_score,
+quality_score and quality_kept are replaced.
 """
 
 from __future__ import annotations
@@ -45,8 +46,9 @@ def _repeated(values: str) -> Column:
 
 
 def with_views(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", length_col: str = "n_chars") -> DataFrame:
-    """``docs`` with ``_text_view`` and ``_field_view``, arrays of numbers."""
-    out = docs.withColumn("_t", text_of(text_col))
+    """(_row, _text_view, _field_view): each row as one struct, so that no column of the user meets a name of this module, and its two arrays of numbers."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    out = docs.select(whole, text_of(f"`{text_col}`").alias("_t"), *[F.col(f"`{c}`").alias(n) for n, c in (("_lang", lang_col), ("_source", source_col), ("_length", length_col))])
     out = out.withColumn("_words", F.transform(F.regexp_extract_all("_t", F.lit(f"({WORD})"), F.lit(1)), lambda w: F.xxhash64(w)))
     n = F.greatest(F.size("_words") - 1, F.lit(0))
     out = out.withColumn("_pairs", F.zip_with(F.slice("_words", F.lit(1), n), F.slice("_words", F.lit(2), n), lambda x, y: F.xxhash64(x, y)))
@@ -58,15 +60,15 @@ def with_views(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
         root(_share("_t", "#*$%&<>", chars)), root(_share("_t", "|", chars)), root(_share("_t", "!", chars)), root(_share("_t", "A-ZÀ-Þ", chars)), root(_share("_t", "0-9", chars)),
         _repeated("_words"), _repeated("_words") * F.log1p(words) / 5, _repeated("_pairs"), root(_repeated("_pairs")), _repeated("_lines"),
     ]
-    lang, source = F.coalesce(F.col(lang_col).cast("string"), F.lit("")), F.coalesce(F.col(source_col).cast("string"), F.lit(""))
-    stated = F.coalesce(F.col(length_col).cast("double"), F.lit(0.0))
+    lang, source = F.coalesce(F.col("_lang").cast("string"), F.lit("")), F.coalesce(F.col("_source").cast("string"), F.lit(""))
+    stated = F.coalesce(F.col("_length").cast("double"), F.lit(0.0))
     bucket = F.pmod(F.xxhash64(source), F.lit(SOURCE_BUCKETS))
     fields = [
         F.log1p(F.greatest(stated, F.lit(0.0))), F.log1p(lines.cast("double")), F.log1p(F.abs(stated) / F.greatest(lines, F.lit(1))), (F.abs(stated - chars) > 0).cast("double"),
         *[(lang == x).cast("double") for x in LANGS], *[(bucket == k).cast("double") for k in range(SOURCE_BUCKETS)],
     ]
     numbers = lambda xs: F.transform(F.array(*[x.cast("double") for x in xs]), lambda x: F.coalesce(x, F.lit(0.0)))
-    return out.withColumns({"_text_view": numbers(text), "_field_view": numbers(fields)}).drop("_t", "_words", "_pairs", "_lines")
+    return out.select("_row", numbers(text).alias("_text_view"), numbers(fields).alias("_field_view"))
 
 
 def logit(view: str, model: tuple[list[float], float]) -> Column:
@@ -93,15 +95,18 @@ def train_views(
     """Models of both views, their calibration and their combination; None without labels of both kinds."""
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_lid")).agg(F.min(label_col).alias("_low"), F.max(label_col).alias("_y"))
     agreed = known.filter("_low = _y").select("_lid", "_y")
-    needed = [id_col, columns.get("text_col", "text"), columns.get("lang_col", "lang"), columns.get("source_col", "source"), columns.get("length_col", "n_chars")]
-    plain = docs.select(*[F.col(f"`{c}`") for c in needed])
-    chosen = _sample(agreed, "_lid", max_labelled, agreed.count(), 1)
-    labelled = with_views(plain.join(chosen, F.col(id_col) == F.col("_lid")), **columns)
-    pool = with_views(_sample(plain, id_col, max_pool, docs.count(), 2).join(known, F.col(id_col) == F.col("_lid"), "left_anti"), **columns)
-    held = F.pmod(F.xxhash64(F.lit(3), F.col(id_col)), F.lit(100)) < CALIBRATION_PERCENT
+    names = {"text_col": "text", "lang_col": "lang", "source_col": "source", "length_col": "n_chars"}
+    plain = docs.select(F.col(f"`{id_col}`").alias("_lid"), *[F.col(f"`{columns.get(k, default)}`").alias(f"c_{k}") for k, default in names.items()])
+    own_names = {k: f"c_{k}" for k in names}
+    # About ``max_labelled`` ids at most: sent to the documents, whose texts stay where they are.
+    chosen = F.broadcast(_sample(agreed, "_lid", max_labelled, agreed.count(), 1))
     views = ["_text_view", "_field_view"]
-    labelled = shared_table(labelled.select(*views, "_y", held.alias("_held")).coalesce(4))
-    pool = shared_table(pool.select(*views).coalesce(4))
+    labelled = with_views(plain.join(chosen, "_lid"), **own_names)
+    held = F.pmod(F.xxhash64(F.lit(3), F.col("_row._lid")), F.lit(100)) < CALIBRATION_PERCENT
+    # Only the narrow views are dealt to few files.
+    labelled = shared_table(labelled.select(*views, F.col("_row._y").alias("_y"), held.alias("_held")).repartition(4))
+    sampled = with_views(_sample(plain, "_lid", max_pool, docs.count(), 2), **own_names)
+    pool = shared_table(sampled.select(*views, F.col("_row._lid").alias("_lid")).join(known, "_lid", "left_anti").select(*views).repartition(4))
     seen = {(r["_held"], r["_y"]) for r in labelled.select("_held", "_y").distinct().collect()}
     if len(seen) < 4:
         return None
@@ -133,13 +138,15 @@ def score_documents(docs: DataFrame, trained: dict | None, share: float = 0.5, k
     """``docs`` with text_score, field_score, quality_score and quality_kept."""
     if trained is None:
         return docs.withColumns({c: F.lit(share) for c in ("text_score", "field_score", "quality_score")}).withColumn("quality_kept", F.lit(True))
+    own = {"text_score", "field_score", "quality_score", "quality_kept"}
+    kept = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in own]
     out = with_views(docs, **columns)
     z = {v: _calibrated(v, trained["models"], trained["calibrated"]) for v in ("_text_view", "_field_view")}
     (a, b), c = trained["combined"]
     out = out.withColumns({"_zt": z["_text_view"], "_zf": z["_field_view"]})
     score = _probability(F.col("_zt") * F.lit(a) + F.col("_zf") * F.lit(b) + F.lit(c))
-    out = out.withColumns({"text_score": _probability(F.col("_zt")), "field_score": _probability(F.col("_zf")), "quality_score": score})
-    return out.withColumn("quality_kept", F.col("quality_score") >= keep_from).drop("_text_view", "_field_view", "_zt", "_zf")
+    out = out.select(*kept, _probability(F.col("_zt")).alias("text_score"), _probability(F.col("_zf")).alias("field_score"), score.alias("quality_score"))
+    return out.withColumn("quality_kept", F.col("quality_score") >= keep_from)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", keep_from: float = KEEP_FROM, **columns: str) -> DataFrame:
