@@ -12,28 +12,28 @@ A character without a piece is spelled in bytes, as is the word mark where the t
 white space included.  A space stands before the text, as sentencepiece adds it.
 
 Defined cases: a null text is empty; an empty text has the one segmentation of the added space; fewer than N segmentations give
-fewer results; of equal scores the order is fixed by the search; repeated rows give repeated results; other columns are not touched.
+fewer results; of equal scores the order is fixed by the search; repeated rows give repeated results; other columns are kept, but
+``piece_ids``, ``n_best`` and ``decoded`` are replaced.
 """
 
 from __future__ import annotations
 
 import heapq
-import re
 from collections.abc import Iterator
+from dataclasses import dataclass, fields
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumbre.llm.common import text_of, tokenizer_path
+from lumbre.llm.common import tokenizer_path
 from lumbre.llm.lattice import MARK, Pieces, by_length, codes_of, pieces
 
-UNIT = re.compile(f" [^ \n{MARK}]*|[\n{MARK}]|[^ \n{MARK}]+")
 #: Units that a worker remembers before it forgets those that it has met once only.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 #: Documents that are segmented together.
 TOGETHER = 1_000
 #: What spelling a character in bytes costs below the lowest score.
@@ -146,21 +146,48 @@ def vocabulary(model_file: str) -> Vocabulary:
     return Vocabulary(model_file)
 
 
-def summaries(v: Vocabulary, table: Pieces, texts: list[str]) -> list[tuple[float, float, bytes]]:
-    """What ``Vocabulary.summary`` says of each unit, for many at once; pieces as bytes of 32-bit integers.
+@dataclass
+class Known:
+    """What is known of units: score, loss of the second-best way, number of pieces; ``pieces`` has those of all units one after the other."""
+
+    scores: np.ndarray
+    losses: np.ndarray
+    lengths: np.ndarray
+    pieces: np.ndarray
+
+    @staticmethod
+    def joined(parts: list[Known]) -> Known:
+        return Known(*(np.concatenate([getattr(p, f.name) for p in parts]) for f in fields(Known)))
+
+
+def nothing_known() -> Known:
+    return Known(np.empty(0), np.empty(0), np.empty(0, np.int64), np.empty(0, np.int32))
+
+
+def summaries(v: Vocabulary, table: Pieces, texts: list[str]) -> tuple[list[int], Known]:
+    """What ``Vocabulary.summary`` says of each unit, for many at once, with the order of the units in it.
 
     Units of one length are a matrix; the recursions are those of the single unit, step by step for all rows.
     """
-    out: list = [None] * len(texts)
     units = [MARK if t == MARK else _marked(t) for t in texts]
     scores = np.array([*v.score, 0.0])
+    order: list[int] = []
+    parts, odd = [nothing_known()], []
     for rows in by_length(units):
         if rows.size:
-            _summarise(v, table, scores, texts, units, rows, out)
-    return out
+            plain, known = _summarise(table, scores, texts, units, rows)
+            order += rows[plain].tolist()
+            odd += rows[~plain].tolist()
+            parts.append(known)
+    # Units with a character that is spelled are few and go one by one.
+    for r in odd:
+        score, loss, ids = v.summary(texts[r])
+        parts.append(Known(np.array([score]), np.array([loss]), np.array([len(ids)]), np.array(ids, np.int32)))
+    return order + odd, Known.joined(parts)
 
 
-def _summarise(v: Vocabulary, table: Pieces, scores: np.ndarray, texts: list[str], units: list[str], rows: np.ndarray, out: list) -> None:
+def _summarise(table: Pieces, scores: np.ndarray, texts: list[str], units: list[str], rows: np.ndarray) -> tuple[np.ndarray, Known]:
+    """Which of the rows need no spelling, and what is known of those."""
     codes = codes_of("".join(units[r] for r in rows)).reshape(len(rows), -1)
     n, length = codes.shape
     arcs: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
@@ -179,10 +206,6 @@ def _summarise(v: Vocabulary, table: Pieces, scores: np.ndarray, texts: list[str
                 break
             if not goes_on.all():
                 on, h = on[goes_on], h[goes_on]
-    # Units with a character that is spelled are few and go one by one.
-    for k in np.flatnonzero(odd):
-        score, loss, ids = v.summary(texts[rows[k]])
-        out[rows[k]] = score, loss, np.array(ids, np.int32).tobytes()
     best = np.full((length + 1, n), -1e300)
     best[0] = 0
     by = np.zeros((length + 1, n), np.int32)
@@ -220,49 +243,66 @@ def _summarise(v: Vocabulary, table: Pieces, scores: np.ndarray, texts: list[str
         on = on[other]
         second[on] = np.maximum(second[on], best[start, on] + scores[found[other]] + rest[end, on])
     loss = np.where(second > -1e299, best[length] - second, np.inf)
-    used = path.T >= 0
-    packed, ends = path.T[used].astype(np.int32).tobytes(), np.cumsum(used.sum(axis=1)) * 4
-    begin = 0
-    for k, (score, lost, end) in enumerate(zip(best[length].tolist(), loss.tolist(), ends.tolist())):
-        if out[rows[k]] is None:
-            out[rows[k]] = score, lost, packed[begin:end]
-        begin = end
+    plain = ~odd
+    path = path.T[plain]
+    used = path >= 0
+    return plain, Known(best[length][plain], loss[plain], used.sum(axis=1), path[used])
 
 
 class _Memory:
-    """What a worker knows of units, by number: score, loss, pieces as bytes, times met, and N best ways when asked."""
+    """What a worker knows of units, by number: times met, and N best ways when asked."""
 
     def __init__(self):
         self.number: dict[str, int] = {}
-        self.scores, self.losses, self.lengths, self.met = np.empty(0), np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64)
-        self.pieces: list[bytes] = []
+        self.known, self.starts, self.met = nothing_known(), np.empty(0, np.int64), np.empty(0, np.int64)
         self.ways: dict[int, list] = {}
 
-    def learn(self, units: list[str], known: list[tuple[float, float, bytes]]) -> None:
-        self.number.update(zip(units, range(len(self.pieces), len(self.pieces) + len(units))))
-        self.pieces += [ids for _, _, ids in known]
-        self.scores = np.concatenate((self.scores, [s for s, _, _ in known]))
-        self.losses = np.concatenate((self.losses, [x for _, x, _ in known]))
-        self.lengths = np.concatenate((self.lengths, np.array([len(ids) // 4 for _, _, ids in known], np.int64)))
+    def learn(self, units: list[str], known: Known) -> None:
+        self.number.update(zip(units, range(len(self.met), len(self.met) + len(units))))
+        self._hold(Known.joined([self.known, known]))
         self.met = np.concatenate((self.met, np.zeros(len(units), np.int64)))
 
+    def _hold(self, known: Known) -> None:
+        self.known, self.starts = known, np.cumsum(known.lengths) - known.lengths
+
     def forget(self) -> None:
         """Keep units met twice or more; of too many of those, none."""
         keep = self.met > 1
         if keep.sum() > REMEMBERED // 2:
             keep[:] = False
-        place = np.cumsum(keep) - 1
-        kept = keep.tolist()
-        self.number = {unit: int(place[k]) for unit, k in self.number.items() if kept[k]}
-        self.pieces = [p for p, stays in zip(self.pieces, kept) if stays]
-        self.scores, self.losses, self.lengths, self.met, self.ways = self.scores[keep], self.losses[keep], self.lengths[keep], self.met[keep] // 2, {}
+        place = (np.cumsum(keep) - 1).tolist()
+        kept, k = keep.tolist(), self.known
+        self.number = {unit: place[i] for unit, i in self.number.items() if kept[i]}
+        self._hold(Known(k.scores[keep], k.losses[keep], k.lengths[keep], k.pieces[np.repeat(keep, k.lengths)]))
+        self.met, self.ways = self.met[keep] // 2, {}
 
 
 _memories: dict[str, _Memory] = {}
 
 
-def segment(model_file: str, texts: list[str], n: int) -> list[tuple[bytes, list]]:
-    """For each text: pieces of the best segmentation as 32-bit integers, and (score, changes) of the ``n`` best.
+def cut_units(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The units of all texts, one after the other, and where those of each text begin and end.
+
+    A unit begins at a space, a line break or a word mark, and after a line break or a word mark; the cuts are found in the UTF-8 bytes.
+    """
+    spaced = pc.binary_join_element_wise(pa.scalar(" "), texts, pa.scalar(""))
+    ends = np.frombuffer(spaced.buffers()[1], np.int32)[spaced.offset : spaced.offset + len(spaced) + 1]
+    data = np.frombuffer(spaced.buffers()[2], np.uint8)[: ends[-1]]
+    cuts = np.zeros(len(data) + 1, bool)
+    breaks = data == 10
+    cuts[:-1] = breaks | (data == 32)
+    cuts[1:] |= breaks
+    first, second, third = MARK.encode()
+    marks = np.flatnonzero((data[:-2] == first) & (data[1:-1] == second) & (data[2:] == third))
+    cuts[marks] = cuts[marks + 3] = True
+    cuts[-1] = False
+    at = np.flatnonzero(cuts)
+    offsets = np.append(at, len(data)).astype(np.int32)
+    return pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(data)), np.searchsorted(at, ends)
+
+
+def segment(model_file: str, texts: pa.Array, n: int) -> tuple[pa.Array, list[list]]:
+    """For each text: pieces of the best segmentation, and (score, changes) of the ``n`` best.
 
     A change (at, drop, ids) puts ids in the place of ``drop`` pieces of the best segmentation from ``at``.
     """
@@ -270,17 +310,29 @@ def segment(model_file: str, texts: list[str], n: int) -> list[tuple[bytes, list
     memory = _memories.setdefault(model_file, _Memory())
     if len(memory.number) > REMEMBERED:
         memory.forget()
-    cut = [UNIT.findall(" " + text) for text in texts]
-    new = list(set().union(*cut).difference(memory.number))
-    memory.learn(new, summaries(v, pieces(model_file), new))
-    numbered = [list(map(memory.number.__getitem__, units)) for units in cut]
-    memory.met += np.bincount(np.fromiter(chain.from_iterable(numbered), np.int64), minlength=len(memory.met))
-    return [_segmented(v, memory, units, listed, n) for units, listed in zip(cut, numbered)]
-
-
-def _segmented(v: Vocabulary, memory: _Memory, units: list[str], listed: list[int], n: int) -> tuple[bytes, list]:
-    numbers = np.array(listed, np.int64)
-    best, loss = float(memory.scores[numbers].sum()), memory.losses[numbers]
+    units, ends = cut_units(texts)
+    # Only different units are looked up.
+    coded = units.dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    new = [u for u in names if u not in memory.number]
+    order, known = summaries(v, pieces(model_file), new)
+    memory.learn([new[k] for k in order], known)
+    numbers = np.fromiter(map(memory.number.__getitem__, names), np.int64, len(names))[coded.indices.to_numpy()]
+    memory.met += np.bincount(numbers, minlength=len(memory.met))
+    lengths = memory.known.lengths[numbers]
+    upto = np.concatenate(([0], np.cumsum(lengths)))
+    # Place of each piece in what is known: where its unit's pieces start, and its place among them.
+    source = np.repeat(memory.starts[numbers] - upto[:-1], lengths) + np.arange(upto[-1])
+    lists = pa.ListArray.from_arrays(pa.array(upto[ends].astype(np.int32)), pa.array(memory.known.pieces[source]))
+    scores, losses = memory.known.scores[numbers], memory.known.losses[numbers]
+    ways = []
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+        ways.append(_ways(v, memory, units, numbers[a:b], scores[a:b], losses[a:b], upto[a : b + 1], a, n))
+    return lists, ways
+
+
+def _ways(v: Vocabulary, memory: _Memory, units: pa.Array, numbers: np.ndarray, scores: np.ndarray, loss: np.ndarray, upto: np.ndarray, first: int, n: int) -> list:
+    best = float(scores.sum())
     merged: list[tuple[float, tuple]] = [(0.0, ())]
     # The n - 1 units with the least loss, the first of equal ones.
     limit = -np.inf if n == 1 else np.partition(loss, n - 2)[n - 2] if n <= len(loss) else np.inf
@@ -289,30 +341,22 @@ def _segmented(v: Vocabulary, memory: _Memory, units: list[str], listed: list[in
     for at in loose:
         k = int(numbers[at])
         if k not in memory.ways:
-            memory.ways[k] = v.n_best(units[at], n)
-        top, ways = float(memory.scores[k]), memory.ways[k]
+            memory.ways[k] = v.n_best(units[first + at].as_py(), n)
+        top, ways = float(memory.known.scores[k]), memory.ways[k]
         merged = heapq.nsmallest(n, ((lost + top - score, changed + ((at, ids),) if j else changed) for lost, changed in merged for j, (score, ids) in enumerate(ways)), key=lambda x: x[0])
-    size = memory.lengths[numbers]
-    starts = np.cumsum(size) - size
-    packed = b"".join(map(memory.pieces.__getitem__, listed))
-    return packed, [(best - lost, [{"at": int(starts[at]), "drop": int(size[at]), "ids": list(ids)} for at, ids in changed]) for lost, changed in merged]
-
+    return [(best - lost, [{"at": int(upto[at] - upto[0]), "drop": int(upto[at + 1] - upto[at]), "ids": list(ids)} for at, ids in changed]) for lost, changed in merged]
 
-def _lists(parts: list[bytes]) -> pa.Array:
-    ends = np.cumsum([0, *(len(p) // 4 for p in parts)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), np.int32)))
 
-
-def _encode(model_file: str, n: int):
+def _encode(model_file: str, n: int, text_at: int):
     kind = pa.list_(pa.struct([("score", pa.float64()), ("changes", pa.list_(pa.struct([("at", pa.int32()), ("drop", pa.int32()), ("ids", pa.list_(pa.int32()))])))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, TOGETHER):
                 part = batch.slice(at, TOGETHER)
-                made = segment(model_file, [x or "" for x in part["_text"].to_pylist()], n)
-                ways = pa.array([[{"score": s, "changes": c} for s, c in w] for _, w in made], kind)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], _lists([b for b, _ in made]), ways], [*part.schema.names[:-1], "piece_ids", "n_best"])
+                lists, made = segment(model_file, part.column(0).field(text_at).cast(pa.string()).fill_null(""), n)
+                ways = pa.array([[{"score": s, "changes": c} for s, c in w] for w in made], kind)
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, ways], ["_row", "piece_ids", "n_best"])
 
     return run
 
@@ -323,24 +367,34 @@ def _decode(model_file: str):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                lists = part["piece_ids"].fill_null([]) if part["piece_ids"].null_count else part["piece_ids"]
+                lists = part.column(1).fill_null([]) if part.column(1).null_count else part.column(1)
                 ends, ids = lists.offsets.to_numpy(), lists.values.to_numpy()
                 texts = [b"".join(map(bytes_of.__getitem__, ids[a:b].tolist())).decode("utf-8", "replace")[1:] for a, b in zip(ends, ends[1:])]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "decoded"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], ["_row", "decoded"])
 
     return run
 
 
+def _whole(df: DataFrame) -> Column:
+    """A row as one struct, so that no column of the user meets a name of this module."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+
+
 def encode_n_best(docs: DataFrame, n: int = 4, text_col: str = "text", model_file: str | None = None) -> DataFrame:
-    """``docs`` with ``piece_ids`` of the best segmentation and ``n_best``: score and changes to piece_ids of each of the N best."""
-    model_file = model_file or tokenizer_path()
-    given = docs.drop("piece_ids", "n_best")
-    schema = given.withColumns({"piece_ids": F.lit(None).cast("array<int>"), "n_best": F.lit(None).cast(TYPE)}).schema
-    return given.withColumn("_text", text_of(text_col)).mapInArrow(_encode(model_file, n), schema)
+    """``docs`` with ``piece_ids`` of the best segmentation and ``n_best``: score and changes to piece_ids of each of the N best.
+
+    Columns of these two names are replaced.
+    """
+    rows = docs.select(_whole(docs))
+    schema = rows.withColumns({"piece_ids": F.lit(None).cast("array<int>"), "n_best": F.lit(None).cast(TYPE)}).schema
+    made = rows.mapInArrow(_encode(model_file or tokenizer_path(), n, docs.columns.index(text_col)), schema)
+    kept = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in ("piece_ids", "n_best")]
+    return made.select(*kept, "piece_ids", "n_best")
 
 
 def decode(encoded: DataFrame, model_file: str | None = None) -> DataFrame:
-    """``encoded`` with ``decoded``, the text of ``piece_ids``."""
-    given = encoded.drop("decoded")
-    schema = given.withColumn("decoded", F.lit(None).cast("string")).schema
-    return given.mapInArrow(_decode(model_file or tokenizer_path()), schema)
+    """``encoded`` with ``decoded``, the text of ``piece_ids``; a column of that name is replaced."""
+    rows = encoded.select(_whole(encoded), F.col("piece_ids"))
+    made = rows.mapInArrow(_decode(model_file or tokenizer_path()), rows.select("_row", F.lit(None).cast("string").alias("decoded")).schema)
+    kept = [F.col(f"_row.`{c}`").alias(c) for c in encoded.columns if c != "decoded"]
+    return made.select(*kept, "decoded")

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from oracle import connect, difference
 
@@ -374,8 +375,8 @@ def test_n_best_equals_a_search_of_the_whole_text():
     v, rng = nbest.vocabulary(tokenizer_path()), random.Random(1)
     texts = ["", "Hello world", "  a\n\nthe €uro🙂 x\tyz", "▁mark inside ▁▁", "thntblere of the inreertily bleores"]
     texts += ["".join(rng.choice("the inga\n▁éﷺ ") for _ in range(rng.randint(0, 40))) for _ in range(200)]
-    for text, (packed, ways) in zip(texts, nbest.segment(tokenizer_path(), texts, 4)):
-        best = np.frombuffer(packed, np.int32).tolist()
+    lists, every = nbest.segment(tokenizer_path(), pa.array(texts), 4)
+    for text, best, ways in zip(texts, lists.to_pylist(), every):
         assert [s for s, _ in ways] == best_ways(v, text, 4)
         seen = set()
         for _, changes in ways:
