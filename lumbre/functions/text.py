@@ -123,6 +123,14 @@ def feature_name_parts(name: Column, masks: list[str], channels: list[str], fami
     )
 
 
+def right_split(text: Column, separator: str) -> Column:
+    """Struct of what stands before and after the last separator; without one the whole text is the head and the tail is null."""
+    found = F.instr(text, separator) > 0
+    tail = F.substring_index(text, separator, -1)
+    head = F.substring(text, F.lit(1), F.length(text) - F.length(tail) - len(separator))
+    return F.struct(F.when(found, head).otherwise(text).alias("head"), F.when(found, tail).alias("tail"))
+
+
 def trailing_number(text: Column, marker: str) -> Column:
     """Number that follows a marker in a file or configuration label (for example a batch size)."""
     return F.regexp_extract(text, marker + r"(\d+)", 1).try_cast("int")

@@ -8,71 +8,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumbre.functions.numeric import sphere_diameter
+from lumbre.operators.cell_pyramid import CellPyramid
 from lumbre.operators.ordered import exact_quantiles, top_rows
-from lumbre.session import durable
 
 
-def _cells(df: DataFrame, coords: list[str], edge: float, prefix: str = "__c") -> DataFrame:
-    return df.withColumns({f"{prefix}{i}": F.floor(F.col(c) / F.lit(float(edge))).cast("bigint") for i, c in enumerate(coords)})
-
-
-def _with_neighbours(df: DataFrame, axes: int, reach: int, prefix: str = "__c") -> DataFrame:
-    """Copy each row to the cells within ``reach`` of its own."""
-    out = df
-    for i in range(axes):
-        out = out.withColumn(f"{prefix}{i}", F.explode(F.sequence(F.col(f"{prefix}{i}") - reach, F.col(f"{prefix}{i}") + reach)))
-    return out
-
-
-def _squared(a: list[str], b: list[str]) -> Column:
-    return reduce(lambda x, y: x + y, [(F.col(p) - F.col(q)) * (F.col(p) - F.col(q)) for p, q in zip(a, b)])
+def _same_place(points: DataFrame, found: DataFrame, keys: list[str], coords: list[str]) -> tuple[DataFrame, list[Column]]:
+    """``found`` with names of its own, and the condition that ties its places to those of ``points``."""
+    renamed = found.withColumnsRenamed({c: f"__o_{c}" for c in [*keys, *coords]})
+    return renamed, [F.col(k) == F.col(f"__o_{k}") for k in keys] + [F.col(c).cast("double") == F.col(f"__o_{c}") for c in coords]
 
 
 def far_from(points: DataFrame, others: DataFrame, keys: list[str], coords: list[str], distance: float) -> DataFrame:
-    """Points at least ``distance`` away from every other point of the same key; keys without others keep all.
+    """Points at least ``distance`` away from every other point of the same key; keys without others keep all, as do points without a finite coordinate."""
+    near = CellPyramid(others, keys, coords).nearest(points, distance)
+    places, same = _same_place(points, near.select(*keys, *coords), keys, coords)
+    return points.join(places, same, "left_anti")
 
-    A cell so small that any two of its points are near settles crowded cells by key alone; only the
-    rest is compared, cell by cell, within the cells that the distance can reach.
-    """
-    edge = distance / (len(coords) ** 0.5) * 0.999999
-    cells = [f"__c{i}" for i in range(len(coords))]
-    here = _cells(points, coords, edge)
-    there = _cells(others.select(*keys, *coords).distinct(), coords, edge)
-    apart = here.join(there.select(*keys, *cells).distinct(), [*keys, *cells], "left_anti")
-    renamed = _with_neighbours(there, len(coords), 2).withColumnsRenamed({c: f"__o_{c}" for c in [*keys, *coords, *cells]})
-    same = [F.col(c) == F.col(f"__o_{c}") for c in [*keys, *cells]]
-    near = _squared(coords, [f"__o_{c}" for c in coords]) < distance * distance
-    return apart.join(renamed, [*same, near], "left_anti").select(*points.columns)
-
-
-def nearest_distance(points: DataFrame, others: DataFrame, keys: list[str], ids: list[str], coords: list[str], first_radius: float, out: str = "distance") -> DataFrame:
+
+def nearest_distance(points: DataFrame, others: DataFrame, keys: list[str], ids: list[str], coords: list[str], out: str = "distance") -> DataFrame:
     """Exact distance from each point to the nearest other point of its key; null when the key has none.
 
     Points without a finite coordinate on every axis match nothing, on either side.
-
-    Neighbouring grid cells are searched first; points whose nearest match lies beyond the cell edge
-    go on with twice the edge. The loop ends after about log2(extent / first radius) rounds.
     """
-    placed = reduce(lambda a, b: a & b, [F.coalesce(~F.isnan(c) & (F.abs(c) != float("inf")), F.lit(False)) for c in coords])
-    targets = others.filter(placed).select(*keys, *coords).distinct()
-    open_points = points.filter(placed).select(*keys, *ids, *coords).join(targets.select(*keys).distinct(), keys, "left_semi")
-    done: list[DataFrame] = []
-    radius = float(first_radius)
-    cells = [f"__c{i}" for i in range(len(coords))]
-    while True:
-        here = _cells(open_points, coords, radius)
-        there = _with_neighbours(_cells(targets, coords, radius), len(coords), 1).withColumnsRenamed({c: f"__o_{c}" for c in coords})
-        best = here.join(there, [*keys, *cells]).groupBy(*keys, *ids).agg(
-            F.sqrt(F.min(_squared(coords, [f"__o_{c}" for c in coords]))).alias(out)
-        )
-        found = durable(best.filter(F.col(out) <= radius))
-        done.append(found)
-        open_points = durable(open_points.join(found.select(*keys, *ids), [*keys, *ids], "left_anti"))
-        if open_points.isEmpty():
-            break
-        radius *= 2
-    matched = reduce(DataFrame.unionByName, done)
-    return points.select(*keys, *ids).join(matched, [*keys, *ids], "left")
+    places, same = _same_place(points, CellPyramid(others, keys, coords).nearest(points).withColumnRenamed("distance", "__nearest"), keys, coords)
+    return points.join(places, same, "left").select(*keys, *ids, F.col("__nearest").alias(out))
 
 
 def boundary_voxels(inside: DataFrame, outside: DataFrame, keys: list[str], axes: list[str]) -> DataFrame:

@@ -20,6 +20,15 @@ def left_on_trimmed_key(left: DataFrame, right: DataFrame, key: str) -> DataFram
     return trimmed_key(left, key).join(trimmed_key(right, key), key, "left")
 
 
+def inner_then_left(left: DataFrame, inner: DataFrame, key: str, more: list[DataFrame]) -> DataFrame:
+    """Rows that both tables have, then the columns of further tables where they have the key; keys of ``more`` are checked to be unique."""
+    out = left.join(inner, key)
+    for table in more:
+        assert_empty(duplicate_keys(table, [key]), f"duplicate {key} in a table that is joined on the left")
+        out = out.join(table, key, "left")
+    return out
+
+
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).count().filter("count > 1")
 

@@ -191,6 +191,14 @@ def three_state_labels(df: DataFrame, cell: str, first: str, second: str) -> tup
     return made.filter(~off_target), made.filter(off_target)
 
 
+def matched_feature_sets(clinical: DataFrame, geometry: DataFrame, key: str, predictors: list[str], measures: list[str], targets: list[str]) -> dict[str, DataFrame]:
+    """Three feature sets with their targets: all rows, the rows whose measures are all known, and those with the measures as further predictors."""
+    numbers = geometry.select(key, *[F.col(m).try_cast("double").alias(m) for m in measures])
+    joined = clinical.select(key, *predictors, *targets).join(numbers, key, "left")
+    matched = complete_cases(joined, measures)
+    return {"full": joined.drop(*measures), "matched": matched.drop(*measures), "geometry": matched}
+
+
 def label_mode(df: DataFrame, targets: list[str], none_label: str, mode: str) -> tuple[DataFrame, list[str]]:
     """``include_none``, ``exclude_none`` or ``derive_none`` handling of the no-event label."""
     events = [t for t in targets if t != none_label]

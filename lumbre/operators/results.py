@@ -128,10 +128,14 @@ def priority_cases(oof: DataFrame, keys: list[str], id_col: str, multi: str, quo
     return top_rows(short, keys, order, quota, "position").drop("__in_kind")
 
 
-def status_matrix(runs: DataFrame, family: str, statuses: list[str]) -> DataFrame:
-    """Runs per family and status, with all-ok and any-failure flags."""
+def status_matrix(runs: DataFrame, family: str, statuses: list[str], name: str | None = None) -> DataFrame:
+    """Runs per family and status, with all-ok and any-failure flags; with ``name``, the sorted names of the runs that failed, joined by `` | ``.
+
+    The names of a family are a report for a reader: one cell holds those of its failed runs.
+    """
     counts = [F.count_if(F.col("status") == s).alias(f"n_{s}") for s in statuses]
-    wide = runs.groupBy(family).agg(F.count(F.lit(1)).alias("n_runs"), *counts)
+    listed = [F.array_join(F.sort_array(F.collect_list(F.when(F.col("status") == s, F.col(name).cast("string")))), " | ").alias(f"{s}_names") for s in statuses if s != "ok"] if name else []
+    wide = runs.groupBy(family).agg(F.count(F.lit(1)).alias("n_runs"), *counts, *listed)
     return wide.withColumns(
         {"all_ok": (F.col("n_ok") == F.col("n_runs")).cast("int"), **{f"any_{s}": (F.col(f"n_{s}") > 0).cast("int") for s in statuses if s != "ok"}}
     )

@@ -177,15 +177,20 @@ def assignment_violations(splits: DataFrame, cohort_ids: DataFrame, names: list[
     return sides.select(id_col, kind.alias("violation")).filter("violation is not null")
 
 
-def oof_violations(oof: DataFrame, cohort_ids: DataFrame, k: int, id_col: str = "id") -> DataFrame:
-    """Violations of an out-of-fold table: duplicate, missing and extra ids, missing folds."""
-    per = oof.groupBy(id_col).agg(F.count(F.lit(1)).alias("n"))
-    sides = per.join(cohort_ids.select(id_col, F.lit(1).alias("__want")), id_col, "full")
+def oof_violations(oof: DataFrame, cohort_ids: DataFrame, k: int, id_col: str = "id", keys: list[str] | None = None) -> DataFrame:
+    """Violations of an out-of-fold table: duplicate, missing and extra ids, missing folds, for each of its ``keys`` (run, label)."""
+    keys = keys or []
+    per = oof.groupBy(*keys, id_col).agg(F.count(F.lit(1)).alias("n"))
+    # One row: the runs and labels of the table are settings.
+    listed = oof.agg(F.collect_set(F.struct(F.lit(0).alias("__one"), *keys)).alias("__keys"))
+    wanted = cohort_ids.select(id_col, F.lit(1).alias("__want"))
+    wanted = wanted.join(F.broadcast(listed), how="cross").select(F.explode("__keys").alias("k"), id_col, "__want").select(*[F.col(f"k.{c}").alias(c) for c in keys], id_col, "__want")
+    sides = per.join(wanted, [*keys, id_col], "full")
     kind = F.when(F.col("__want").isNull(), "extra id").when(F.col("n").isNull(), "missing id").when(F.col("n") > 1, "duplicate id")
-    ids = sides.select(F.col(id_col).cast("string").alias("subject"), kind.alias("violation")).filter("violation is not null")
-    want = oof.sparkSession.range(1, k + 1).select(F.col("id").cast("int").alias("fold"))
-    folds = want.join(oof.select("fold").distinct(), "fold", "left_anti")
-    return ids.unionByName(folds.select(F.col("fold").cast("string").alias("subject"), F.lit("missing fold").alias("violation")))
+    ids = sides.select(*keys, F.col(id_col).cast("string").alias("subject"), kind.alias("violation")).filter("violation is not null")
+    want = listed.select(F.explode("__keys").alias("k")).select(*[F.col(f"k.{c}").alias(c) for c in keys], F.explode(F.sequence(F.lit(1), F.lit(k))).alias("fold"))
+    folds = want.join(oof.select(*keys, "fold").distinct(), [*keys, "fold"], "left_anti")
+    return ids.unionByName(folds.select(*keys, F.col("fold").cast("string").alias("subject"), F.lit("missing fold").alias("violation")))
 
 
 def permuted_labels(df: DataFrame, ids: list[str], label: str, permutations: int, seed, bits: str = "y_permuted") -> DataFrame:

@@ -46,7 +46,7 @@ FROM (SELECT DISTINCT series, l_orderkey, l_linenumber, l_partkey, x, y, z FROM
 def nearest_annotation_distance(spark, sf_dir):
     neg, ann = _split_points(spark, sf_dir)
     one = neg.dropDuplicates(["series", "l_orderkey", "l_linenumber", "l_partkey"]).select("series", "l_orderkey", "l_linenumber", "l_partkey", "x", "y", "z")
-    out = V.nearest_distance(one, ann, ["series"], ["l_orderkey", "l_linenumber", "l_partkey"], ["x", "y", "z"], 4.0)
+    out = V.nearest_distance(one, ann, ["series"], ["l_orderkey", "l_linenumber", "l_partkey"], ["x", "y", "z"])
     return out.withColumn("distance", rounded(F.col("distance"), 6))
 
 
@@ -141,7 +141,7 @@ def depth_to_boundary(spark, sf_dir):
     v = _voxels(spark, sf_dir).join(_volume_geometry(spark, sf_dir), "id")
     v = v.withColumns({"pz": F.col("z") * F.col("sz"), "py": F.col("y") * F.col("sy"), "px": F.col("x") * F.col("sx")})
     # The grid of line items has holes, so every outside voxel stays a candidate here.
-    out = V.nearest_distance(v.filter("nodule = 1"), v.filter("lung = 0"), ["id"], ["z", "y", "x"], ["pz", "py", "px"], 2.0, "depth")
+    out = V.nearest_distance(v.filter("nodule = 1"), v.filter("lung = 0"), ["id"], ["z", "y", "x"], ["pz", "py", "px"], "depth")
     return out.withColumn("depth", rounded(F.col("depth"), 6))
 
 

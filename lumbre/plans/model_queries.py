@@ -159,6 +159,22 @@ def _model_rows(spark, sf_dir):
     return durable(rows)
 
 
+@query(
+    "single_class_scores",
+    f"""WITH {_FOLDED_SQL} SELECT arm, fold, count(*) AS n, arm::DOUBLE AS low, arm::DOUBLE AS high FROM fc, (VALUES (0), (1)) a(arm) GROUP BY ALL""",
+)
+def single_class_scores(spark, sf_dir):
+    """Train rows of one class only give that class as the score of every test row."""
+    rows, out = _model_rows(spark, sf_dir), None
+    for arm in (0, 1):
+        for fold in range(1, 6):
+            train, test = rows.filter((F.col("fold") != fold) & (F.col("returned") == arm)), rows.filter(F.col("fold") == fold)
+            one = L.fit_score(train, test, _MODEL_FEATURES, "returned", ["id"], _TREE).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low"), F.max("score").alias("high"))
+            one = one.select(F.lit(arm).alias("arm"), F.lit(fold).alias("fold"), "n", "low", "high")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("logistic_oof_metrics")
 def logistic_oof_metrics(spark, sf_dir):
     scores = L.multi_label_scores(_model_rows(spark, sf_dir), [1, 2, 3, 4, 5], _MODEL_FEATURES, LABELS, ["id"], _LOGISTIC)

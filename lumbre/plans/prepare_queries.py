@@ -246,7 +246,7 @@ def column_health(spark, sf_dir):
 
 @query(
     "numeric_feature_columns",
-    """SELECT 'o_custkey' AS feature UNION ALL SELECT 'o_totalprice'""",
+    """SELECT column_name AS feature FROM (DESCRIBE SELECT * FROM orders) WHERE column_type IN ('TINYINT', 'SMALLINT', 'INTEGER', 'BIGINT', 'FLOAT', 'DOUBLE') AND column_name <> 'o_orderkey'""",
 )
 def numeric_feature_columns(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
@@ -286,11 +286,42 @@ def binary_targets(spark, sf_dir):
 
 @query(
     "label_mode_derived",
-    "SELECT quality, toxic, CASE WHEN quality + toxic = 0 THEN 1 ELSE 0 END AS none, count(*) AS n FROM labels GROUP BY ALL",
+    """WITH l AS (SELECT *, CASE WHEN quality = 0 THEN 1 ELSE 0 END AS stored FROM labels)
+SELECT 'include_none' AS mode, quality, toxic, stored AS none, count(*) AS n FROM l GROUP BY ALL UNION ALL SELECT 'exclude_none', quality, toxic, NULL, count(*) FROM l GROUP BY ALL
+UNION ALL SELECT 'derive_none', quality, toxic, CASE WHEN quality + toxic = 0 THEN 1 ELSE 0 END, count(*) FROM l GROUP BY ALL""",
 )
 def label_mode_derived(spark, sf_dir):
-    frame, names = P.label_mode(table(spark, sf_dir, "labels"), ["quality", "toxic", "none"], "none", "derive_none")
-    return frame.groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
+    """All modes; the stored label says something else than the derived one."""
+    stored = table(spark, sf_dir, "labels").withColumn("none", (F.col("quality") == 0).cast("int"))
+    out = None
+    for mode in ("include_none", "exclude_none", "derive_none"):
+        frame, names = P.label_mode(stored, ["quality", "toxic", "none"], "none", mode)
+        one = frame.select(F.lit(mode).alias("mode"), "quality", "toxic", (F.col("none") if "none" in names else F.lit(None).cast("int")).alias("none"))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("mode", "quality", "toxic", "none").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "renamed_like_columns",
+    "SELECT c_mktsegment AS segment, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer GROUP BY c_mktsegment",
+)
+def renamed_like_columns(spark, sf_dir):
+    """Headers with accents, other case, blanks and a byte-order mark are found by their plain names."""
+    given = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("\ufeff SÉGMENT  "), F.col("c_acctbal").alias("Bálance  Año"))
+    named = P.rename_like(P.rename_like(given, "segment"), "balance", "saldo", "balance ano")
+    return named.groupBy("segment").agg(F.count(F.lit(1)).alias("n"), rounded(F.sum("balance"), 2).alias("balance"))
+
+
+@query(
+    "right_split_labels",
+    """WITH t AS (SELECT p_name AS x, suffix(p_name, 'e') AS s FROM part UNION ALL SELECT c_name, FALSE FROM customer)
+SELECT CASE WHEN contains(x, ' ') THEN regexp_extract(x, '^(.*) [^ ]*$', 1) ELSE x END AS head, CASE WHEN contains(x, ' ') THEN regexp_extract(x, '([^ ]*)$', 1) END AS tail,
+  count(*) AS n, count(CASE WHEN s THEN 1 END) AS n_suffix FROM t GROUP BY ALL""",
+)
+def right_split_labels(spark, sf_dir):
+    types = table(spark, sf_dir, "part").select(X.right_split(F.col("p_name"), " ").alias("p"), F.endswith("p_name", F.lit("e")).cast("int").alias("s"))
+    names = table(spark, sf_dir, "customer").select(X.right_split(F.col("c_name"), " ").alias("p"), F.lit(0).alias("s"))
+    return types.unionByName(names).groupBy("p.head", "p.tail").agg(F.count(F.lit(1)).alias("n"), F.sum("s").alias("n_suffix"))
 
 
 @query(
@@ -331,12 +362,17 @@ def left_join_trimmed_key(spark, sf_dir):
 
 @query(
     "inner_then_left_join",
-    """SELECT lang, quality, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY lang, quality""",
+    """SELECT lang, quality, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars, count(e.label) AS n_embedded, CAST(coalesce(sum(e.label), 0) AS BIGINT) AS classes, count(b.text) AS n_items
+FROM documents d JOIN labels l ON d.doc_id = l.doc_id LEFT JOIN embeddings e ON e.vec_id = d.doc_id LEFT JOIN benchmark b ON b.item_id = d.doc_id GROUP BY lang, quality""",
 )
 def inner_then_left_join(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id").groupBy(
-        "lang", "quality"
-    ).agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
+    """Labelled documents, then what two further tables know of them."""
+    embedded = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").alias("class"))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("item"))
+    joined = J.inner_then_left(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), table(spark, sf_dir, "labels"), "doc_id", [embedded, items])
+    return joined.groupBy("lang", "quality").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"), F.count("class").alias("n_embedded"), F.coalesce(F.sum(F.col("class").cast("bigint")), F.lit(0)).alias("classes"), F.count("item").alias("n_items")
+    )
 
 
 @query(

@@ -181,14 +181,16 @@ def priority_cases(spark, sf_dir):
 
 @query(
     "run_status_matrix",
-    """WITH s AS (SELECT p_type, CASE WHEN p_size > 48 THEN 'oom' WHEN p_size > 45 THEN 'error' ELSE 'ok' END AS status FROM part)
+    """WITH s AS (SELECT p_type, p_name || ' ' || p_partkey AS name, CASE WHEN p_size > 48 THEN 'oom' WHEN p_size > 45 THEN 'error' ELSE 'ok' END AS status FROM part)
 SELECT p_type, count(*) AS n_runs, count(CASE WHEN status = 'ok' THEN 1 END) AS n_ok, count(CASE WHEN status = 'oom' THEN 1 END) AS n_oom, count(CASE WHEN status = 'error' THEN 1 END) AS n_error,
   CASE WHEN count(CASE WHEN status = 'ok' THEN 1 END) = count(*) THEN 1 ELSE 0 END AS all_ok, CASE WHEN count(CASE WHEN status = 'oom' THEN 1 END) > 0 THEN 1 ELSE 0 END AS any_oom,
-  CASE WHEN count(CASE WHEN status = 'error' THEN 1 END) > 0 THEN 1 ELSE 0 END AS any_error FROM s GROUP BY p_type""",
+  CASE WHEN count(CASE WHEN status = 'error' THEN 1 END) > 0 THEN 1 ELSE 0 END AS any_error, coalesce(string_agg(name, ' | ' ORDER BY name) FILTER (status = 'oom'), '') AS oom_names,
+  coalesce(string_agg(name, ' | ' ORDER BY name) FILTER (status = 'error'), '') AS error_names FROM s GROUP BY p_type""",
 )
 def run_status_matrix(spark, sf_dir):
-    runs = table(spark, sf_dir, "part").select("p_type", F.when(F.col("p_size") > 48, "oom").when(F.col("p_size") > 45, "error").otherwise("ok").alias("status"))
-    return R.status_matrix(runs, "p_type", ["ok", "oom", "error"])
+    name = F.concat_ws(" ", "p_name", "p_partkey")
+    runs = table(spark, sf_dir, "part").select("p_type", name.alias("name"), F.when(F.col("p_size") > 48, "oom").when(F.col("p_size") > 45, "error").otherwise("ok").alias("status"))
+    return R.status_matrix(runs, "p_type", ["ok", "oom", "error"], "name")
 
 
 @query(

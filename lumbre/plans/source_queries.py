@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import functions as F
@@ -114,6 +115,43 @@ def metadata_with_error_table(spark, sf_dir):
     return both.groupBy("missing").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "fresh_run_summaries",
+    "SELECT event_type AS kind, count(*) AS n, round(sum(value), 2) AS total, (SELECT count(*) FROM (SELECT 1) s) AS stale_folders FROM events WHERE event_id % 3 > 0 GROUP BY event_type",
+)
+def fresh_run_summaries(spark, sf_dir):
+    """Summaries written after a launch count; those of an earlier run are found as stale."""
+    path, rows = _shared_path(spark, "fresh-summaries"), table(spark, sf_dir, "events")
+    as_json = F.to_json(F.struct("event_id", "event_type", "value")).alias("value")
+    rows.filter("event_id % 3 = 0").select(as_json).write.text(f"{path}/before")
+    launch = F.date_format(F.max("modificationTime") + F.expr("INTERVAL 1 SECOND"), "yyyy-MM-dd'T'HH:mm:ss")
+    launched = R.list_files(spark, path, "part-*").agg(launch.alias("t")).first()["t"]
+    # Times of files have whole seconds in some stores.
+    time.sleep(2)
+    rows.filter("event_id % 3 > 0").select(as_json).write.text(f"{path}/after")
+    schema = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType())])
+    fresh, _ = R.read_run_summaries(spark, path, schema, "part-*", newer_than=launched)
+    stale = R.stale_files(spark, path, launched, "part-*").select(F.element_at(F.split("path", "/"), -2).alias("folder")).distinct().agg(F.count(F.lit(1)).alias("stale_folders"))
+    return fresh.groupBy(F.col("event_type").alias("kind")).agg(F.count(F.lit(1)).alias("n"), rounded(F.sum("value"), 2).alias("total")).join(F.broadcast(stale), how="cross")  # one row
+
+
+@query(
+    "readable_tables",
+    """SELECT 'good' AS kind, count(*) AS n_rows, 1 AS readable FROM part UNION ALL SELECT 'no id', count(*), 0 FROM part UNION ALL SELECT 'no rows', 0, 0""",
+)
+def readable_tables(spark, sf_dir):
+    """Files with the id in their header and rows after it; files without the id; files with a header alone."""
+    path, part = _shared_path(spark, "readable"), table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    kinds = {"good": part, "no id": part.withColumnRenamed("p_partkey", "number"), "no rows": part.limit(0)}
+    out = None
+    for number, (kind, rows) in enumerate(kinds.items()):
+        rows.write.option("header", True).csv(f"{path}/{number}")
+        found = R.readability(spark, f"{path}/{number}", "p_partkey").agg(F.sum(F.col("n_lines") - 1).alias("n_rows"), F.min("readable").alias("readable"))
+        one = found.select(F.lit(kind).alias("kind"), "n_rows", "readable")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("input_content_hashes")
 def input_content_hashes(spark, sf_dir):
     return R.content_hashes(spark, sf_dir, "*.parquet").select("name", "length", "n_parts", "sha256")

@@ -177,15 +177,18 @@ def assignment_violations(spark, sf_dir):
 
 @query(
     "oof_completeness",
-    f"""WITH {OOF_SQL}, one AS (SELECT * FROM oof WHERE run = 'r1' AND label = 'returned' AND fold <> 4),
-dup AS (SELECT id, fold FROM one UNION ALL SELECT id, fold FROM one WHERE id % 100 = 5), per AS (SELECT id, count(*) AS n FROM dup GROUP BY id)
-SELECT CAST(c.id AS VARCHAR) AS subject, CASE WHEN p.id IS NULL THEN 'missing id' ELSE 'duplicate id' END AS violation
-FROM cohort c LEFT JOIN per p ON c.id = p.id WHERE p.id IS NULL OR n > 1 UNION ALL SELECT '4', 'missing fold'""",
+    f"""WITH {OOF_SQL}, one AS (SELECT * FROM oof WHERE NOT (run = 'r1' AND label = 'returned' AND fold = 4) AND NOT (run = 'r3' AND fold = 2)),
+dup AS (SELECT run, label, id, fold FROM one UNION ALL SELECT run, label, id, fold FROM one WHERE run = 'r2' AND id % 100 = 5), per AS (SELECT run, label, id, count(*) AS n FROM dup GROUP BY ALL),
+k AS (SELECT DISTINCT run, label FROM oof)
+SELECT k.run, k.label, CAST(c.id AS VARCHAR) AS subject, CASE WHEN p.id IS NULL THEN 'missing id' ELSE 'duplicate id' END AS violation
+FROM cohort c CROSS JOIN k LEFT JOIN per p ON c.id = p.id AND p.run = k.run AND p.label = k.label WHERE p.id IS NULL OR n > 1
+UNION ALL SELECT k.run, k.label, CAST(f AS VARCHAR), 'missing fold' FROM k, range(1, 6) q(f) WHERE NOT EXISTS (SELECT 1 FROM one WHERE one.run = k.run AND one.label = k.label AND one.fold = f)""",
 )
 def oof_completeness(spark, sf_dir):
-    one = oof(spark, sf_dir).filter("run = 'r1' AND label = 'returned' AND fold <> 4").select("id", "fold")
-    doubled = one.unionByName(one.filter("id % 100 = 5"))
-    return S.oof_violations(doubled, cohort(spark, sf_dir).select("id"), 5)
+    """All runs and labels: one run lacks a fold for one label, one lacks a fold for both, one has rows twice."""
+    kept = oof(spark, sf_dir).filter("NOT (run = 'r1' AND label = 'returned' AND fold = 4) AND NOT (run = 'r3' AND fold = 2)").select("run", "label", "id", "fold")
+    doubled = kept.unionByName(kept.filter("run = 'r2' AND id % 100 = 5"))
+    return S.oof_violations(doubled, cohort(spark, sf_dir).select("id"), 5, keys=["run", "label"])
 
 
 @query(

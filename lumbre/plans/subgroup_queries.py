@@ -8,7 +8,7 @@ from lumbre.functions.numeric import rounded
 from lumbre.operators import prepare as P
 from lumbre.operators import splits as S
 from lumbre.operators import subgroups as G
-from lumbre.plans.base import COHORT_SQL, FLAGS, LABELS, NUMERIC, cohort, sql_md5
+from lumbre.plans.base import COHORT_SQL, FLAGS, LABELS, NUMERIC, cohort, sql_md5, table
 from lumbre.plans.registry import query
 from lumbre.plans.split_queries import _folds, folds_sql
 
@@ -400,17 +400,28 @@ def subgroup_permutation_p_small(spark, sf_dir):
     return _permutation_p(spark, sf_dir, _N_PERM)
 
 
+_MEASURES = ["size", "depth", "centre"]
+
+
 @query(
     "matched_feature_sets",
-    f"""WITH {COHORT_SQL} SELECT 'full' AS feature_set, count(*) AS n, CAST(sum(returned) AS BIGINT) AS n_returned FROM cohort
-UNION ALL SELECT 'matched', count(*), CAST(sum(returned) AS BIGINT) FROM cohort WHERE qty IS NOT NULL
-UNION ALL SELECT 'matched_with_numeric', count(*), CAST(sum(returned) AS BIGINT) FROM cohort WHERE qty IS NOT NULL AND amount IS NOT NULL""",
+    f"""WITH {COHORT_SQL}, g AS (SELECT l_orderkey AS id, max(l_quantity) AS size, avg(CASE WHEN l_discount > 0.02 THEN l_discount END) AS depth, avg(CASE WHEN l_returnflag <> 'N' THEN l_extendedprice END) AS centre
+  FROM lineitem GROUP BY l_orderkey),
+j AS (SELECT c.*, size, depth, centre FROM cohort c LEFT JOIN g ON g.id = c.id), m AS (SELECT * FROM j WHERE size IS NOT NULL AND depth IS NOT NULL AND centre IS NOT NULL)
+SELECT 'full' AS feature_set, {len(FLAGS)}::BIGINT AS n_features, count(*) AS n, CAST(sum(returned) AS BIGINT) AS n_returned, CAST(sum(heavy) AS BIGINT) AS n_heavy, NULL AS depth FROM j
+UNION ALL SELECT 'matched', {len(FLAGS)}, count(*), CAST(sum(returned) AS BIGINT), CAST(sum(heavy) AS BIGINT), NULL FROM m
+UNION ALL SELECT 'geometry', {len(FLAGS) + 3}, count(*), CAST(sum(returned) AS BIGINT), CAST(sum(heavy) AS BIGINT), round(avg(depth), 9) FROM m""",
 )
 def matched_feature_sets(spark, sf_dir):
-    rows = cohort(spark, sf_dir)
-    sets = {"full": rows, "matched": P.complete_cases(rows, ["qty"]), "matched_with_numeric": P.complete_cases(rows, NUMERIC)}
+    """Flags of all orders, of those with all measures, and flags with measures, which come from a table of their own."""
+    lines = table(spark, sf_dir, "lineitem")
+    geometry = lines.groupBy(F.col("l_orderkey").alias("id")).agg(
+        F.max("l_quantity").alias("size"), F.avg(F.when(F.col("l_discount") > 0.02, F.col("l_discount"))).alias("depth"), F.avg(F.when(F.col("l_returnflag") != "N", F.col("l_extendedprice"))).alias("centre")
+    )
     out = None
-    for name, part in sets.items():
-        one = part.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("returned").cast("bigint")).alias("n_returned")).withColumn("feature_set", F.lit(name))
+    for name, part in P.matched_feature_sets(cohort(spark, sf_dir), geometry, "id", FLAGS, _MEASURES, ["returned"]).items():
+        depth = rounded(F.avg("depth")) if "depth" in part.columns else F.lit(None).cast("double")
+        one = part.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("returned").cast("bigint")).alias("n_returned"), F.sum(F.col("heavy").cast("bigint")).alias("n_heavy"), depth.alias("depth"))
+        one = one.select(F.lit(name).alias("feature_set"), F.lit(len(part.columns) - 2).cast("bigint").alias("n_features"), "n", "n_returned", "n_heavy", "depth")
         out = one if out is None else out.unionByName(one)
     return out

@@ -272,10 +272,11 @@ def test_empty_sets_have_jaccard_one(spark):
 
 
 def test_or_groups_replace_their_sources(spark):
-    df = spark.createDataFrame([(1, 0, None, 0), (0, 1, 1, 0)], "Fibrosis int, Fibrosis_pulmonar int, HBP int, rest int")
-    out = P.group_flags(df, {"Fibrosis_any": ["Fibrosis", "Fibrosis_pulmonar"], "Urologic": ["HBP"]})
-    assert [r["Fibrosis_any"] for r in out.collect()] == [1, 1] and [r["Urologic"] for r in out.collect()] == [0, 1]
-    assert set(out.columns) == {"rest", "Fibrosis_any", "Urologic"}
+    rows = [(1, 0, None, 0, 5), (0, 0, 1, 1, 6), (None, None, 0, 1, 7), (None, None, None, None, 8)]
+    df = spark.createDataFrame(rows, "urgent int, early int, heavy int, discounted int, amount int")
+    out = P.group_flags(df, {"hurried": ["urgent", "early"], "any_mark": ["heavy", "discounted"]})
+    got = {r["amount"]: (r["hurried"], r["any_mark"]) for r in out.collect()}
+    assert got == {5: (1, 0), 6: (0, 1), 7: (0, 1), 8: (0, 0)} and set(out.columns) == {"amount", "hurried", "any_mark"}
 
 
 def test_binary_targets_reject_other_values(spark):
@@ -351,7 +352,7 @@ def test_far_from_and_nearest_distance(spark):
     pts = spark.createDataFrame([("s", 1, 0.0, 0.0), ("s", 2, 30.0, 0.0), ("t", 3, 0.0, 0.0)], "k string, id int, x double, y double")
     others = spark.createDataFrame([("s", 15.0, 0.0), ("s", 3.0, 4.0)], "k string, x double, y double")
     assert {r["id"] for r in V.far_from(pts, others, ["k"], ["x", "y"], 15.0).collect()} == {2, 3}
-    d = {r["id"]: r["distance"] for r in V.nearest_distance(pts, others, ["k"], ["id"], ["x", "y"], 1.0).collect()}
+    d = {r["id"]: r["distance"] for r in V.nearest_distance(pts, others, ["k"], ["id"], ["x", "y"]).collect()}
     assert d == {1: 5.0, 2: 15.0, 3: None}
 
 
@@ -432,7 +433,7 @@ def test_nulls_rank_last(spark, up):
 def test_distance_of_points_without_a_coordinate(spark):
     points = spark.createDataFrame([(1, "k", 0.0, 0.0), (2, "k", None, 0.0), (3, "k", NAN, 1.0), (4, "m", 1.0, 1.0)], "id int, key string, x double, y double")
     others = spark.createDataFrame([("k", 3.0, 4.0), ("k", None, 0.0), ("m", NAN, 1.0)], "key string, x double, y double")
-    got = {r.id: r.distance for r in V.nearest_distance(points, others, ["key"], ["id"], ["x", "y"], 1.0).collect()}
+    got = {r.id: r.distance for r in V.nearest_distance(points, others, ["key"], ["id"], ["x", "y"]).collect()}
     assert got == {1: 5.0, 2: None, 3: None, 4: None}
 
 
@@ -517,3 +518,42 @@ def test_narrowed_brackets_hold_few_rows(spark):
     r = O._narrowed(df, ["k"], whole, [0.25, 0.9], 100).first()
     for low, high in zip(r["__lo"], r["__hi"]):
         assert df.filter(F.col("__v").between(low, high)).count() <= 100
+
+
+# ---- distances through the pyramid of cells --------------------------------------------------------------
+
+
+def crowds(seed, n):
+    """Two crowded neighbouring cells, a line, far strays and places that repeat."""
+    rng = np.random.default_rng(seed)
+    parts = [rng.normal((0, 0, 0), 1e-3, (n, 3)), rng.normal((1e-2, 0, 0), 1e-3, (n, 3)), np.c_[np.linspace(0, 50, n), np.zeros(n), np.zeros(n)], rng.uniform(-50, 50, (20, 3)), np.zeros((30, 3))]
+    return np.concatenate(parts)
+
+
+@pytest.mark.parametrize("leaf", [8, 64])
+def test_distances_equal_all_pairs(spark, leaf):
+    from lumbre.operators.cell_pyramid import CellPyramid
+
+    schema = "k string, x double, y double, z double"
+    targets = {"a": crowds(1, 300), "b": np.array([[5.0, 5.0, 5.0]]), "c": np.zeros((0, 3))}
+    points = {"a": np.concatenate([crowds(2, 80), np.random.default_rng(3).uniform(-1e8, 1e8, (40, 3))]), "b": crowds(4, 20), "c": crowds(5, 3)}
+    rows = lambda d: [(k, *map(float, p)) for k, v in d.items() for p in v]
+    t, p = (spark.createDataFrame(rows(d) + [("a", None, 0.0, 0.0), ("b", NAN, 0.0, 0.0)], schema).repartition(4) for d in (targets, points))
+    want = {(k, *map(float, q)): np.sqrt(((targets[k] - q) ** 2).sum(axis=1)).min() for k, v in points.items() for q in v if len(targets[k])}
+    pyramid = CellPyramid(t, ["k"], ["x", "y", "z"], leaf)
+    got = {(r.k, r.x, r.y, r.z): r.distance for r in pyramid.nearest(p).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - d) <= 1e-9 * d for k, d in want.items())
+    for limit in (0.5,):
+        near = {(r.k, r.x, r.y, r.z) for r in pyramid.nearest(p, limit).collect()}
+        assert near == {k for k, d in want.items() if d < limit}
+
+
+def test_far_points_meet_boxes_and_not_targets(spark):
+    from lumbre.operators.cell_pyramid import CellPyramid
+
+    targets = spark.range(300_000).select(F.lit("k").alias("k"), (F.col("id") % 600).cast("double").alias("x"), F.floor(F.col("id") / 600).cast("double").alias("y"))
+    points = spark.range(500).select(F.lit("k").alias("k"), (F.col("id") * 1e4 + 1e6).alias("x"), (F.col("id") % 499).cast("double").alias("y"))
+    got = CellPyramid(targets, ["k"], ["x", "y"]).nearest(points).collect()
+    assert len(got) == 500 and all(abs(r.distance - (r.x - 599)) < 1e-6 for r in got)
+    kept = V.far_from(points, targets, ["k"], ["x", "y"], 1e6)
+    assert kept.count() == 499
