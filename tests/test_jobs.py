@@ -115,16 +115,15 @@ def test_stream_collects_each_artifact_once(spark, tmp_path):
     assert spark.read.parquet(table).count() == 2
 
 
-def test_neighbours_with_many_cells_and_a_crowded_one(spark, monkeypatch):
+def test_neighbours_with_many_leaves_and_a_crowded_one(spark):
     from lumbre.operators import neighbours as NB
 
-    # Small blocks force several pivots, several blocks per cell, and a third of the points in one spot.
-    monkeypatch.setattr(NB, "BLOCK", 40)
+    # Small leaves, and a third of the points in one spot.
     rng = np.random.default_rng(5)
     pts = np.concatenate([rng.normal(size=(200, 3)), np.tile([[2.0, 2.0, 2.0]], (100, 1)) + rng.normal(size=(100, 3)) * 1e-3])
     df = spark.createDataFrame([("g", i, [float(x) for x in p]) for i, p in enumerate(pts)], "g string, id long, v array<double>")
     got = {}
-    for r in NB.exact_neighbours(df, "g", "id", "v", 4).collect():
+    for r in NB.exact_neighbours(df, "g", "id", "v", 4, leaf=100).collect():
         got.setdefault(r["id"], {})[r["position"]] = r["neighbour"]
     d = np.sqrt(((pts[:, None] - pts[None]) ** 2).sum(axis=2))
     np.fill_diagonal(d, np.inf)
@@ -329,3 +328,58 @@ def test_content_hashes_do_not_follow_the_settings(spark, tmp_path):
         assert readers.content_hashes(spark, str(tmp_path), "*", 8192).first() == first and first.n_parts > 5
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+# -- ball tree --------------------------------------------------------------------------------------------------------
+
+
+def _all_pairs(rows, k):
+    want = {}
+    for g in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == g]
+        v = np.array([r[2] for r in own])
+        for i, (_, a, x) in enumerate(own):
+            d = np.sqrt(((v - np.array(x)) ** 2).sum(axis=1))
+            want[g, a] = sorted((d[j], own[j][1]) for j in range(len(own)) if j != i)[:k]
+    return want
+
+
+@pytest.mark.parametrize("leaf", [60, 2_000])
+def test_neighbours_in_64_dimensions_equal_all_pairs(spark, leaf):
+    """Clusters, noise, equal points and ties, and a thousand small groups."""
+    from lumbre.operators.neighbours import exact_neighbours
+
+    rng = np.random.default_rng(1)
+    parts = [rng.normal(c, 0.1, (60, 64)) for c in rng.normal(0, 5, (5, 64))] + [rng.normal(0, 1, (80, 64)), np.zeros((70, 64)), np.round(rng.normal(0, 1, (40, 64)))]
+    rows = [("big", i, v.tolist()) for i, v in enumerate(np.concatenate(parts))] + [("equal", i, [1.0] * 64) for i in range(90)]
+    rows += [(f"g{k}", i, rng.normal(0, 1, 64).tolist()) for k in range(1000 if leaf > 100 else 10) for i in range(k % 5 + 1)]
+    got = {}
+    for r in exact_neighbours(spark.createDataFrame(rows, "g string, id long, v array<double>").repartition(8), "g", "id", "v", 4, leaf).collect():
+        got.setdefault((r.g, r.id), []).append((r.position, r.distance, r.neighbour))
+    for key, near in _all_pairs(rows, 4).items():
+        mine = [(d, n) for _, d, n in sorted(got.get(key, []))]
+        assert mine == near, key
+
+
+def test_the_tree_prunes_pairs_of_leaves(spark):
+    from pyspark.sql import functions as F
+
+    from lumbre.operators.neighbours import BallTree
+
+    rng = np.random.default_rng(2)
+    rows = [("g", i, v.tolist()) for i, v in enumerate(np.concatenate([rng.normal(c, 0.01, (40, 16)) for c in rng.normal(0, 10, (24, 16))]))]
+    tree = BallTree(spark.createDataFrame(rows, "g string, id long, v array<double>"), 60)
+    leaves = tree.leaves()
+    n = leaves.count()
+    assert n > 8 and leaves.agg(F.sum("n")).first()[0] == len(rows)
+    pairs = tree.near_pairs(leaves.select("g", "node", F.lit(0.2).alias("bound"))).count()
+    assert n <= pairs < n * n / 3
+
+
+def test_one_pair_of_positives_serves_very_many_rows(spark):
+    from lumbre.operators.neighbours import smote
+
+    df = spark.range(300_000).select(F.lit("g").alias("g"), "id", F.array(F.col("id").cast("double"), F.lit(1.0)).alias("v"), (F.col("id") < 2).cast("int").alias("y"))
+    out = smote(df, "g", "id", "v", "y", 5, 1)
+    r = out.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("number").alias("d"), F.min("number").alias("a"), F.max("number").alias("b"), F.count_if((F.col("v")[0] < 0) | (F.col("v")[0] > 1)).alias("out")).first()
+    assert (r.n, r.d, r.a, r.b, r.out) == (299_996, 299_996, 1, 299_996, 0)
