@@ -48,12 +48,14 @@ def brier(oof: DataFrame, keys: list[str]) -> DataFrame:
 def score_table(oof: DataFrame, keys: list[str]) -> DataFrame:
     """One row per key and distinct score with positive and negative counts (map-side combined).
 
-    Rows whose score is missing or not finite are counted under a null score. The table is written
-    once, since ranking it needs several looks and its input may be expensive.
+    Rows whose score is missing or not finite are counted under a null score, those with a score of plus infinity
+    among them in columns of their own. The table is written once, since ranking it needs several looks and its input may be expensive.
     """
     usable = F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") != float("inf"))
+    top = F.col("score") == float("inf")
     counts = oof.groupBy(*keys, F.when(usable, F.col("score")).alias("score")).agg(
-        F.sum(F.col("y_true").cast("bigint")).alias("pos"), F.sum((1 - F.col("y_true")).cast("bigint")).alias("neg")
+        F.sum(F.col("y_true").cast("bigint")).alias("pos"), F.sum((1 - F.col("y_true")).cast("bigint")).alias("neg"),
+        F.count_if(top & (F.col("y_true") == 1)).alias("inf_pos"), F.count_if(top & (F.col("y_true") == 0)).alias("inf_neg"),
     )
     return durable(counts)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lumbre.functions.keys import hash_order, joined
 from lumbre.functions.numeric import clip
 from lumbre.operators.ordered import hash_rank
-from lumbre.session import ContractError, assert_empty, broadcast_if_small
+from lumbre.session import ContractError, assert_empty, broadcast_if_small, durable
 
 #: Copies of one row that one array holds.
 PIECE = 1_000
@@ -96,7 +96,8 @@ def sample_negatives(df: DataFrame, ids: list[str], target: str, per_positive: f
 def oversample(df: DataFrame, keys: list[str], ids: list[str], target: str, seed, out: str = "copy") -> DataFrame:
     """Repeat minority rows until the classes are equal: whole copies first, then a hash-ordered top-up."""
     pos, neg = F.count_if(F.col(target) == 1), F.count_if(F.col(target) == 0)
-    sizes = df.groupBy(*keys).agg(pos.alias("__p"), neg.alias("__n")) if keys else df.agg(pos.alias("__p"), neg.alias("__n"))
+    # Written once: its size is counted before the join reads it.
+    sizes = durable(df.groupBy(*keys).agg(pos.alias("__p"), neg.alias("__n")) if keys else df.agg(pos.alias("__p"), neg.alias("__n")))
     ranked = hash_rank(df, [*keys, target], ids, seed, "__rank", "__size")
     # ``sizes`` has one row per key.
     both = ranked.join(broadcast_if_small(sizes), keys) if keys else ranked.join(F.broadcast(sizes), how="cross")
