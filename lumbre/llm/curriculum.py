@@ -103,11 +103,16 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return both.select("_row", F.explode("_positions").alias("_at")).orderBy("_at", F.col(f"_row.`{id_col}`")).select("_row.*")
 
 
+_SHARE_SQL = "((before + e * source_size + size / 2.0) / target)"
+_BOTTOM_SQL = f"((1 - slope) + sqrt((1 - slope) * (1 - slope) + slope * {_SHARE_SQL} * 4))"
+_TIME_SQL = f"CASE WHEN {_BOTTOM_SQL} > 0 THEN {_SHARE_SQL} * 2 / {_BOTTOM_SQL} ELSE 0 END"
 SQL = rf"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
                   md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS o FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
-             CAST([{", ".join(map(str, WEIGHTS))}][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)}] AS DOUBLE) AS weight FROM d GROUP BY source),
+             CAST([{", ".join(map(str, WEIGHTS))}][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)}] AS DOUBLE) AS weight,
+             CAST([{", ".join(str(s) for s, _ in SCHEDULES)}][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(SCHEDULES)}] AS DOUBLE) AS first_weight,
+             CAST([{", ".join(str(e) for _, e in SCHEDULES)}][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(SCHEDULES)}] AS DOUBLE) AS last_weight FROM d GROUP BY source),
 r AS (SELECT *, {REPEATS}.0 * source_size / weight AS full_at, {REPEATS}.0 * source_size AS most FROM s),
 -- Level for each number of sources that are full, in the order in which they fill; the right one is the first that fills no more.
 f AS (SELECT *, row_number() OVER (ORDER BY full_at, source) AS k,
@@ -115,10 +120,12 @@ f AS (SELECT *, row_number() OVER (ORDER BY full_at, source) AS k,
              sum(weight) OVER (ORDER BY full_at DESC, source DESC) AS open FROM r),
 l AS (SELECT *, ((SELECT sum(source_size) FROM s) * {SHARE_PERCENT}.0 / 100 - given) / open AS level FROM f),
 level AS (SELECT level FROM l WHERE full_at > level OR k = (SELECT max(k) FROM l) ORDER BY k LIMIT 1),
-t AS (SELECT source, source_size, least(CAST(most AS DOUBLE), weight * CAST(level AS DOUBLE)) AS target FROM r, level),
-c AS (SELECT d.*, source_size, target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY o, doc_id NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+t AS (SELECT source, source_size, least(CAST(most AS DOUBLE), weight * CAST(level AS DOUBLE)) AS target, (last_weight - first_weight) / (first_weight + last_weight) AS slope FROM r, level),
+c AS (SELECT d.*, source_size, target, slope, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY o, doc_id NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
-       CAST(size * (SELECT count(*) FROM range({REPEATS}) x(e) WHERE before + e * source_size + size / 2.0 < target) AS BIGINT) AS taken
+       CAST(size * (SELECT count(*) FROM range({REPEATS}) x(e) WHERE before + e * source_size + size / 2.0 < target) AS BIGINT) AS taken,
+       round((SELECT min({_TIME_SQL}) FROM range({REPEATS}) x(e) WHERE before + e * source_size + size / 2.0 < target), 9) AS first_position,
+       round((SELECT max({_TIME_SQL}) FROM range({REPEATS}) x(e) WHERE before + e * source_size + size / 2.0 < target), 9) AS last_position
 FROM c
 """

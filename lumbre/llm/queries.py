@@ -82,15 +82,16 @@ _query(op7_cotraining_quality)
 
 def op5_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = curriculum.schedule_documents(read_table(spark, sf_dir, "documents"))
-    first = F.get("positions", F.lit(0))
-    return plan.orderBy(first.asc_nulls_last(), "doc_id").select("doc_id", "size", "source_size", "target", "taken")
+    first, last = (F.round(f("positions"), 9) for f in (F.array_min, F.array_max))
+    shown = plan.select("doc_id", "size", "source_size", "target", "taken", first.alias("first_position"), last.alias("last_position"))
+    return shown.orderBy(F.col("first_position").asc_nulls_last(), "doc_id")
 
 
 _query(op5_curriculum_mix, curriculum.SQL)
 
 
 def op3_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return notices.scan_notices(read_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    return notices.scan_notices(read_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")
 
 
 _query(op3_license_notices)
