@@ -347,7 +347,13 @@ def _ways(v: Vocabulary, memory: _Memory, units: pa.Array, numbers: np.ndarray,
     return [(best - lost, [{"at": int(upto[at] - upto[0]), "drop": int(upto[at + 1] - upto[at]), "ids": list(ids)} for at, ids in changed]) for lost, changed in merged]
 
 
-def _encode(model_file: str, n: int, text_at: int):
+def _texts(lists: pa.ListArray, bytes_of: list[bytes]) -> pa.Array:
+    """The text of each list of pieces, without the space that was added before it."""
+    ends, ids = lists.offsets.to_numpy(), lists.values.to_numpy()
+    return pa.array([b"".join(map(bytes_of.__getitem__, ids[a:b].tolist())).decode("utf-8", "replace")[1:] for a, b in zip(ends, ends[1:])], pa.string())
+
+
+def _encode(model_file: str, n: int, text_at: int, decoded: bool):
     kind = pa.list_(pa.struct([("score", pa.float64()), ("changes", pa.list_(pa.struct([("at", pa.int32()), ("drop", pa.int32()), ("ids", pa.list_(pa.int32()))])))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,7 +362,10 @@ def _encode(model_file: str, n: int, text_at: int):
                 part = batch.slice(at, TOGETHER)
                 lists, made = segment(model_file, part.column(0).field(text_at).cast(pa.string()).fill_null(""), n)
                 ways = pa.array([[{"score": s, "changes": c} for s, c in w] for w in made], kind)
-                yield pa.RecordBatch.from_arrays([part.column(0), lists, ways], ["_row", "piece_ids", "n_best"])
+                columns, names = [part.column(0), lists, ways], ["_row", "piece_ids", "n_best"]
+                if decoded:
+                    columns, names = [*columns, _texts(lists, vocabulary(model_file).bytes_of)], [*names, "decoded"]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
@@ -368,9 +377,7 @@ def _decode(model_file: str):
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 lists = part.column(1).fill_null([]) if part.column(1).null_count else part.column(1)
-                ends, ids = lists.offsets.to_numpy(), lists.values.to_numpy()
-                texts = [b"".join(map(bytes_of.__getitem__, ids[a:b].tolist())).decode("utf-8", "replace")[1:] for a, b in zip(ends, ends[1:])]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], ["_row", "decoded"])
+                yield pa.RecordBatch.from_arrays([part.column(0), _texts(lists, bytes_of)], ["_row", "decoded"])
 
     return run
 
@@ -380,16 +387,17 @@ def _whole(df: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
 
 
-def encode_n_best(docs: DataFrame, n: int = 4, text_col: str = "text", model_file: str | None = None) -> DataFrame:
+def encode_n_best(docs: DataFrame, n: int = 4, text_col: str = "text", model_file: str | None = None, decoded: bool = False) -> DataFrame:
     """``docs`` with ``piece_ids`` of the best segmentation and ``n_best``: score and changes to piece_ids of each of the N best.
 
-    Columns of these two names are replaced.
+    With ``decoded``, also the text that the pieces give back, made in the same pass.  Columns of these names are replaced.
     """
     rows = docs.select(_whole(docs))
-    schema = rows.withColumns({"piece_ids": F.lit(None).cast("array<int>"), "n_best": F.lit(None).cast(TYPE)}).schema
-    made = rows.mapInArrow(_encode(model_file or tokenizer_path(), n, docs.columns.index(text_col)), schema)
-    kept = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in ("piece_ids", "n_best")]
-    return made.select(*kept, "piece_ids", "n_best")
+    new = {"piece_ids": "array<int>", "n_best": TYPE, **({"decoded": "string"} if decoded else {})}
+    schema = rows.withColumns({name: F.lit(None).cast(kind) for name, kind in new.items()}).schema
+    made = rows.mapInArrow(_encode(model_file or tokenizer_path(), n, docs.columns.index(text_col), decoded), schema)
+    kept = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in new]
+    return made.select(*kept, *new)
 
 
 def decode(encoded: DataFrame, model_file: str | None = None) -> DataFrame:

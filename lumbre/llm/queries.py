@@ -58,8 +58,8 @@ _query(op1_lattice_lm)
 
 
 def op8_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = nbest.encode_n_best(read_table(spark, sf_dir, "documents").select("doc_id", text_of("text").alias("text")), n=4)
-    return nbest.decode(encoded).select(
+    encoded = nbest.encode_n_best(read_table(spark, sf_dir, "documents").select("doc_id", text_of("text").alias("text")), n=4, decoded=True)
+    return encoded.select(
         "doc_id",
         F.size("piece_ids").cast("long").alias("n_pieces"),
         F.sha2(F.array_join("piece_ids", " "), 256).alias("piece_ids_sha256"),

@@ -394,6 +394,8 @@ def test_encoding_round_trip_on_hard_rows(spark, hard):
     assert Counter((r.doc_id, r.decoded) for r in rows) == Counter((i, t or "") for i, t, *_ in hard_rows())
     assert set(hard.columns) <= set(encoded.columns)
     assert all(len(r.n_best) <= 3 and [w.score for w in r.n_best] == sorted((w.score for w in r.n_best), reverse=True) for r in rows)
+    both = nbest.encode_n_best(hard, n=3, decoded=True)
+    assert Counter((r.doc_id, r.decoded) for r in both.collect()) == Counter((r.doc_id, r.decoded) for r in rows) and both.columns == [*encoded.columns, "decoded"]
     assert nbest.decode(nbest.encode_n_best(hard.filter("false"))).count() == 0
 
 
