@@ -22,7 +22,8 @@ from lumbre.llm.queries import ORACLES, QUERIES
 SF_DIR = "/root/testdata/sf0.001"
 #: Columns with names that operators use themselves.
 CLASHING = "kept boolean, size long, node long, component long, digest long, word string, block long, score double, positions string, _t string, _row string"
-EXTRA = (True, 1, 2, 3, 4, "w", 5, 0.5, "p", "t", "r")
+CLASHING += ", _words string, _pairs string, _lines string, _text string, l_digest string, l_id string, r_digest string, r_id string, _lang string, _length string, _text_view string, _lid string"
+EXTRA = (True, 1, 2, 3, 4, "w", 5, 0.5, "p", "t", "r", *"abcdefghijkl")
 LONG = " ".join(f"w{k % 977}x{k % 31}" for k in range(60_000))
 
 
@@ -349,6 +350,8 @@ def test_classifier_on_hard_rows(spark, hard):
     trained = {"models": {"_text_view": ([0.1] * 13, 0.2), "_field_view": ([0.1] * 24, 0.1)}, "calibrated": {v: ([1.0], 0.0) for v in ("_text_view", "_field_view")}, "combined": ([1.0, 1.0], 0.0)}
     scored = cotraining.score_documents(hard, trained).collect()
     assert len(scored) == len(hard_rows()) and all(0 <= r.quality_score <= 1 for r in scored)
+    # Columns with the names of the operator come through as they were.
+    assert {tuple(r[c] for c in ("_t", "_words", "_text_view", "_lid", "_lang")) for r in scored} == {("t", "a", "k", "l", "i")}
     assert cotraining.score_documents(hard.filter("false"), trained).count() == 0
 
 
