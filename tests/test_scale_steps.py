@@ -5,10 +5,15 @@ from __future__ import annotations
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lumbre.functions.digests import Messages
+from lumbre.operators import hidden_positives as H
+from lumbre.operators import keyed_logistic as K
+from lumbre.operators import metrics as M
+from lumbre.operators import ordered as O
 from lumbre.operators import subgroups as G
 from lumbre.plans import split_queries as Q
 from lumbre.session import durable
@@ -63,3 +68,45 @@ def test_selectors_read_their_input_columns_once_for_the_kinds(spark):
     df = spark.createDataFrame([(1, 0.5, 1), (0, 1.5, None), (1, float("nan"), 1), (None, 2.5, 1)], "a int, v double, b int").withColumn("s", F.lit("x"))
     found = {(r.feature, r.op, r.value) for r in G.make_selectors(df, ["s"], ["a", "v", "b"]).collect()}
     assert found == {("a", "==", 1.0), ("b", "==", 1.0)} | {("v", op, c) for op in ("<=", ">") for c in (1.0, 1.5, 2.0)}
+
+
+def test_fits_end_where_rounding_keeps_the_gradient(spark, monkeypatch):
+    """No gradient reaches a tolerance of zero; the keys end with their last useful step and not with the last round."""
+    rng = random.Random(8)
+    rows = [(i, i % 3 + 1, int(rng.random() < 0.3), rng.gauss(100_000, 30_000), rng.gauss(0, 1)) for i in range(300)]
+    study = H.prepare_study(spark.createDataFrame(rows, "id long, fold int, y int, u double, v double"), ["id"], ["y"], {"all": ["u", "v"]}, [0.0], folds=3)
+    keys = H._keys(study, [(c, 0, -1, v, 1.0) for c in study.cells for v in (0.01, 10.0)])
+    rounds = []
+    plain = K.key_sums
+    monkeypatch.setattr(K, "key_sums", lambda *a: rounds.append(1) or plain(*a))
+    fits = K.fit_keys(K._dealt(study.rows), keys, study.design, tolerance=0.0, rounds=40)
+    assert len(rounds) < 25 and fits.gradient.max() < 1e-9
+
+
+def test_keys_with_the_same_rows_are_looked_up_once(spark):
+    rng = np.random.default_rng(2)
+    n, of = 50, 12
+    rows = {"products": rng.normal(size=(n, 3)), "y": rng.random((1, n)) < 0.4, "hidden": np.zeros((1, n), bool), "fold": rng.integers(1, 4, n), "hash": rng.integers(0, 2**60, n).astype(np.uint64)}
+    zero = np.zeros(of, np.int64)
+    bag = np.repeat([-1, 0, 1], 4)
+    keys = K.Keys(zero, zero - 1, zero + 1, zero, bag, np.maximum(bag, 0), zero, np.ones(of), np.where(bag < 0, 1.0, 0.5), np.zeros((of, 1)))
+    runs = list(K.member_runs(rows, keys))
+    assert [(a, b) for a, b, *_ in runs] == [(0, 4), (4, 8), (8, 12)]
+    for a, _, observed, others in runs:
+        inside = rows["fold"] != 1
+        drawn = np.ones(n, bool) if bag[a] < 0 else K.hash_units(rows["hash"], np.array([bag[a]]))[0] < 0.5
+        assert observed.tolist() == np.flatnonzero(inside & rows["y"][0]).tolist()
+        assert others.tolist() == np.flatnonzero(inside & ~rows["y"][0] & drawn).tolist()
+
+
+def test_scores_of_small_keys_are_ranked_in_one_pass(spark):
+    rng = random.Random(5)
+    rows = [(f"k{i % 7}", int(rng.random() < 0.3), rng.choice([rng.random(), 0.5])) for i in range(900)]
+    rows += [("gone", 1, None), ("gone", 0, float("nan")), ("some", 1, None), ("some", 0, 0.2), ("some", 1, 0.7), ("high", 1, float("inf")), ("high", 0, 0.1), ("one", 1, 0.4)]
+    df = spark.createDataFrame(rows, "k string, y_true int, score double")
+    out = [{r.k: (r.roc_auc, r.average_precision, r.n_positive, r.n_negative) for r in M.score_metrics(df, ["k"], most).collect()} for most in (None, 1_000)]
+    assert out[0].keys() == out[1].keys() and len(out[0]) == 11
+    for k, want in out[0].items():
+        assert out[1][k] == pytest.approx(want), k
+    assert O.bounds_if_large(df.filter("score is not null"), "score", ["k"], small=200) == []
+    assert O.bounds_if_large(df.filter("score < 1"), "score", ["k"], small=100)
