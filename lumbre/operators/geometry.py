@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from lumbre.functions.numeric import sphere_diameter
 from lumbre.operators.cell_pyramid import CellPyramid
@@ -34,12 +35,50 @@ def nearest_distance(points: DataFrame, others: DataFrame, keys: list[str], ids:
     return points.join(places, same, "left").select(*keys, *ids, F.col("__nearest").alias(out))
 
 
+#: Voxels along the last axis that one number holds.
+CELL_BITS = 5
+_CELL = 1 << CELL_BITS
+
+
+def _cell(axis: str) -> Column:
+    return F.shiftright(F.col(axis).cast("bigint"), CELL_BITS)
+
+
+def _bit(axis: str) -> str:
+    """SQL for the place of a voxel in its cell."""
+    return f"CAST(CAST(`{axis}` AS BIGINT) & {_CELL - 1} AS INT)"
+
+
+def neighbour_cells(inside: DataFrame, keys: list[str], axes: list[str]) -> DataFrame:
+    """(keys, axes but the last, __cell, __bits): places one step along an axis from an inside voxel, as bits of cells along the last axis."""
+    *plane, line = axes
+    bits = inside.groupBy(*keys, *plane, _cell(line).alias("__cell")).agg(F.bit_or(F.expr(f"shiftleft(1L, {_bit(line)})")).alias("__bits"))
+
+    def moved(step: dict[str, int], cell: int, value: Column) -> Column:
+        return F.struct(*[(F.col(a) + step.get(a, 0)).alias(a) for a in plane], (F.col("__cell") + cell).alias("__cell"), value.alias("__bits"))
+
+    b = F.col("__bits")
+    along = F.shiftleft(b, 1).bitwiseOR(F.shiftright(b, 1)).bitwiseAND((1 << _CELL) - 1)
+    steps = [moved({}, 0, along), moved({}, 1, F.shiftright(b, _CELL - 1)), moved({}, -1, F.shiftleft(b.bitwiseAND(1), _CELL - 1))]
+    steps += [moved({a: s}, 0, b) for a in plane for s in (-1, 1)]
+    around = bits.select(*keys, F.explode(F.filter(F.array(*steps), lambda m: m["__bits"] != 0)).alias("m")).select(*keys, "m.*")
+    return around.groupBy(*keys, *plane, "__cell").agg(F.bit_or("__bits").alias("__bits"))
+
+
 def boundary_voxels(inside: DataFrame, outside: DataFrame, keys: list[str], axes: list[str]) -> DataFrame:
-    """Outside voxels with an inside neighbour along an axis: the only ones that can be nearest to an inside voxel."""
-    steps = [tuple(s if i == j else 0 for i in range(len(axes))) for j in range(len(axes)) for s in (-1, 1)]
-    moved = F.explode(F.array(*[F.struct(*[(F.col(a) + d).alias(a) for a, d in zip(axes, step)]) for step in steps])).alias("m")
-    around = inside.select(*keys, moved).select(*keys, "m.*").distinct()
-    return outside.join(around, [*keys, *axes], "left_semi")
+    """Outside voxels with an inside neighbour along an axis: the only ones that can be nearest to an inside voxel.
+
+    Whole-numbered voxels are bits of cells along the last axis, so a task never holds six neighbours of each of its voxels.
+    """
+    if not all(isinstance(df.schema[a].dataType, IntegralType) for df in (inside, outside) for a in axes):
+        steps = [tuple(s if i == j else 0 for i in range(len(axes))) for j in range(len(axes)) for s in (-1, 1)]
+        moved = F.explode(F.array(*[F.struct(*[(F.col(a) + d).alias(a) for a, d in zip(axes, step)]) for step in steps])).alias("m")
+        return outside.join(inside.select(*keys, moved).select(*keys, "m.*"), [*keys, *axes], "left_semi")
+    *plane, line = axes
+    rest = [c for c in outside.columns if c not in (*keys, *axes)]
+    met = outside.withColumn("__cell", _cell(line)).join(neighbour_cells(inside, keys, axes), [*keys, *plane, "__cell"])
+    on = F.expr(f"shiftright(__bits, {_bit(line)}) & 1") == 1
+    return met.filter(on).select(*keys, *axes, *rest)
 
 
 def inverse3(m: Column) -> Column:

@@ -10,9 +10,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumbre.functions.digests import Messages
+from lumbre.operators import geometry as V
 from lumbre.operators import hidden_positives as H
 from lumbre.operators import keyed_logistic as K
 from lumbre.operators import metrics as M
+from lumbre.operators import neighbours as NB
 from lumbre.operators import ordered as O
 from lumbre.operators import subgroups as G
 from lumbre.plans import split_queries as Q
@@ -110,3 +112,32 @@ def test_scores_of_small_keys_are_ranked_in_one_pass(spark):
         assert out[1][k] == pytest.approx(want), k
     assert O.bounds_if_large(df.filter("score is not null"), "score", ["k"], small=200) == []
     assert O.bounds_if_large(df.filter("score < 1"), "score", ["k"], small=100)
+
+
+def test_boundary_voxels_are_found_from_bits_of_lines(spark):
+    rng = random.Random(6)
+    voxels = {(k, z, y, x): rng.random() < 0.2 for k in "ab" for z in range(-1, 2) for y in range(-2, 2) for x in range(-70, 70) if rng.random() < 0.7}
+    df = spark.createDataFrame([(k, z, y, x, int(on)) for (k, z, y, x), on in voxels.items()] + [("a", None, 0, 0, 1), ("a", 0, 0, None, 0)], "id string, z int, y int, x long, on int")
+    near = [(0, 0, 1), (0, 0, -1), (0, 1, 0), (0, -1, 0), (1, 0, 0), (-1, 0, 0)]
+    want = sorted(v for v, on in voxels.items() if not on and any(voxels.get((v[0], v[1] + a, v[2] + b, v[3] + c)) for a, b, c in near))
+    for frame in (df, df.withColumn("x", F.col("x").cast("double"))):
+        out = V.boundary_voxels(frame.filter("on = 1"), frame.filter("on = 0"), ["id"], ["z", "y", "x"])
+        assert out.columns == ["id", "z", "y", "x", "on"] and sorted((r.id, r.z, r.y, int(r.x)) for r in out.collect()) == want
+    # A full line of 64 voxels was 384 rows; it is two cells, the two beside them, and two for each step across.
+    line = spark.range(64).select(F.lit(0).alias("z"), F.lit(0).alias("y"), F.col("id").alias("x"))
+    assert V.neighbour_cells(line, [], ["z", "y", "x"]).count() == 12
+
+
+def test_neighbours_beside_missing_and_far_points(spark):
+    """Rounding of the products must not decide: points far from zero and close to each other, ties, and vectors that are not finite."""
+    rng = np.random.default_rng(4)
+    v = np.concatenate([1e6 + rng.integers(0, 3, (150, 8)) * 1e-3, rng.normal(size=(60, 8)), [[np.nan] * 8, [np.inf] * 8]])
+    df = spark.createDataFrame([("g", i, [float(x) for x in p]) for i, p in enumerate(v)], "g string, id long, v array<double>")
+    got = {}
+    for r in NB.exact_neighbours(df.filter("id < 210"), "g", "id", "v", 4).collect():
+        got.setdefault(r.id, {})[r.position] = (r.neighbour, r.distance)
+    d = np.sqrt(((v[:210, None] - v[None, :210]) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    want = np.argsort(d, axis=1, kind="stable")[:, :4]
+    assert all([got[i][p][0] for p in (1, 2, 3, 4)] == want[i].tolist() and got[i][4][1] == d[i, want[i, 3]] for i in range(210))
+    assert {r.id for r in NB.exact_neighbours(df, "g", "id", "v", 4).collect()} == set(range(210))
