@@ -122,30 +122,51 @@ def fit_score(
     return scored.select(*ids, score.alias("score"))
 
 
-def fit_score_formulation(train: DataFrame, test: DataFrame, features: list[str], target: str, none_label: str, ids: list[str], candidate: Candidate, formulation: str, seed: int = 0, bags: int = 15, nullable: list[str] | None = None) -> DataFrame:
-    """Supervised, naive and bagging formulations; Elkan-Noto scores are adjusted later, from out-of-fold scores."""
+def with_truth(parts: list[DataFrame], truth: DataFrame, keys: list[str]) -> DataFrame:
+    """Scores of all cells beside the rows of ``truth`` with the same keys, by one join.
+
+    One join in each cell would be a union of joins by the same keys: Spark keeps their partitioning, so one task has the sorts of all cells
+    at once, and as each cell alone is small, it gets the rows of many.
+    """
+    return truth.join(reduce(DataFrame.unionByName, parts), keys)
+
+
+def _bag_scores(train: DataFrame, test: DataFrame, features: list[str], target: str, none_label: str, ids: list[str], candidate: Candidate, formulation: str, seed: int, bags: int, nullable: list[str] | None) -> DataFrame:
+    """(ids, score) of a formulation; bagging has a row for each bag, which ``_averaged`` puts together."""
     if formulation != "pu_bagging":
         return fit_score(training_subset(train, target, none_label, formulation), test, features, target, ids, candidate, seed, nullable=nullable)
     bagged = durable(pu_bags(train, [], ids, target, bags, 1.0, seed))
 
     def one_bag(b: int) -> DataFrame:
-        return fit_score(bagged.filter(F.col("bag") == b), test, features, target, ids, candidate, seed + b, nullable=nullable).withColumn("bag", F.lit(b))
+        return fit_score(bagged.filter(F.col("bag") == b), test, features, target, ids, candidate, seed + b, nullable=nullable)
 
-    parts = side_by_side(partial(one_bag, b) for b in range(1, bags + 1))
-    return reduce(DataFrame.unionByName, parts).groupBy(*ids).agg(F.avg("score").alias("score"))
+    return reduce(DataFrame.unionByName, side_by_side(partial(one_bag, b) for b in range(1, bags + 1)))
 
 
-def cross_validated_scores(df: DataFrame, folds: list[int], features: list[str], target: str, ids: list[str], candidate: Candidate, seed: int = 0, fold: str = "fold", none_label: str = "none", formulation: str = "pu_naive", bags: int = 15) -> DataFrame:
-    """Out-of-fold table of one candidate: each fold is scored by a model fitted on the other folds."""
-    nullable = nullable_columns(df, features)
+def _averaged(scores: DataFrame, keys: list[str], formulation: str) -> DataFrame:
+    return scores.groupBy(*keys).agg(F.avg("score").alias("score")) if formulation == "pu_bagging" else scores
+
+
+def fit_score_formulation(train: DataFrame, test: DataFrame, features: list[str], target: str, none_label: str, ids: list[str], candidate: Candidate, formulation: str, seed: int = 0, bags: int = 15, nullable: list[str] | None = None) -> DataFrame:
+    """Supervised, naive and bagging formulations; Elkan-Noto scores are adjusted later, from out-of-fold scores."""
+    return _averaged(_bag_scores(train, test, features, target, none_label, ids, candidate, formulation, seed, bags, nullable), ids, formulation)
+
+
+def _fold_scores(df: DataFrame, folds: list[int], features: list[str], target: str, ids: list[str], candidate: Candidate, seed: int, fold: str, none_label: str, formulation: str, bags: int, nullable: list[str]) -> DataFrame:
+    """(fold, ids, score) of one candidate, with a row for each bag."""
 
     def one_fold(f: int) -> DataFrame:
         train, test = df.filter((F.col(fold) != f) & F.col(fold).isin(*folds)), df.filter(F.col(fold) == f)
-        scored = fit_score_formulation(train, test, features, target, none_label, ids, candidate, formulation, seed + f, bags, nullable)
-        return scored.withColumn(fold, F.lit(f))
+        return _bag_scores(train, test, features, target, none_label, ids, candidate, formulation, seed + f, bags, nullable).withColumn(fold, F.lit(f))
 
-    scores = reduce(DataFrame.unionByName, side_by_side(partial(one_fold, f) for f in folds))
-    return df.select(*ids, F.col(target).alias("y_true")).join(scores, ids).select(F.col(fold), *ids, F.lit(target).alias("label"), "y_true", "score")
+    return reduce(DataFrame.unionByName, side_by_side(partial(one_fold, f) for f in folds))
+
+
+def cross_validated_scores(df: DataFrame, folds: list[int], features: list[str], target: str, ids: list[str], candidate: Candidate, seed: int = 0, fold: str = "fold", none_label: str = "none", formulation: str = "pu_naive", bags: int = 15) -> DataFrame:
+    """Out-of-fold table of one candidate: each fold is scored by a model fitted on the other folds."""
+    scores = _fold_scores(df, folds, features, target, ids, candidate, seed, fold, none_label, formulation, bags, nullable_columns(df, features))
+    scores = _averaged(scores, [fold, *ids], formulation)
+    return with_truth([scores], df.select(*ids, F.col(target).alias("y_true")), ids).select(F.col(fold), *ids, F.lit(target).alias("label"), "y_true", "score")
 
 
 def multi_label_scores(df: DataFrame, folds: list[int], features: list[str], targets: list[str], ids: list[str], candidate: Candidate, strategy: str = "independent", seed: int = 0) -> DataFrame:
@@ -162,32 +183,38 @@ def multi_label_scores(df: DataFrame, folds: list[int], features: list[str], tar
             prepared = fit_preparation(train, features, nullable)
             for t in targets:
                 scored = fit_score(train, test, features, t, ids, candidate, seed + f, prepared=prepared)
-                parts.append(test.select(*ids, F.col(t).alias("y_true")).join(scored, ids).select(F.lit(f).alias("fold"), *ids, F.lit(t).alias("label"), "y_true", "score"))
+                parts.append(scored.select(F.lit(f).alias("fold"), *ids, F.lit(t).alias("label"), "score"))
             return parts
         earlier: list[str] = []
         for t in targets:
             inputs = [*features, *[f"__chain_{e}" for e in earlier]]
             chained = train.withColumns({f"__chain_{e}": F.col(e).cast("double") for e in earlier}) if earlier else train
             scored = durable(fit_score(chained, test, inputs, t, ids, candidate, seed + f, nullable=nullable))
-            parts.append(df.select(*ids, F.col(t).alias("y_true")).join(scored, ids).select(F.lit(f).alias("fold"), *ids, F.lit(t).alias("label"), "y_true", "score"))
+            parts.append(scored.select(F.lit(f).alias("fold"), *ids, F.lit(t).alias("label"), "score"))
             test = test.join(scored.select(*ids, (F.col("score") >= 0.5).cast("double").alias(f"__chain_{t}")), ids)
             earlier.append(t)
         return parts
 
-    return reduce(DataFrame.unionByName, [p for parts in side_by_side(partial(one_fold, f) for f in folds) for p in parts])
+    parts = [p for parts in side_by_side(partial(one_fold, f) for f in folds) for p in parts]
+    keys = ["fold", *ids] if strategy == "independent" else ids
+    joined = with_truth(parts, df.select(*keys, *[F.col(t).alias(f"__y_{t}") for t in targets]), keys)
+    y_true = F.coalesce(*[F.when(F.col("label") == t, F.col(f"__y_{t}")) for t in targets])
+    return joined.select(F.col("fold").cast("int").alias("fold"), *ids, "label", y_true.alias("y_true"), "score")
 
 
 def nested_selection(df: DataFrame, folds: list[int], features: list[str], target: str, ids: list[str], candidates: list[Candidate], formulation: str = "pu_naive", seed: int = 0, bags: int = 15) -> DataFrame:
     """Inner results of every (outer fold, candidate), ranked by AP, G-mean, MCC, then candidate order."""
+    nullable, keys = nullable_columns(df, features), ["outer_fold", "candidate"]
 
     def one_cell(outer: int, i: int) -> DataFrame:
         inner = [f for f in folds if f != outer]
-        oof = cross_validated_scores(df, inner, features, target, ids, candidates[i], seed + 100 * outer, formulation=formulation, bags=bags)
-        return oof.select(F.lit(outer).alias("outer_fold"), F.lit(i).alias("candidate"), *ids, "label", "y_true", "score")
+        scores = _fold_scores(df, inner, features, target, ids, candidates[i], seed + 100 * outer, "fold", "none", formulation, bags, nullable)
+        return scores.withColumns({"outer_fold": F.lit(outer), "candidate": F.lit(i)})
 
-    tables = side_by_side(partial(one_cell, outer, i) for outer in folds for i in range(len(candidates)))
-    inner_oof = durable(reduce(DataFrame.unionByName, tables))
-    keys = ["outer_fold", "candidate"]
+    cells = reduce(DataFrame.unionByName, side_by_side(partial(one_cell, outer, i) for outer in folds for i in range(len(candidates))))
+    scores = _averaged(cells, [*keys, "fold", *ids], formulation)
+    joined = with_truth([scores], df.select(*ids, F.col(target).alias("y_true")), ids)
+    inner_oof = durable(joined.select(*keys, *ids, F.lit(target).alias("label"), "y_true", "score"))
     c = label_frequency(inner_oof, keys).select(*keys, "c")
     adjusted = inner_oof.join(c, keys).withColumn("c", F.when(F.lit(formulation == "pu_elkan_noto"), F.col("c")).otherwise(F.lit(1.0)))
     adjusted = durable(adjusted.withColumn("score", F.when(F.lit(formulation == "pu_elkan_noto"), adjust_scores(F.col("score"), F.col("c"))).otherwise(F.col("score"))))
@@ -209,14 +236,18 @@ def nested_cross_validation(df: DataFrame, folds: list[int], features: list[str]
     def one_fold(row) -> DataFrame:
         outer, chosen = row["outer_fold"], candidates[row["candidate"]]
         train, test = df.filter(F.col("fold") != outer), df.filter(F.col("fold") == outer)
-        raw = fit_score_formulation(train, test, features, target, "none", ids, chosen, formulation, seed + outer, bags, nullable)
+        raw = _bag_scores(train, test, features, target, "none", ids, chosen, formulation, seed + outer, bags, nullable)
         score = adjust_scores(F.col("score"), F.lit(row["c"])) if formulation == "pu_elkan_noto" else F.col("score")
-        return test.select(*ids, F.col(target).alias("y_true")).join(raw, ids).select(
-            F.lit(outer).alias("fold"), *ids, F.lit(target).alias("label"), "y_true", score.alias("score"), F.lit(row["threshold"]).alias("threshold"),
+        return raw.select(
+            F.lit(outer).alias("fold"), *ids, score.alias("score"), F.lit(row["threshold"]).alias("threshold"),
             F.lit(row["candidate"]).alias("candidate"), F.lit(chosen.family).alias("family"), F.lit(chosen.params_json()).alias("params_json"),
         )
 
-    return reduce(DataFrame.unionByName, side_by_side(partial(one_fold, row) for row in best)).withColumn("pred", reaches(F.col("score"), F.col("threshold")).cast("int"))
+    keys, rest = ["fold", *ids], ["threshold", "candidate", "family", "params_json"]
+    scores = _averaged(reduce(DataFrame.unionByName, side_by_side(partial(one_fold, row) for row in best)), [*keys, *rest], formulation)
+    joined = with_truth([scores], df.select(*keys, F.col(target).alias("y_true")), keys)
+    oof = joined.select(F.col("fold").cast("int").alias("fold"), *ids, F.lit(target).alias("label"), "y_true", "score", *rest)
+    return oof.withColumn("pred", reaches(F.col("score"), F.col("threshold")).cast("int"))
 
 
 def specialised_and_general(df: DataFrame, folds: list[int], features: list[str], target: str, ids: list[str], member: str, candidate: Candidate, seed: int = 0, thresholds: bool = False) -> DataFrame:
@@ -230,14 +261,16 @@ def specialised_and_general(df: DataFrame, folds: list[int], features: list[str]
         train, test = df.filter(F.col("fold") != f), df.filter((F.col("fold") == f) & (F.col(member) == 1))
         rows = train if arm == "general" else train.filter(F.col(member) == 1)
         scored = fit_score(rows, test, features, target, ids, candidate, seed + f, nullable=nullable)
-        out = test.select(*ids, F.col(target).alias("y_true")).join(scored, ids).select(
-            F.lit(arm).alias("arm"), F.lit(f).alias("fold"), *ids, F.lit(target).alias("label"), "y_true", "score")
+        out = scored.select(F.lit(arm).alias("arm"), F.lit(f).alias("fold"), *ids, "score")
         if thresholds:
             chosen, _ = inner_threshold(rows, features, target, ids, candidate, seed + f)
             out = out.withColumns({"threshold": F.lit(chosen), "pred": reaches(F.col("score"), F.lit(chosen)).cast("int")})
         return out
 
-    return reduce(DataFrame.unionByName, side_by_side(partial(one_cell, f, arm) for f in folds for arm in ("general", "specialised")))
+    parts, keys = side_by_side(partial(one_cell, f, arm) for f in folds for arm in ("general", "specialised")), ["fold", *ids]
+    joined = with_truth(parts, df.filter(F.col(member) == 1).select(*keys, F.col(target).alias("y_true")), keys)
+    rest = ["threshold", "pred"] if thresholds else []
+    return joined.select("arm", F.col("fold").cast("int").alias("fold"), *ids, F.lit(target).alias("label"), "y_true", "score", *rest)
 
 
 def arm_deltas(oof: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:

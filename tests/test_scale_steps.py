@@ -14,6 +14,7 @@ from lumbre.operators import geometry as V
 from lumbre.operators import hidden_positives as H
 from lumbre.operators import keyed_logistic as K
 from lumbre.operators import metrics as M
+from lumbre.operators import models as L
 from lumbre.operators import neighbours as NB
 from lumbre.operators import ordered as O
 from lumbre.operators import subgroups as G
@@ -141,3 +142,25 @@ def test_neighbours_beside_missing_and_far_points(spark):
     want = np.argsort(d, axis=1, kind="stable")[:, :4]
     assert all([got[i][p][0] for p in (1, 2, 3, 4)] == want[i].tolist() and got[i][4][1] == d[i, want[i, 3]] for i in range(210))
     assert {r.id for r in NB.exact_neighbours(df, "g", "id", "v", 4).collect()} == set(range(210))
+
+
+def test_scores_of_all_cells_meet_their_labels_in_one_join(spark):
+    """A union of joins by one key has the sorts of all cells in one task."""
+    df = spark.range(120).select("id", (F.col("id") % 3 + 1).cast("int").alias("fold"), (F.col("id") % 7 / 7).alias("u"), (F.col("id") % 2).cast("int").alias("m"))
+    df = df.withColumns({"y": (F.col("u") > 0.5).cast("int"), "z": (F.col("u") < 0.3).cast("int")}).withColumn("none", 1 - F.col("y")).localCheckpoint()
+    tree, twice = L.Candidate("decision_tree", (("maxDepth", 2),)), df.unionByName(df.filter("id < 3"))
+    made = {
+        "arms": L.specialised_and_general(twice, [1, 2, 3], ["u"], "y", ["id"], "m", tree),
+        "labels": L.multi_label_scores(twice, [1, 2, 3], ["u"], ["y", "z"], ["id"], tree),
+        "bags": L.cross_validated_scores(twice, [1, 2, 3], ["u"], "y", ["id"], tree, formulation="pu_bagging", bags=2),
+    }
+    for name, oof in made.items():
+        plan = oof._jdf.queryExecution().optimizedPlan().toString()
+        assert (plan.count("Join Inner"), plan.count("Aggregate [")) == (1, int(name == "bags")), name
+    # An id that comes twice meets each of its rows.
+    assert made["arms"].count() == 2 * (60 + 3) and made["labels"].count() == 2 * (120 + 9)
+    truth = {r.id: {"y": r.y, "z": r.z} for r in df.collect()}
+    for name in ("arms", "labels"):
+        rows = made[name].collect()
+        assert all(r.y_true == truth[r.id][r.label] and r.fold == r.id % 3 + 1 for r in rows)
+    assert {r.label for r in rows} == {"y", "z"}
