@@ -203,11 +203,16 @@ def multi_label_scores(df: DataFrame, folds: list[int], features: list[str], tar
 
 
 def nested_selection(df: DataFrame, folds: list[int], features: list[str], target: str, ids: list[str], candidates: list[Candidate], formulation: str = "pu_naive", seed: int = 0, bags: int = 15) -> DataFrame:
-    """Inner results of every (outer fold, candidate), ranked by AP, G-mean, MCC, then candidate order."""
+    """Inner results of every (outer fold, candidate), ranked by AP, G-mean, MCC, then candidate order.
+
+    ``folds`` are the outer folds; the inner ones are all others of the table, so a candidate is chosen on the rows that its refit will see.
+    """
     nullable, keys = nullable_columns(df, features), ["outer_fold", "candidate"]
+    # One row for each fold, a setting.
+    every = sorted(r["fold"] for r in df.filter("fold is not null").select("fold").distinct().collect())
 
     def one_cell(outer: int, i: int) -> DataFrame:
-        inner = [f for f in folds if f != outer]
+        inner = [f for f in every if f != outer]
         scores = _fold_scores(df, inner, features, target, ids, candidates[i], seed + 100 * outer, "fold", "none", formulation, bags, nullable)
         return scores.withColumns({"outer_fold": F.lit(outer), "candidate": F.lit(i)})
 

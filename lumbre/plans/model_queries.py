@@ -191,7 +191,7 @@ def chain_oof_metrics(spark, sf_dir):
 @query("nested_candidate_selection")
 def nested_candidate_selection(spark, sf_dir):
     rows = _model_rows(spark, sf_dir)
-    out = L.nested_selection(rows, [1, 2, 3], _MODEL_FEATURES, "returned", ["id"], [_LOGISTIC, _TREE], "pu_elkan_noto")
+    out = L.nested_selection(rows, [1, 2, 3, 4, 5], _MODEL_FEATURES, "returned", ["id"], [_LOGISTIC, _TREE], "pu_elkan_noto")
     return out
 
 

@@ -9,6 +9,7 @@ from lumbre.operators import correlation as C
 from lumbre.operators import metrics as M
 from lumbre.operators import models as L
 from lumbre.operators import preparation_models as R
+from lumbre.plans import QUERIES, model_queries
 from lumbre.sources import readers, writers
 from lumbre.streaming.freshness import collect_new_artifacts, fold_metric_stream
 
@@ -383,3 +384,33 @@ def test_one_pair_of_positives_serves_very_many_rows(spark):
     out = smote(df, "g", "id", "v", "y", 5, 1)
     r = out.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("number").alias("d"), F.min("number").alias("a"), F.max("number").alias("b"), F.count_if((F.col("v")[0] < 0) | (F.col("v")[0] > 1)).alias("out")).first()
     assert (r.n, r.d, r.a, r.b, r.out) == (299_996, 299_996, 1, 299_996, 0)
+
+
+def _five_folds(spark):
+    """Folds of ten rows with 1, 2, 3, 4 and 5 positives."""
+    return spark.createDataFrame([(10 * f + i, f, float(i), int(i < f)) for f in range(1, 6) for i in range(10)], "id long, fold int, u double, y int")
+
+
+def test_inner_folds_are_all_folds_but_the_outer_one(spark):
+    """The prior model's c is the mean share of the inner train parts, weighted by the positives of the inner folds."""
+    got = L.nested_selection(_five_folds(spark), [1, 2, 3], ["u"], "y", ["id"], [L.Candidate("dummy")], "pu_elkan_noto").collect()
+    assert sorted(r["outer_fold"] for r in got) == [1, 2, 3]
+    for r in got:
+        inner = [f for f in range(1, 6) if f != r["outer_fold"]]
+        shares = {f: sum(g for g in inner if g != f) / 30 for f in inner}
+        assert r["c"] == pytest.approx(sum(f * shares[f] for f in inner) / sum(inner))
+
+
+def _outer_folds(spark, monkeypatch, query, operator):
+    """Outer folds that a query asks an operator for."""
+    seen = []
+    monkeypatch.setattr(model_queries, "_model_rows", lambda *_: _five_folds(spark))
+    monkeypatch.setattr(L, operator, lambda rows, folds, *_, **__: seen.append((folds, sorted(r[0] for r in rows.select("fold").distinct().collect()))) or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        QUERIES[query](spark, "unread")
+    return seen[0]
+
+
+def test_nested_selection_has_every_fold_of_the_rows(spark, monkeypatch):
+    asked, there = _outer_folds(spark, monkeypatch, "nested_candidate_selection", "nested_selection")
+    assert asked == there
