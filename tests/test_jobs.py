@@ -414,3 +414,8 @@ def _outer_folds(spark, monkeypatch, query, operator):
 def test_nested_selection_has_every_fold_of_the_rows(spark, monkeypatch):
     asked, there = _outer_folds(spark, monkeypatch, "nested_candidate_selection", "nested_selection")
     assert asked == there
+
+
+def test_subgroup_deltas_have_every_fold_of_the_rows(spark, monkeypatch):
+    asked, there = _outer_folds(spark, monkeypatch, "subgroup_model_deltas", "specialised_and_general")
+    assert asked == there
