@@ -419,3 +419,38 @@ def test_nested_selection_has_every_fold_of_the_rows(spark, monkeypatch):
 def test_subgroup_deltas_have_every_fold_of_the_rows(spark, monkeypatch):
     asked, there = _outer_folds(spark, monkeypatch, "subgroup_model_deltas", "specialised_and_general")
     assert asked == there
+
+
+def test_one_look_at_the_train_rows_before_a_fit(spark, monkeypatch):
+    """Share, scales and the choice of features come from one aggregation."""
+    looks = spark.sparkContext.accumulator(0)
+
+    def counted(y: int) -> int:
+        looks.add(1)
+        return y
+
+    train = spark.range(60).select("id", (F.col("id") % 7).cast("double").alias("u"), (F.col("id") % 5).cast("double").alias("v"), F.udf(counted, "int")((F.col("id") % 2).cast("int")).alias("y"))
+    monkeypatch.setattr(L, "build_estimator", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        L.fit_score(train, train, ["u", "v"], "y", ["id"], L.Candidate("decision_tree", k_best=1), nullable=[])
+    assert looks.value == 60
+
+
+def test_anova_of_prepared_rows_from_raw_moments(spark):
+    """Missing and constant features; the F values are those of the prepared rows themselves."""
+    rows = [(i, i % 3 - i % 2 * 0.5, None if i % 4 == 0 else float(i * i % 11), 0.1, int(i % 2 == 0)) for i in range(50)]
+    train = spark.createDataFrame(rows, "id long, u double, v double, w double, y int")
+    features = ["u", "v", "w"]
+    moments = R.class_moments(train, features, "y")
+    prepared = R.fit_preparation(train, features, ["v"], moments=moments)
+    assert prepared.kept == ["u", "v"] and moments.positive_share() == 0.5
+    filled = train.toPandas()
+    filled["v"] = filled["v"].fillna(filled["v"].median())
+    assert [prepared.scale[f] for f in ("u", "v")] == pytest.approx([filled[f].std(ddof=0) for f in ("u", "v")])
+    got = {r["feature"]: r["f_value"] for r in R.anova_of_moments(R.prepared_moments(train, prepared, moments, "y"), []).collect()}
+    long = {r["feature"]: r["f_value"] for r in R.anova_f(prepared.apply(train).select("y", "u", "v").unpivot(["y"], ["u", "v"], "feature", "value"), [], "y").collect()}
+    for f in ("u", "v"):
+        parts = [filled[filled.y == c][f] for c in (0, 1)]
+        between = sum(len(p) * (p.mean() - filled[f].mean()) ** 2 for p in parts)
+        want = between / (sum(((p - p.mean()) ** 2).sum() for p in parts) / 48)
+        assert got[f] == pytest.approx(want) and long[f] == pytest.approx(want)
