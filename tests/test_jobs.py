@@ -454,3 +454,14 @@ def test_anova_of_prepared_rows_from_raw_moments(spark):
         between = sum(len(p) * (p.mean() - filled[f].mean()) ** 2 for p in parts)
         want = between / (sum(((p - p.mean()) ** 2).sum() for p in parts) / 48)
         assert got[f] == pytest.approx(want) and long[f] == pytest.approx(want)
+
+
+def test_formulations_look_for_missing_values_once(spark, monkeypatch):
+    looks, rows = [], _five_folds(spark).select("id", "fold", F.col("y").alias("returned"), F.lit(0).alias("open_line"), "u")
+    monkeypatch.setattr(model_queries, "_model_rows", lambda *_: rows)
+    monkeypatch.setattr(model_queries, "_MODEL_FEATURES", ["u"])
+    for module in (L, R):
+        monkeypatch.setattr(module, "nullable_columns", lambda *_: looks.append(1) or [])
+    monkeypatch.setattr(L, "_fold_scores", lambda df, *_: df.select("fold", "id", F.lit(0.5).alias("score")))
+    QUERIES["pu_formulations_under_concealment"](spark, "unread")
+    assert len(looks) == 1
